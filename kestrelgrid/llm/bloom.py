@@ -67,7 +67,7 @@ def as_batch(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["slice", "once", "twice"])
 
 
-def _merge(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     once = twice = None
     for batch in batches:
         for a, b in zip(batch.column("once").to_pylist(), batch.column("twice").to_pylist(), strict=True):
