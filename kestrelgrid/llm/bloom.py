@@ -27,10 +27,10 @@ def cells_for(keys: int, each: int = 16) -> int:
     return 1 << min(MOST_CELLS.bit_length() - 1, max(16, int(max(1, keys) * each - 1).bit_length()))
 
 
-def probes(keys: np.ndarray, cells: int) -> list[np.ndarray]:
-    """Two cells for each 64-bit key."""
+def probes(keys: np.ndarray, cells: int, hashes: int) -> list[np.ndarray]:
+    """One or two cells for each 64-bit key; one is better where there are few cells for each key."""
     keys = keys.astype(np.uint64)
-    return [(keys & np.uint64(cells - 1)).astype(np.int64), (mix(keys) & np.uint64(cells - 1)).astype(np.int64)]
+    return [(k & np.uint64(cells - 1)).astype(np.int64) for k in ([keys, mix(keys)] if hashes == 2 else [keys])]
 
 
 def _pack(bits: np.ndarray) -> bytes:
@@ -41,12 +41,12 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(blob), np.uint8)
 
 
-def slices_of(batches: Iterable[np.ndarray], cells: int, repeats: bool) -> Iterator[tuple[int, bytes, bytes]]:
+def slices_of(batches: Iterable[np.ndarray], cells: int, repeats: bool, hashes: int = 2) -> Iterator[tuple[int, bytes, bytes]]:
     """(slice, once, twice) of one task's keys. Cell numbers gather in bounded lots before they are set."""
     once = np.zeros(cells, bool)
     twice = np.zeros(cells if repeats else 0, bool)
     for keys in batches:
-        for cell in probes(keys, cells):
+        for cell in probes(keys, cells, hashes):
             if repeats:
                 # a key whose two probes meet in one cell counts as two hits: it can only be a false positive
                 cell = np.sort(cell)
@@ -97,9 +97,9 @@ def merge(parts: DataFrame, cells: int, repeats: bool) -> np.ndarray:
     return out
 
 
-def holds(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def holds(bitmap: np.ndarray, keys: np.ndarray, hashes: int = 2) -> np.ndarray:
     """Whether each key may be in the filter."""
     out = np.ones(len(keys), bool)
-    for cell in probes(keys, len(bitmap) * 8):
+    for cell in probes(keys, len(bitmap) * 8, hashes):
         out &= (bitmap[cell >> 3] & (np.uint8(128) >> (cell & 7).astype(np.uint8))) > 0
     return out

@@ -15,6 +15,18 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def _remainder(spark: SparkSession, divisor: int):
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree import score
+
+    return score(documents(spark, sf_dir), _remainder(spark, 7) == 2)
+
+
 def op2_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .length_histogram import by_limit, histogram
 
@@ -27,6 +39,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_repeats(documents(spark, sf_dir))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .set_join import groups
+
+    return groups(documents(spark, sf_dir), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import plan
 
@@ -39,7 +57,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir), *vocabulary(), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_length_histogram, op4_exact_dedup, op9_mix_sources, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_length_histogram, op4_exact_dedup, op7_ngram_join, op9_mix_sources, op10_byte_bpe)}
 
 ORACLES = {
     "op4_exact_dedup": """

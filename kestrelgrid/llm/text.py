@@ -114,6 +114,25 @@ class Words:
         return out, bounds
 
 
+def distinct(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each run bounds[i]:bounds[i + 1] sorted (in place) and without repeats."""
+    edges = bounds.tolist()
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b - a > 1:
+            values[a:b].sort()
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    first = bounds[:-1][bounds[:-1] < bounds[1:]]
+    new[first] = True
+    return values[new], np.concatenate([[0], np.cumsum(new)])[bounds]
+
+
+def set_hash(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run as a set; runs hold no repeats."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values + np.uint64(0x51ED270B27D0E17B)), dtype=np.uint64)])
+    return mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ mix(np.diff(bounds).astype(np.uint64)))
+
+
 def list_column(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """An Arrow list column of consecutive runs of ``values``."""
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
