@@ -33,6 +33,12 @@ def op2_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_limit(histogram(documents(spark, sf_dir), *vocabulary()))
 
 
+def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find
+
+    return find(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import find_repeats
 
@@ -45,6 +51,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(documents(spark, sf_dir), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import against_edits
+
+    return against_edits(documents(spark, sf_dir))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import plan
 
@@ -57,7 +69,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir), *vocabulary(), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_length_histogram, op4_exact_dedup, op7_ngram_join, op9_mix_sources, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_length_histogram, op3_sanitise, op4_exact_dedup, op7_ngram_join, op8_weighted_fingerprints, op9_mix_sources, op10_byte_bpe)}
 
 ORACLES = {
     "op4_exact_dedup": """
