@@ -45,6 +45,24 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_repeats(documents(spark, sf_dir))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, train
+
+    docs = documents(spark, sf_dir)
+    held_out = _remainder(spark, 4) == 2
+    return identify(docs.withColumn("held_out", held_out), train(docs, ~held_out), ("doc_id", "held_out"))
+
+
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .toxicity import classify, train
+
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return classify(docs, train(docs, labels, ("low_quality", "toxic")))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .set_join import groups
 
@@ -69,7 +87,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir), *vocabulary(), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_length_histogram, op3_sanitise, op4_exact_dedup, op7_ngram_join, op8_weighted_fingerprints, op9_mix_sources, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_length_histogram, op3_sanitise, op4_exact_dedup, op5_language_id, op6_toxicity_chain, op7_ngram_join, op8_weighted_fingerprints, op9_mix_sources, op10_byte_bpe)}
 
 ORACLES = {
     "op4_exact_dedup": """

@@ -16,6 +16,8 @@ WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 _NONWHITE = np.ones(256, dtype=bool)
 _NONWHITE[list(WHITE)] = False
+#: Words of letters and digits: ASCII punctuation and control characters part them.
+ALNUM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -71,10 +73,11 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a column of texts, with hashes of their A-Z-lower-cased bytes."""
 
-    def __init__(self, col: pa.Array):
+    def __init__(self, col: pa.Array, word_bytes: np.ndarray = _NONWHITE):
+        """``word_bytes``: for each byte whether it is part of a word."""
         self.offsets, self.data = offsets, data = binary(col)
         self.rows = len(offsets) - 1
-        inside = _NONWHITE[data]
+        inside = word_bytes[data]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
