@@ -36,6 +36,8 @@ DOCS_EACH = 200
 MOST_DOCS = 20_000
 WINDOWS_EACH = 6
 EPOCHS = 12
+#: Few windows are gone through more often, in smaller lots, until this many steps are made.
+LEAST_STEPS = 300
 BATCH = 256
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -147,11 +149,13 @@ class Network:
     def fit(self, windows: np.ndarray, targets: np.ndarray, epochs: int, seed: int, rate: float = 0.01) -> float:
         """windows (count, WINDOW) bytes; returns the last epoch's loss."""
         rng = np.random.default_rng(seed)
+        lot = min(BATCH, max(32, len(windows) // 8))
+        epochs = max(epochs, -(-LEAST_STEPS * lot // len(windows)))
         first, second, step, loss = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0, 0.0
         for epoch in range(epochs):
             order, losses = rng.permutation(len(windows)), []
-            for at in range(0, len(order), BATCH):
-                pick = order[at : at + BATCH]
+            for at in range(0, len(order), lot):
+                pick = order[at : at + lot]
                 loss, grads = self.gradients(np.ascontiguousarray(windows[pick].T), targets[pick])
                 losses.append(loss)
                 step += 1
