@@ -8,13 +8,15 @@ round by round ends at.
 
 A target of e epochs takes every document floor(e) times, and once more the
 documents that come first in a seeded order, as long as their sizes fit in the
-rest. The order is by a hash of seed and doc_id, so reruns agree. The cut is
+rest; the next one in order is taken in part, so that a source's words add up to
+its target (``mix``, which gives whole documents, takes it if half of it or more
+fits). The order is by a hash of seed and doc_id, so reruns agree. The cut is
 found without sorting a source in one task: sums over 65,536 hash bins find the
 bin where the rest runs out, and only that bin's rows are ordered.
 
 Defined cases: a null text has size 0; null sources are one source, last in
 order; sources of size 0 get target 0; an empty table gives an empty result;
-rows of one doc_id and size share a place in the order and are taken together.
+rows of one doc_id and size share a place in the order and a cut there evenly.
 """
 
 from __future__ import annotations
@@ -82,24 +84,27 @@ def _limits(rows: DataFrame, weights: Sequence[float], share: float, epochs: flo
     run = bins.withColumn("upto", F.sum("bin_size").over(upto)).join(want.select("skey", "rest"), "skey")
     cut = written(run.where("upto > rest").groupBy("skey").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("bin_size")).alias("below"), "rest"), "bin").alias("c")).select("skey", F.col("c.bin").alias("bin"), "c.below", "c.rest"))
     # only the rows of the bin in which the rest runs out are ordered
-    edge = rows.join(cut, ["skey", "bin"]).withColumn("upto", F.col("below") + F.sum("size").over(Window.partitionBy("skey").orderBy("place")))
-    last = edge.where("upto <= rest").groupBy("skey").agg(F.max("place").alias("last"))
-    return written(want.join(cut.select("skey", F.col("bin").alias("cut_bin")), "skey", "left").join(last, "skey", "left"))
+    edge = rows.join(cut, ["skey", "bin"]).groupBy("skey", "place", "below", "rest").agg(F.sum("size").alias("here"), F.count("*").alias("rows"))
+    edge = edge.withColumn("before", F.col("below") + F.sum("here").over(Window.partitionBy("skey").orderBy("place")) - F.col("here"))
+    fits = F.col("before") + F.col("here") <= F.col("rest")
+    ends = edge.groupBy("skey").agg(F.max(F.when(fits, F.col("place"))).alias("last"), F.min(F.when(~fits, F.struct("place", F.floor((F.col("rest") - F.col("before")) / F.col("rows")).alias("words")))).alias("part"))
+    return written(want.join(cut.select("skey", F.col("bin").alias("cut_bin")), "skey", "left").join(ends, "skey", "left"))
 
 
 def _times(rows: DataFrame, limits: DataFrame, total: int) -> DataFrame:
-    """Adds ``times``. Limits go to all tasks if they are those of 50,000 sources at most, else by a salted join."""
+    """Adds ``times`` and ``part`` (words of one more, partial time). Limits go to all tasks if they are those of 50,000 sources at most, else by a salted join."""
     limits = limits.drop("source")
     joined = rows.join(F.broadcast(limits), "skey") if limits.count() <= 50_000 else attach(rows, limits, ["skey"], "n", total, "draw")
     once_more = F.when(F.col("cut_bin").isNull(), F.lit(False)).when(F.col("bin") != F.col("cut_bin"), F.col("bin") < F.col("cut_bin")).otherwise(F.coalesce(F.col("place") <= F.col("last"), F.lit(False)))
-    return joined.withColumn("times", F.col("whole") + once_more.cast("long"))
+    partly = F.coalesce(F.col("place") == F.col("part.place"), F.lit(False))
+    return joined.withColumn("times", F.col("whole") + once_more.cast("long")).withColumn("part", F.when(partly, F.col("part.words")).otherwise(F.lit(0)).cast("long"))
 
 
 def plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0, seed: int = 7, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, times (copies), taken (words)."""
+    """One row per document: doc_id, source, size, source_size, target, times (whole copies), taken (words)."""
     rows = written(_rows(docs, seed, id_column, text_column, source_column))
     out = _times(rows, _limits(rows, weights, share, epochs), rows.count())
-    return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size") + F.col("part")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0, seed: int = 7, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
@@ -107,5 +112,6 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     names = (id_column, text_column, source_column)
     small = written(_rows(docs, seed, *names))
     whole = _rows(docs, seed, *names, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    out = _times(whole, _limits(small, weights, share, epochs), small.count()).where("times > 0")
+    out = _times(whole, _limits(small, weights, share, epochs), small.count())
+    out = out.withColumn("times", F.col("times") + ((F.col("part") > 0) & (2 * F.col("part") >= F.col("size"))).cast("long")).where("times > 0")
     return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

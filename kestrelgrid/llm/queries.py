@@ -103,5 +103,5 @@ l as (select *, (asked - filled) / free as level from o),
 t as (select source, source_size::bigint as source_size, least(cap, weight * coalesce((select level from l where level * weight <= cap order by cap / weight, k limit 1), 1e300)) as target from l),
 r as (select *, case when source_size > 0 then floor(target / source_size + 1e-12) else 0 end as whole from t),
 c as (select d.*, r.source_size, r.target, whole, r.target - whole * r.source_size as rest, sum(size) over (partition by d.source order by draw, doc_id) as upto from d join r on d.source is not distinct from r.source)
-select doc_id, size, source_size, target, (size * (whole + case when upto <= rest then 1 else 0 end))::bigint as taken from c""",
+select doc_id, size, source_size, target, (size * whole + least(size, greatest(0, floor(rest - (upto - size)))))::bigint as taken from c""",
 }

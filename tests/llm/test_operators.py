@@ -364,12 +364,12 @@ def test_mixing(docs):
     for s in sizes:
         assert {round(r["target"], 6) for r in rows if r["source"] == s} == {round(want[s], 6)}
         taken = sum(r["taken"] for r in rows if r["source"] == s)
-        assert taken <= want[s] + 1e-6
-    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in rows)
+        assert want[s] - len(TEXTS) <= taken <= want[s] + 1e-6
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
     assert rows and sorted(map(repr, rows)) == sorted(map(repr, mixing.plan(docs).collect()))
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
-    assert mixed.count() == sum(r["times"] for r in rows)
+    assert mixed.count() == sum(r["times"] + (r["size"] > 0 and 2 * (r["taken"] - r["times"] * r["size"]) >= r["size"]) for r in rows)
 
 
 def test_water_filling_matches_rounds(spark):
