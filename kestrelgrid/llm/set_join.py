@@ -15,7 +15,7 @@ Blocking, exact:
    emitted once and later holders point to its first holder, so a frequent
    shingle reaches the shuffle once a task.
 3. Nodes joined by these pointers form blocks. A block's sets go to one task, or,
-   beyond MOST_NODES nodes, to one task for each pair of its parts.
+   beyond MOST_ITEMS shingles, to one task for each pair of its parts.
 
 Inside a block each query is a T-occurrence search by DivideSkip: its inverted
 lists are ordered by length, the short ones are merged (as sorted runs) and
@@ -47,7 +47,8 @@ from . import bloom
 from .cluster import Tags, attach, components, map_arrow, written
 from .text import Words, distinct, list_column, set_hash, slices
 
-MOST_NODES = 20_000
+#: Shingles in one part of a block; a task holds two parts at most, about 40 bytes a shingle.
+MOST_ITEMS = 2_000_000
 MU = 0.0085
 
 
@@ -97,14 +98,14 @@ class Index:
         self.sizes = np.diff(bounds)
         self.bounds = bounds
         order = np.argsort(values, kind="stable")
-        self.owners = np.repeat(np.arange(len(self.sizes)), self.sizes)[order]
-        ordered = values[order]
+        self.owners = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)[order]
         new = np.ones(len(values), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
+        values = values[order]
+        new[1:] = values[1:] != values[:-1]
         self.starts = np.flatnonzero(new)
         self.lengths = np.diff(np.concatenate([self.starts, [len(values)]]))
-        self.list_of = np.empty(len(values), np.int64)
-        self.list_of[order] = np.cumsum(new) - 1
+        self.list_of = np.empty(len(values), np.int32)
+        self.list_of[order] = np.cumsum(new, dtype=np.int32) - 1
 
     def search(self, q: int, percent: int, skip: np.ndarray) -> np.ndarray:
         """Sets that link with set q, but for those marked in ``skip``."""
@@ -240,6 +241,8 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str =
     across = held.select("sig", F.min("sig").over(Window.partitionBy("key")).alias("other")).where("sig <> other")
     edges = table.select("sig", F.explode("links").alias("other")).union(across)
     blocks = written(components(edges.select(F.col("sig").alias("a"), F.col("other").alias("b"))))
+    sizes = table.groupBy("sig").agg(F.max("n_shingles").alias("n_shingles"))
+    blocks = written(blocks.join(sizes, blocks["node"] == sizes["sig"]).select("node", "root", "n_shingles"))
     roots = _verified(texts, blocks, width, percent)
     return _labelled(table, roots)
 
@@ -247,7 +250,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str =
 def _verified(texts: DataFrame, blocks: DataFrame, width: int, percent: int) -> DataFrame:
     """(sig, root) of the nodes of all blocks, after exact comparison."""
     spark = texts.sparkSession
-    sizes = written(blocks.groupBy("root").agg(F.count("*").alias("nodes")).withColumn("parts", F.ceil(F.col("nodes") / MOST_NODES).cast("int")))
+    sizes = written(blocks.groupBy("root").agg(F.count("*").alias("nodes"), F.ceil(F.sum("n_shingles") / MOST_ITEMS).cast("int").alias("parts")))
     total, parts = sizes.agg(F.sum("nodes"), F.max("parts")).first()
     if not total:
         return blocks.select(F.col("node").alias("sig"), "root")
