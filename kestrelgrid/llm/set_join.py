@@ -10,10 +10,13 @@ Blocking, exact:
    in one document only. A linked partner shares at least ``T = ceil(percent *
    size / 100)`` shingles, all of which occur twice, so a document with fewer
    repeated shingles links with nothing and goes no further.
-2. The others emit the first ``repeated - T + 1`` of their repeated shingles in
-   hash order; linked nodes share one of these. Within a task a shingle is
-   emitted once and later holders point to its first holder, so a frequent
-   shingle reaches the shuffle once a task.
+2. The others emit the first ``repeated - T + 1`` of their repeated shingles,
+   rarest first and then in hash order; linked nodes share one of these. How
+   often a shingle occurs among these nodes is estimated by a count sketch, the
+   same for all, so any error of it only changes the order. Shared passages come
+   last and don't tie blocks together. Within a task a shingle is emitted once
+   and later holders point to its first holder, so a frequent shingle reaches the
+   shuffle once a task.
 3. Nodes joined by these pointers form blocks. A block's sets go to one task, or,
    beyond MOST_ITEMS shingles, to one task for each pair of its parts.
 
@@ -25,7 +28,7 @@ Counts are exact overlaps. Since only classes are wanted, nodes that are already
 in one class aren't compared again: nodes in the largest class need no query of
 their own, as any link to a node outside is found by that node's query.
 
-The filter is bounded (16 MB); with far more shingles than cells everything
+Filter and sketch are bounded (16 and 32 MB); with far more shingles than cells everything
 counts as repeated and step 2 is a plain prefix filter: slower, still exact.
 
 Defined cases: texts that are null or have no words have an empty set, link with
@@ -36,6 +39,7 @@ one node; an empty table gives an empty result; other columns stay untouched.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +54,7 @@ from .text import Words, distinct, list_column, set_hash, slices
 #: Shingles in one part of a block; a task holds two parts at most, about 40 bytes a shingle.
 MOST_ITEMS = 2_000_000
 MU = 0.0085
+SKETCH_CELLS = 1 << 25
 
 
 def shingle_sets(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,6 +179,16 @@ def classes(values: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
     return own.roots()
 
 
+def _added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum of a slice's counts, 255 at most."""
+    total = None
+    for batch in batches:
+        for blob in batch.column("once").to_pylist():
+            part = np.frombuffer(zlib.decompress(blob), np.uint8).astype(np.int64)
+            total = part if total is None else np.minimum(255, total + part)
+    yield bloom.as_batch([(key[0].as_py(), zlib.compress(total.astype(np.uint8).tobytes(), 1), b"")])
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, list[np.ndarray]]]:
     """(group, signatures, sets) of each run of rows (root, i, j, sig, shingles)."""
     key, sigs, sets = None, [], []
@@ -208,29 +223,53 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str =
 
     bits = spark.sparkContext.broadcast(bloom.merge(map_arrow(texts.select("text"), all_shingles, bloom.SLICE_SCHEMA), cells, True).tobytes())
 
+    def survivors(part: pa.RecordBatch, done: set[int]) -> Iterator[tuple[int, np.ndarray, int]]:
+        """(row, repeated shingles, prefix length) of nodes that may link, each once a task."""
+        bitmap = np.frombuffer(bits.value, np.uint8)
+        values, bounds, sigs = shingle_sets(part.column("text"), width)
+        sizes = np.diff(bounds)
+        maybe = bloom.holds(bitmap, values, hashes)
+        repeated = np.diff(np.concatenate([[0], np.cumsum(maybe)])[bounds])
+        length = repeated - needed(sizes, percent) + 1
+        for i in np.flatnonzero((length > 0) & (sizes > 0)).tolist():
+            if int(sigs[i]) not in done:
+                done.add(int(sigs[i]))
+                yield i, values[bounds[i] : bounds[i + 1]][maybe[bounds[i] : bounds[i + 1]]], int(length[i])
+
+    width_of = min(SKETCH_CELLS, max(1 << 16, cells))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, done = np.zeros(width_of, np.uint8), set()
+        for b in batches:
+            for part in slices(b, "text"):
+                if own := [own for _, own, _ in survivors(part, done)]:
+                    cell, n = np.unique(np.concatenate(own) & np.uint64(width_of - 1), return_counts=True)
+                    cell = cell.astype(np.int64)
+                    table[cell] = np.minimum(255, table[cell] + np.minimum(n, 255))
+        yield from (bloom.as_batch([(k, zlib.compress(table[at : at + bloom.SLICE_CELLS].tobytes(), 1), b"")]) for k, at in enumerate(range(0, width_of, bloom.SLICE_CELLS)) if table[at : at + bloom.SLICE_CELLS].any())
+
+    sketch = np.zeros(width_of, np.uint8)
+    for r in map_arrow(texts.select("text"), counts, bloom.SLICE_SCHEMA).groupBy("slice").applyInArrow(_added, bloom.SLICE_SCHEMA).collect():
+        part = np.frombuffer(zlib.decompress(r["once"]), np.uint8)
+        sketch[r["slice"] * bloom.SLICE_CELLS :][: len(part)] = part
+    often = spark.sparkContext.broadcast(sketch.tobytes())
+
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, tags = np.frombuffer(bits.value, np.uint8), Tags()
+        rarity, tags = np.frombuffer(often.value, np.uint8), Tags()
         holder: dict[int, int] = {}  # of each emitted shingle of this task
         done: set[int] = set()
         for b in batches:
             for part in slices(b, "text"):
-                values, bounds, sigs = shingle_sets(part.column("text"), width)
-                sizes = np.diff(bounds)
-                maybe = bloom.holds(bitmap, values, hashes)
-                repeated = np.diff(np.concatenate([[0], np.cumsum(maybe)])[bounds])
-                length = repeated - needed(sizes, percent) + 1
+                _, bounds, sigs = shingle_sets(part.column("text"), width)
+                sizes, signed = np.diff(bounds), sigs.view(np.int64)
                 keys, links = [[] for _ in sizes], [[] for _ in sizes]
-                signed = sigs.view(np.int64)
-                for i in np.flatnonzero((length > 0) & (sizes > 0)).tolist():
-                    sig = int(signed[i])
-                    if sig in done:
-                        continue
-                    done.add(sig)
-                    own = values[bounds[i] : bounds[i + 1]]
-                    own = own[maybe[bounds[i] : bounds[i + 1]]][: length[i]].view(np.int64).tolist()
-                    first = [holder.setdefault(k, sig) for k in own]
-                    keys[i] = [k for k, f in zip(own, first, strict=True) if f == sig]
-                    links[i] = list({*first} - {sig})
+                for i, own, length in survivors(part, done):
+                    sig, seen = int(signed[i]), rarity[(own & np.uint64(width_of - 1)).astype(np.int64)]
+                    first = np.argsort(seen, kind="stable")[:length]  # ``own`` is in hash order
+                    own = own[first][seen[first] > 1].view(np.int64).tolist()  # a shingle counted once has no other holder
+                    holders = [holder.setdefault(k, sig) for k in own]
+                    keys[i] = [k for k, f in zip(own, holders, strict=True) if f == sig]
+                    links[i] = list({*holders} - {sig})
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(tags.take(len(sizes)), pa.int64()), part.column("doc_id"), pa.array(signed, mask=sizes == 0), pa.array(sizes.astype(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(links, pa.list_(pa.int64()))],
                     ["tag", "doc_id", "sig", "n_shingles", "keys", "links"],
