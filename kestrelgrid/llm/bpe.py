@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .cluster import map_arrow
 
-#: Parts kept by a Python worker, about 150 bytes each.
-KEPT_PARTS = 400_000
+#: Parts kept during a task, about 200 bytes each; a Python worker gives them back for its next task.
+KEPT_PARTS = 250_000
 _CUT = re.compile(r"(?<=[^\s])(?=\x20[^\s])")
 
 
@@ -143,6 +143,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, text_column: str = "t
                 if with_ids:
                     columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+        own.parts.clear()
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>"] * with_ids)

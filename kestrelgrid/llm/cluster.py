@@ -13,13 +13,21 @@ import pyarrow as pa
 from pyspark import SparkContext, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 _shipped: set[str] = set()
 
 
+#: Rows of one Arrow batch: whole texts pass through, so batches are kept small.
+BATCH_ROWS = 2048
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each application."""
+    """Send this package to the executors once for each application; keep Arrow batches of the session small."""
     sc: SparkContext = spark.sparkContext
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(size)) <= BATCH_ROWS:
+        spark.conf.set(size, str(BATCH_ROWS))
     if sc.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parents[1]
@@ -53,6 +61,29 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(function, schema)
 
 
+def annotate(docs: DataFrame, text_column: str, function: Callable[[pa.Array], list[pa.Array]], fields: dict[str, str]) -> tuple[DataFrame, list[str]]:
+    """``docs`` with new columns that ``function`` makes from whole texts, and the names they got (none clashes)."""
+    names = []
+    for name in fields:
+        while name in docs.columns:
+            name = f"_{name}"
+        names.append(name)
+    schema = StructType(docs.schema.fields + [StructField(n, kind) for n, kind in zip(names, (f.dataType for f in _parsed(docs.sparkSession, fields)), strict=True)])
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = function(batch.column(at).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, schema), names
+
+
+def _parsed(spark: SparkSession, fields: dict[str, str]) -> list[StructField]:
+    return spark.createDataFrame([], ", ".join(f"{n} {k}" for n, k in fields.items())).schema.fields
+
+
 class Tags:
     """Row numbers that no two rows of a job share; a task that is run again gives the same ones.
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .cluster import Tags, attach, map_arrow, ship, written
+from .cluster import Tags, annotate, attach, map_arrow, written
 from .text import WHITE
 
 
@@ -95,20 +95,16 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     row a task.
     """
     spark = docs.sparkSession
-    ship(spark)
     table = digest_table(docs, id_column, text_column)
     bits = spark.sparkContext.broadcast(repeat_filter(table, table.count()).tobytes())
 
-    @F.pandas_udf("struct<sha binary, maybe boolean>")
-    def test(text):
-        import pandas as pd
-
-        shas = digests(pa.array(text, pa.string(), from_pandas=True))
+    def test(text: pa.Array) -> list[pa.Array]:
+        shas = digests(text)
         maybe = bloom.holds(np.frombuffer(bits.value, np.uint8), _keys(shas)) if shas else np.zeros(0, bool)
-        return pd.DataFrame({"sha": shas, "maybe": maybe})
+        return [pa.array(shas, pa.binary()), pa.array(maybe)]
 
-    text = F.col(text_column).cast("string")
-    tested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), test(text).alias("t"), F.coalesce(F.length(text), F.lit(0)).alias("chars"), F.col(id_column).cast("long").alias("doc_id"))
-    alone = tested.where("not t.maybe").select("row.*")
-    best = tested.where("t.maybe").groupBy(F.col("t.sha").alias("sha")).agg(F.min_by("row", _order()).alias("row"))
-    return alone.unionAll(best.select("row.*"))
+    tested, (sha, maybe) = annotate(docs, text_column, test, {"sha": "binary", "maybe": "boolean"})
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = tested.where(maybe).select(F.col(sha).alias("sha"), F.struct(*columns).alias("row"), F.coalesce(F.length(F.col(f"`{text_column}`").cast("string")), F.lit(0)).alias("chars"), F.col(f"`{id_column}`").cast("long").alias("doc_id"))
+    best = rows.groupBy("sha").agg(F.min_by("row", _order()).alias("row"))
+    return tested.where(f"not {maybe}").select(*columns).unionAll(best.select("row.*"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import map_arrow, ship
+from .cluster import annotate, map_arrow
 from .text import binary, slices
 
 HIDDEN = 8
@@ -253,15 +253,11 @@ def identify(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = (
 
 def keep_identified(docs: DataFrame, network: Network | None, least: float, text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is told with a score of ``least`` or more, with all columns."""
-    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(network)
 
-    @F.pandas_udf("double")
-    def score(text):
-        import pandas as pd
+    def score(text: pa.Array) -> list[pa.Array]:
+        parts = [predict(sent.value, p.column(0)) for p in slices(pa.RecordBatch.from_arrays([text], ["text"]), "text")]
+        return [pa.array([s if name != "und" else -1.0 for names, scores in parts for name, s in zip(names, scores.tolist(), strict=True)], pa.float64())]
 
-        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], ["text"])
-        parts = [np.where(np.array(names) == "und", -1.0, s) for names, s in (predict(sent.value, p.column(0)) for p in slices(batch, "text"))]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
-
-    return docs.where(score(F.col(text_column).cast("string")) >= least)
+    scored, (name,) = annotate(docs, text_column, score, {"score": "double"})
+    return scored.where(F.col(name) >= least).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -33,6 +33,7 @@ def histogram(docs: DataFrame, ranks_file: str, pattern: str, text_column: str =
             for at in range(0, whole.num_rows, 512):
                 for x in own.encode(whole.slice(at, 512).column(0).to_pylist()):
                     counts[len(x) // 4] = counts.get(len(x) // 4, 0) + 1
+        own.parts.clear()
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(np.fromiter(counts.values(), np.int64))], ["length", "docs"])
 

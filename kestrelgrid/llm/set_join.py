@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .cluster import Tags, attach, components, map_arrow, written
+from .cluster import Tags, annotate, attach, components, map_arrow, written
 from .text import Words, distinct, list_column, set_hash, slices
 
 #: Shingles in one part of a block; a task holds two parts at most, about 40 bytes a shingle.
@@ -370,18 +370,17 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str
         return docs
     bits = spark.sparkContext.broadcast(bloom.build(gone, "sig", bloom.cells_for(n), repeats=False).tobytes())
 
-    @F.pandas_udf("struct<sig long, maybe boolean>")
-    def test(text):
-        import pandas as pd
-
-        out = []
-        for part in slices(pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], ["text"]), "text"):
-            values, bounds, sigs = shingle_sets(part.column(0), width)
-            out.append((sigs.view(np.int64), bloom.holds(np.frombuffer(bits.value, np.uint8), sigs) & (np.diff(bounds) > 0)))
-        sigs, maybe = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, bool))
-        return pd.DataFrame({"sig": sigs, "maybe": maybe})
-
-    tested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_column).cast("long").alias("_id"), test(F.col(text_column).cast("string")).alias("t"))
-    sure = tested.where("not t.maybe").select("row.*")
-    unsure = tested.where("t.maybe").join(gone.withColumnRenamed("doc_id", "gone_id"), (F.col("t.sig") == F.col("sig")) & F.col("_id").eqNullSafe(F.col("gone_id")), "left_anti")
-    return sure.unionAll(unsure.select("row.*"))
+    def test(text: pa.Array) -> list[pa.Array]:
+        found, bitmap = [], np.frombuffer(bits.value, np.uint8)
+        for part in slices(pa.RecordBatch.from_arrays([text], ["text"]), "text"):
+            _, bounds, sigs = shingle_sets(part.column(0), width)
+            found.append((sigs.view(np.int64), bloom.holds(bitmap, sigs) & (np.diff(bounds) > 0)))
+        sigs, maybe = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, bool))
+        return [pa.array(sigs), pa.array(maybe)]
+
+    tested, (sig, maybe) = annotate(docs, text_column, test, {"sig": "long", "maybe": "boolean"})
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("sig").alias("_gone_sig"))
+    dropped = (F.col(sig) == F.col("_gone_sig")) & F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col("_gone_id"))
+    unsure = tested.where(maybe).join(gone, dropped, "left_anti")
+    return tested.where(f"not {maybe}").select(*columns).unionAll(unsure.select(*columns))
