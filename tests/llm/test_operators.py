@@ -211,6 +211,28 @@ def test_suffix_tree_states():
         assert tree.score(*suffix_tree.symbols(Words(pa.array([text])), depth))[0] == pytest.approx(want, abs=1e-4)
 
 
+@pytest.mark.parametrize("part", [50, 10**6])
+def test_suffix_tree_parts(spark, part):
+    """The tree in parts gives the scores of the tree in memory."""
+    texts, depth = ["the cat sat on the mat", "the cat ate the rat", "Ça va, the end", "", None, "on the mat the cat"], 6
+    others = ["the cat sat", "the zebra", "q", "", "the cat sat on the mat ate the rat"]
+    rows = [(i, t, False) for i, t in enumerate(texts)] + [(100 + i, t, True) for i, t in enumerate(others)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(2)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(df, F.col("held"), depth, 2, 0.05, part=part).collect()}
+    tree = suffix_tree.Tree(_levels(texts, depth, 2), 0.05)
+    for i, t, _ in rows:
+        assert got[i] == pytest.approx(tree.score(*suffix_tree.symbols(Words(pa.array([t], pa.string())), depth))[0], abs=1e-4)
+
+
+def test_suffix_tree_keeps_rare_contexts_of_large_corpora(spark):
+    """What occurs five times is learnt, however much other text there is."""
+    common, rare = "lorem ipsum dolor sit amet " * 4000, "quick zephyrs vex bold jackdaw flocks"
+    rows = [(i, common, False) for i in range(30)] + [(100 + i, rare, False) for i in range(5)] + [(200, rare, True), (201, "kciuq srhypez xev dlob wadkcaj skcolf", True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(df, F.col("held")).collect()}
+    assert got[200] > 0.2 * got[201]
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
