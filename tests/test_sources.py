@@ -115,3 +115,24 @@ def test_feed_refresh(spark, tmp_path):
     rows = feeds.changes(spark, str(tmp_path / "in"), "ts timestamp, path string", (".ex",), ("deps",))
     feeds.refresh(rows, lambda df: seen.extend(r["path"] for r in df.collect()), str(tmp_path / "state"), every=None).awaitTermination()
     assert seen == ["lib/a.ex"]
+
+
+def test_tool_log_stream_has_all_windows(spark):
+    """The stream's table is the batch aggregate over all events, the last day's open windows with it."""
+    import pytest
+
+    from kestrelgrid.operators import usage as U
+    from kestrelgrid.plans import load
+
+    from .conftest import SF
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    log = events.select(F.date_trunc("day", "ts").alias("day"), F.col("event_type").alias("tool_name"), F.col("value").alias("execution_time_ms"), (F.col("event_type") != "error").alias("success"), F.get_json_object("props", "$.k").cast("bigint").alias("tokens"))
+    want = {(str(r["day"]), r["tool_name"]): r for r in log.groupBy("day", "tool_name").agg(*U.measures()).collect()}
+    rows = load()["stream_tool_log"](spark, SF).collect()
+    got = {(str(r["day"]), r["tool_name"]): r for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys()
+    assert sum(r["calls"] for r in rows) == events.count()
+    for k, r in got.items():
+        for c in ("calls", "success_pct", "total_ms", "avg_ms", "tokens"):
+            assert r[c] == pytest.approx(want[k][c], abs=1e-5)
