@@ -21,16 +21,18 @@ from .text import mix
 SLICE_CELLS = 1 << 19
 #: The largest filter that is broadcast: 16 MB. More keys raise the rate of false positives, never lose a repeat.
 MOST_CELLS = 1 << 27
+#: Keys that a task holds at a time; their cells become slices, so no task holds a whole filter.
+LOT = 1 << 20
 
 
-def cells_for(keys: int, each: int = 16) -> int:
-    return 1 << min(MOST_CELLS.bit_length() - 1, max(16, int(max(1, keys) * each - 1).bit_length()))
+def cells_for(keys: int, each: int = 16, most: int = MOST_CELLS) -> int:
+    return 1 << min(most.bit_length() - 1, max(16, int(max(1, keys) * each - 1).bit_length()))
 
 
-def probes(keys: np.ndarray, cells: int, hashes: int) -> list[np.ndarray]:
-    """One or two cells for each 64-bit key; one is better where there are few cells for each key."""
+def probes(keys: np.ndarray, cells: int) -> list[np.ndarray]:
+    """The two cells of each 64-bit key."""
     keys = keys.astype(np.uint64)
-    return [(k & np.uint64(cells - 1)).astype(np.int64) for k in ([keys, mix(keys)] if hashes == 2 else [keys])]
+    return [(k & np.uint64(cells - 1)).astype(np.int64) for k in (keys, mix(keys))]
 
 
 def _pack(bits: np.ndarray) -> bytes:
@@ -41,23 +43,31 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(blob), np.uint8)
 
 
-def slices_of(batches: Iterable[np.ndarray], cells: int, repeats: bool, hashes: int = 2) -> Iterator[tuple[int, bytes, bytes]]:
-    """(slice, once, twice) of one task's keys. Cell numbers gather in bounded lots before they are set."""
-    once = np.zeros(cells, bool)
-    twice = np.zeros(cells if repeats else 0, bool)
+def _lot(keys: np.ndarray, cells: int, repeats: bool) -> Iterator[tuple[int, bytes, bytes]]:
+    cell = np.concatenate(probes(keys, cells))
+    cell.sort()
+    # a key whose two probes meet in one cell counts as two hits: it can only be a false positive
+    again = cell[1:][cell[1:] == cell[:-1]] if repeats else cell[:0]
+    edges = np.arange(0, cells + 1, min(cells, SLICE_CELLS))
+    for k, (a, b, c, d) in enumerate(zip(*(np.searchsorted(x, e) for x in (cell, again) for e in (edges[:-1], edges[1:])), strict=True)):
+        if a < b:
+            once, twice = np.zeros((2, min(cells, SLICE_CELLS)), bool)
+            once[cell[a:b] - edges[k]] = True
+            twice[again[c:d] - edges[k]] = True
+            yield k, _pack(once), _pack(twice) if repeats else b""
+
+
+def slices_of(batches: Iterable[np.ndarray], cells: int, repeats: bool) -> Iterator[tuple[int, bytes, bytes]]:
+    """(slice, once, twice) of one task's keys, lot by lot."""
+    waiting, held = [], 0
     for keys in batches:
-        for cell in probes(keys, cells, hashes):
-            if repeats:
-                # a key whose two probes meet in one cell counts as two hits: it can only be a false positive
-                cell = np.sort(cell)
-                again = cell[1:][cell[1:] == cell[:-1]]
-                twice[again] = True
-                twice[cell[once[cell]]] = True
-            once[cell] = True
-    for at in range(0, cells, SLICE_CELLS):
-        part = once[at : at + SLICE_CELLS]
-        if part.any():
-            yield at // SLICE_CELLS, _pack(part), _pack(twice[at : at + SLICE_CELLS]) if repeats else b""
+        waiting.append(keys)
+        held += len(keys)
+        if held >= LOT:
+            yield from _lot(np.concatenate(waiting), cells, repeats)
+            waiting, held = [], 0
+    if held:
+        yield from _lot(np.concatenate(waiting), cells, repeats)
 
 
 SLICE_SCHEMA = "slice int, once binary, twice binary"
@@ -97,9 +107,9 @@ def merge(parts: DataFrame, cells: int, repeats: bool) -> np.ndarray:
     return out
 
 
-def holds(bitmap: np.ndarray, keys: np.ndarray, hashes: int = 2) -> np.ndarray:
+def holds(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each key may be in the filter."""
     out = np.ones(len(keys), bool)
-    for cell in probes(keys, len(bitmap) * 8, hashes):
+    for cell in probes(keys, len(bitmap) * 8):
         out &= (bitmap[cell >> 3] & (np.uint8(128) >> (cell & 7).astype(np.uint8))) > 0
     return out

@@ -11,7 +11,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark import SparkContext, TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -20,14 +20,21 @@ _shipped: set[str] = set()
 
 #: Rows of one Arrow batch: whole texts pass through, so batches are kept small.
 BATCH_ROWS = 2048
+BATCH_BYTES = 8 << 20
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each application; keep Arrow batches of the session small."""
+    """Send this package to the executors once for each application; keep Arrow batches of the session small, in rows and bytes."""
     sc: SparkContext = spark.sparkContext
-    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(size)) <= BATCH_ROWS:
-        spark.conf.set(size, str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
     if sc.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parents[1]
@@ -40,23 +47,37 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset a folder of our own (tests)."""
+    """This application's folder below spark.checkpoint.dir, deleted when the application ends.
+
+    Where that is unset a local folder of our own serves, in local mode only: on
+    a cluster other machines wouldn't see it.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="kestrelgrid-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="kestrelgrid-"))
+    folder = f"{at.rstrip('/')}/kestrelgrid-{spark.sparkContext.applicationId}"
+    if folder not in _marked:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _marked.add(folder)
+    return folder
+
+
+_local: dict[str, str] = {}
+_marked: set[str] = set()
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, and losing an executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/kestrelgrid/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
 
@@ -65,7 +86,7 @@ def annotate(docs: DataFrame, text_column: str, function: Callable[[pa.Array], l
     """``docs`` with new columns that ``function`` makes from whole texts, and the names they got (none clashes)."""
     names = []
     for name in fields:
-        while name in docs.columns:
+        while name.lower() in {c.lower() for c in docs.columns}:
             name = f"_{name}"
         names.append(name)
     schema = StructType(docs.schema.fields + [StructField(n, kind) for n, kind in zip(names, (f.dataType for f in _parsed(docs.sparkSession, fields)), strict=True)])
@@ -106,7 +127,7 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, tota
     group's row is repeated once for each share of rows. ``spread`` is a long
     column of ``rows`` that deals its rows out evenly.
     """
-    hot = max(20_000, total // 1024)
+    hot = max(2_000, total // 1024)
     shares = F.ceil(F.col(count) / hot).cast("int")
     groups = groups.withColumn("_shares", shares)
     many = groups.where(F.col("_shares") > 1).select(*keys, "_shares")
@@ -115,27 +136,27 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, tota
     return rows.join(groups, [*keys, "_salt"]).drop("_salt")
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every a has one b, and no b is an a."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("below")).unionAll(edges.select(F.col("b").alias("n"), F.lit(0).alias("below")))
+    times = ends.groupBy("n").agg(F.sum("below").alias("below"), F.count("*").alias("all"))
+    return times.where("below > 1 or (below = 1 and all > 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges(a, b), longs; root is the smallest node reachable.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014) until
-    nothing changes: each step is two aggregations, and a star's links are
-    dealt out again with each step, so long chains end after a logarithmic
-    number of steps. Nothing is collected but one count a step.
+    Alternating large-star and small-star steps (Kiveris et al., 2014) until the
+    links are stars: each step is an aggregation, counted map-side first, and a
+    join back, in which adaptive execution splits a star of very many links.
+    Nothing is collected but one answer a step.
     """
-    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = lambda e: e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     current = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
+    while not _is_stars(current):
         around = both(current)
-        least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = around.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large)
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a")
-        current = written(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            break
-        state = tuple(now)
-    return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        least = around.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"))
+        large = written(around.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        current = written(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+    return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

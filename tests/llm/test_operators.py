@@ -42,6 +42,21 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+class Union:
+    """Classes by plain union-find."""
+
+    def __init__(self, n):
+        self.up = list(range(n))
+
+    def find(self, i):
+        while self.up[i] != i:
+            i = self.up[i]
+        return i
+
+    def join(self, a, b):
+        self.up[self.find(a)] = self.find(b)
+
+
 def words(text):
     return WORD.findall((text or "").translate(LOWER))
 
@@ -102,7 +117,7 @@ def test_exact_dedup_false_positives_only_shuffle(docs, monkeypatch):
     assert exact_dedup.drop_repeats(docs).count() == len({re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in TEXTS})
 
 
-@pytest.mark.parametrize("width,percent,items", [(4, 85, 2_000_000), (5, 80, 2_000_000), (2, 50, 100)])
+@pytest.mark.parametrize("width,percent,items", [(4, 85, 200_000), (5, 80, 200_000), (2, 50, 100)])
 def test_ngram_join(docs, monkeypatch, width, percent, items):
     monkeypatch.setattr(set_join, "MOST_ITEMS", items)
     rows = set_join.groups(docs, width, percent).collect()
@@ -110,11 +125,11 @@ def test_ngram_join(docs, monkeypatch, width, percent, items):
     for i, t in TEXTS:
         w = words(t)
         sets.append(frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset())
-    own = set_join.Classes(len(sets))
+    own = Union(len(sets))
     for a in range(len(sets)):
         for b in range(a):
             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                own.join(a, np.array([b]))
+                own.join(a, b)
     members = collections.defaultdict(list)
     for k, (i, _) in enumerate(TEXTS):
         members[own.find(k)].append(i)
@@ -131,22 +146,66 @@ def test_keep_one(docs):
     assert 11 in ids and not {12, 13} & set(ids) and ids.count(3) == 1
 
 
-def test_t_occurrence_search_is_exact():
-    rng = np.random.default_rng(3)
-    pool = rng.integers(0, 2**62, 400).astype(np.uint64)
-    sets = [np.unique(rng.choice(pool, 60)) for _ in range(60)]
-    for k in range(30):
+def random_sets(rng, n, size, pool):
+    sets = [np.unique(rng.choice(pool, size)) for _ in range(n)]
+    for k in range(n // 2):
         s = sets[k].copy()
-        s[rng.integers(0, len(s), 2)] = rng.integers(0, 2**62, 2).astype(np.uint64)
+        s[rng.integers(0, len(s), 2)] = rng.integers(0, 2**62, 2)
         sets.append(np.unique(s))
-    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    index = set_join.Index(np.concatenate(sets), bounds)
+    return sets
+
+
+@pytest.mark.parametrize("mu", [0.0085, 0.5, 1000.0])
+def test_t_occurrence_search_is_exact(monkeypatch, mu):
+    monkeypatch.setattr(set_join, "MU", mu)
+    rng = np.random.default_rng(3)
+    sets = random_sets(rng, 60, 60, rng.integers(0, 2**62, 400))
+    index = set_join.Index(*set_join._packed(sets))
     for percent in (50, 85):
         for q in range(len(sets)):
-            skip = np.zeros(len(sets), bool)
-            skip[q] = True
+            of = np.zeros(len(sets), int)
+            of[q] = 1
             want = {k for k, s in enumerate(sets) if k != q and 100 * len(np.intersect1d(s, sets[q])) >= percent * len(np.union1d(s, sets[q]))}
-            assert set(index.search(q, percent, skip).tolist()) == want
+            assert set(index.search(sets[q], percent, of, 1).tolist()) == want
+
+
+def test_heap_merge_skips():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        runs = [np.unique(rng.integers(0, 40, rng.integers(0, 12))).tolist() for _ in range(rng.integers(1, 9))]
+        counts = collections.Counter(x for run in runs for x in run)
+        for least in range(1, len(runs) + 1):
+            assert dict(zip(*set_join.merge_skip(runs, least), strict=True)) == {x: n for x, n in counts.items() if n >= least}
+
+
+@pytest.mark.parametrize("items", [60, 500, 10**6])
+def test_large_blocks(spark, monkeypatch, items):
+    """Groups of near copies, chains of them, and texts on one template, in one part and in many; compared with all pairs."""
+    monkeypatch.setattr(set_join, "MOST_ITEMS", items)
+    rng, rows = np.random.default_rng(6), []
+    word = lambda k: [f"v{x}" for x in rng.integers(0, 10**6, k)]
+    base, template, chain = word(60), word(40), word(80)
+    for _ in range(60):
+        w = list(base)
+        w[rng.integers(0, 60)] = word(1)[0]
+        rows.append(" ".join(w))
+    rows += [" ".join(template + word(25)) for _ in range(40)]
+    for k in range(12):
+        rows.append(" ".join(chain[4 * k : 4 * k + 40]))
+    rows += [" ".join(word(30)) for _ in range(10)] + rows[:5]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    sets = [frozenset(tuple(w[k : k + 2]) for k in range(len(w) - 1)) for w in map(words, rows)]
+    own = Union(len(sets))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                own.join(a, b)
+    least = {}
+    for k in range(len(sets)):
+        least[own.find(k)] = min(least.get(own.find(k), k), k)
+    got = {r["doc_id"]: r["component_id"] for r in set_join.groups(docs, 2, 80).collect()}
+    assert got == {k: least[own.find(k)] for k in range(len(sets))}
+    assert set_join.keep_one(docs, 2, 80).count() == len(least)
 
 
 def test_suffix_tree_base(docs):
