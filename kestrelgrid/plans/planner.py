@@ -4,51 +4,45 @@ from __future__ import annotations
 
 import re
 import shlex
-from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
+
 # Limits of JSON queries, bytes at which results are warned about and cut.
 MOST_CHARACTERS, MOST_NESTING = 10_000, 50
 WARN_BYTES, CUT_BYTES = 500_000, 1_000_000
 SAMPLE_ROWS = 5
 
 
-def tokenize(text: str) -> list[str]:
-    """Words, with shell-like quotes; text that doesn't parse is split at white space."""
+# What makes a word a pattern: a wildcard or alternatives, an arity, a source file before a colon, a module's name.
+_IN_WORD = re.compile(r"[*|]|/[0-9]+$|:.*\.ex|\.ex.*:|^[A-Z][^.]*\.")
+# In a text that isn't parted yet, any slash is a sign too: spaces may belong to the pattern.
+_IN_TEXT = re.compile(r"/|" + _IN_WORD.pattern)
+
+
+def parted(text: str) -> list[str]:
+    """Words of a text, quotes as in a shell; with an open quote, at white space."""
     try:
         return shlex.split(text)
     except ValueError:
         return text.split()
 
 
-def is_pattern(term: str) -> bool:
-    """Wildcards, alternatives, an arity, a file prefix or a qualified module make a pattern."""
-    return "*" in term or "|" in term or bool(re.search(r"/\d+$", term)) or (":" in term and ".ex" in term) or ("." in term and term[:1].isupper())
-
-
-@dataclass
-class Strategy:
-    keywords: list[str | list[str]] = field(default_factory=list)
-    patterns: list[str] = field(default_factory=list)
-
-
-def analyze(query: str | list[str | list[str]]) -> Strategy:
-    """Keywords and patterns of a query. A string with pattern syntax is taken whole; lists are synonym groups."""
-    if isinstance(query, str):
-        whole = any(c in query for c in "|*/") or (":" in query and ".ex" in query) or ("." in query and query[:1].isupper())
-        query = [query] if whole else list(tokenize(query))
-    out = Strategy()
-    for item in query:
-        if isinstance(item, list):
-            if group := [s.strip() for s in item if s.strip()]:
-                out.keywords.append(group)
-            continue
-        term = item.strip()
-        if not term.strip("|"):
-            continue
-        (out.patterns if is_pattern(term) else out.keywords).append(term)
+def read_query(query: str | list[str | list[str]]) -> dict[str, list]:
+    """``keywords`` (a list among them is one group of synonyms) and ``patterns`` of a query, in order."""
+    items = query if not isinstance(query, str) else [query] if _IN_TEXT.search(query) else parted(query)
+    out: dict[str, list] = {"keywords": [], "patterns": []}
+    for item in items:
+        if isinstance(item, str):
+            word = item.strip()
+            kind = "patterns" if _IN_WORD.search(word) else "keywords"
+            said = word if word.strip("|") else None
+        else:
+            kind, said = "keywords", [w.strip() for w in item if w.strip()]
+        if said:
+            out[kind].append(said)
     return out
 
 
@@ -125,7 +119,24 @@ def cut(text: str) -> str:
     return text[: end if end > 0 else CUT_BYTES] + f"\n... {len(text) - CUT_BYTES} more characters"
 
 
-def hints(strategy: Strategy, options: dict) -> list[str]:
+def other_case(name: str) -> str:
+    """snake_case for camelCase and the other way round."""
+    if "_" in name.strip("_"):
+        head, *rest = name.split("_")
+        return head + "".join(p.title() for p in rest)
+    return re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name).lower()
+
+
+def relaxed(pattern: str) -> list[tuple[str, str]]:
+    """A function pattern and what to try instead, in order; each relaxation holds for all alternatives."""
+    said = [P.function_parts(p) for p in P.split_or(pattern) or ["*"]]
+    names = [x["name"] or "*" for x in said]
+    with_arity = [n + (f"/{x['arity']}" if x["arity"] else "") for n, x in zip(names, said, strict=True)]
+    tries = {"as asked": [pattern], "any module": with_arity, "any arity": names, "private twin": [f"_{n}" for n in names], "other case": map(other_case, names), "part of the name": [f"*{n}*" for n in names if len(n.strip("*")) >= 4]}
+    return [(note, text) for note, alternatives in tries.items() if (text := "|".join(alternatives))]
+
+
+def hints(said: dict[str, list], options: dict) -> list[str]:
     """What to try when nothing was found."""
     out = []
     if options.get("recent"):
@@ -134,9 +145,9 @@ def hints(strategy: Strategy, options: dict) -> list[str]:
         out.append("search all scopes")
     if options.get("source", "all") != "all":
         out.append("search docs, strings and comments")
-    if strategy.patterns and not any("*" in p for p in strategy.patterns):
-        out.append(f"use a wildcard: *{strategy.patterns[0].rsplit('.', 1)[-1]}*")
-    if len(strategy.keywords) > 1:
+    if said["patterns"] and not any("*" in p for p in said["patterns"]):
+        out.append(f"use a wildcard: *{said['patterns'][0].rsplit('.', 1)[-1]}*")
+    if len(said["keywords"]) > 1:
         out.append("use fewer terms")
     return out or ["try other words"]
 
