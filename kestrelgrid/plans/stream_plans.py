@@ -2,72 +2,56 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import merge as M
+from ..sources.shared import shared_folder
 from ..streaming import feeds
 from .registry import query
 
 
-def _folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share; our own only where the cluster names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='kestrelgrid-')}"
-    return f"{base.rstrip('/')}/kestrelgrid/{uuid.uuid4().hex}"
-
-
-def drained(rows: DataFrame, keep, spark: SparkSession, folder: str) -> None:
-    feeds.refresh(rows, keep, f"{folder}/state", every=None).awaitTermination()
-
-
 def _stream(t, name: str) -> DataFrame:
     """A table as a stream; the path is a glob, so that it may name one file or a folder."""
     return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{t.sf_dir}/{name}.parque[t]")
 
 
-@query("T7 T3")
+_LOG_MEASURES = "count(*) as calls, round(coalesce(100.0::double * count(*) filter (success) / nullif(count(*), 0), 0), 6) as success_pct, round(sum(execution_time_ms), 6) as total_ms, round(avg(execution_time_ms), 6) as avg_ms, sum(tokens)::bigint as tokens"
+
+
+@query("T7 T3", f"select date_trunc('day', ts)::timestamp as day, tool_name, {_LOG_MEASURES} from tool_log group by all", "tool_log")
 def stream_tool_log(t):
-    """Daily measures by tool from the events as a stream, in micro-batches into a table; the last state of each window counts, also of those still open at the end."""
-    folder = _folder(t.spark)
+    """Daily measures by tool from the events as a stream; the last state of each window counts, also of those still open at the end."""
+    folder = shared_folder(t.spark)
     log = _stream(t, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("tool_name"), F.col("value").alias("execution_time_ms"), (F.col("event_type") != "error").alias("success"), F.get_json_object("props", "$.k").cast("bigint").alias("tokens"))
     out = feeds.usage_windows(log)
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/out/at={number}")  # a repeated batch replaces itself
-
-    out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    states = t.spark.read.schema(out.withColumn("batch", F.lit(0).cast("long")).schema).parquet(f"{folder}/out/at=*")
-    values = [c for c in out.columns if c not in ("day", "tool_name")]
-    last = states.groupBy("day", "tool_name").agg(F.max_by(F.struct(*values), "batch").alias("last"))
-    return last.select(F.col("day").cast("timestamp_ntz").alias("day"), "tool_name", *[F.col(f"last.{c}").alias(c) for c in values])
+    state = feeds.ChangeLog(t.spark, f"{folder}/windows", out.schema.toDDL(), ["day", "tool_name"], ["calls"])
+    feeds.follow(out, state.add, f"{folder}/checkpoint", every=None).awaitTermination()
+    return state.rows().withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 @query("T1 T4 T5 R13", "select doc_id as path, md5(text) as md5 from documents")
 def stream_incremental(t):
     """File states kept up by an idempotent upsert in each micro-batch."""
-    spark, folder = t.spark, _folder(t.spark)
-    schema = "path bigint, md5 string"
-    at = {"version": 0}
-    spark.createDataFrame([], schema).write.parquet(f"{folder}/v0")
-
-    def update(batch: DataFrame) -> None:
-        old = spark.read.schema(schema).parquet(f"{folder}/v{at['version']}")
-        M.upsert(old, batch.dropDuplicates(["path"]), ["path"]).write.mode("overwrite").parquet(f"{folder}/v{at['version'] + 1}")
-        at["version"] += 1
-
+    folder = shared_folder(t.spark)
     rows = _stream(t, "documents").select(F.col("doc_id").alias("path"), F.md5(F.col("text").cast("binary")).alias("md5"))
-    drained(rows, update, spark, folder)
-    return spark.read.schema(schema).parquet(f"{folder}/v{at['version']}")
+    state = feeds.ChangeLog(t.spark, f"{folder}/files", "path bigint, md5 string", ["path"], ["md5"])
+    feeds.follow(rows, state.add, f"{folder}/checkpoint", every=None).awaitTermination()
+    return state.rows()
 
 
-@query("T2")
+@query("T2", """
+with m as (select *, case when epoch_us(ts) - epoch_us(lag(ts) over w) < 1800000000 then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)),
+b as (select *, sum(fresh) over (partition by user_id order by ts) as burst from m)
+select user_id, min(ts) as first_ts, max(ts) + interval 30 minute as closed_at, count(*) as changes, string_agg(distinct event_type, ',' order by event_type) as paths from b group by user_id, burst""")
 def stream_debounce(t):
-    """Bursts of each user's events: event-time sessions with a quiet period, closed by the watermark."""
-    folder = _folder(t.spark)
+    """Bursts of each user's events: what each micro-batch saw of them, put together; those still open at the end count."""
+    folder = shared_folder(t.spark)
     rows = _stream(t, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("path"), "user_id")
-    out = feeds.bursts(rows, "user_id", quiet=1800)
-    out.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(out.schema).parquet(f"{folder}/out").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "closed_at")})
+
+    def keep(batch: DataFrame, number: int) -> None:
+        feeds.burst_parts(batch, "user_id", quiet=1800).write.mode("overwrite").parquet(f"{folder}/parts/batch={number}")
+
+    feeds.follow(rows, keep, f"{folder}/checkpoint", every=None).awaitTermination()
+    parts = feeds.batches(t.spark, f"{folder}/parts", "user_id bigint, first_ts timestamp, closed_at timestamp, changes bigint, paths array<string>")
+    out = feeds.merged_bursts(parts, "user_id").withColumn("paths", F.array_join("paths", ","))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "closed_at")})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -31,14 +31,64 @@ def bursts(rows: DataFrame, key: str, quiet: int = QUIET, late: str = "10 minute
     return out.select(key, F.col("session_window.start").alias("first_ts"), F.col("session_window.end").alias("closed_at"), "changes", "paths")
 
 
-def refresh(rows: DataFrame, update: Callable[[DataFrame], None], checkpoint: str, every: int | None = COOLDOWN):
-    """Micro-batches into ``update``, one at a time; None: all that is there, then stop. ``update`` must stand repeats."""
+def burst_parts(batch: DataFrame, key: str, quiet: int = QUIET) -> DataFrame:
+    """Bursts of one micro-batch: (key, first_ts, closed_at, changes, paths). One that goes on in another batch has a part in each."""
+    out = batch.groupBy(F.session_window("ts", f"{quiet} seconds"), key).agg(F.count("*").alias("changes"), F.array_sort(F.collect_set("path")).alias("paths"))
+    return out.select(key, F.col("session_window.start").alias("first_ts"), F.col("session_window.end").alias("closed_at"), "changes", "paths")
+
+
+def merged_bursts(parts: DataFrame, key: str) -> DataFrame:
+    """Whole bursts from the parts of all batches, in whatever order their rows came; none is late and open ones count."""
+    order = Window.partitionBy(key).orderBy("first_ts", "closed_at")
+    before = F.max("closed_at").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce((F.col("first_ts") >= before).cast("long"), F.lit(1))
+    burst = F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = parts.withColumn("_fresh", fresh).withColumn("_burst", burst).groupBy(key, "_burst")
+    paths = F.array_sort(F.array_distinct(F.flatten(F.collect_list("paths")))).alias("paths")
+    return rows.agg(F.min("first_ts").alias("first_ts"), F.max("closed_at").alias("closed_at"), F.sum("changes").alias("changes"), paths).drop("_burst")
+
+
+def batches(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """What the batches have left in ``folder``/batch=<number>; no rows if none has run."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(folder)
+
+
+class ChangeLog:
+    """State kept as one small table a micro-batch, the last row of each key counting.
+
+    A batch costs its own rows, not the table's. Its folder is named by the batch
+    number that the checkpoint keeps, so a batch that is run again replaces
+    itself and a restart goes on where it was. ``compact`` folds what is there.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, key: list[str], place: list[str]):
+        """place: columns that tell which of a batch's rows of a key is the last, then the batch counts."""
+        self.spark, self.folder, self.schema, self.key, self.place = spark, folder.rstrip("/"), schema, key, place
+
+    def _last(self, rows: DataFrame, order: list[str]) -> DataFrame:
+        rest = [c for c in rows.columns if c not in self.key]
+        return rows.groupBy(*self.key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*self.key, "_row.*")
+
+    def add(self, batch: DataFrame, number: int) -> None:
+        self._last(batch, self.place).write.mode("overwrite").parquet(f"{self.folder}/batch={number}")
+
+    def rows(self) -> DataFrame:
+        """The last row of each key, over all batches."""
+        every = batches(self.spark, self.folder, f"{self.schema}, batch long")
+        return self._last(every, ["batch", *self.place]).drop("batch")
+
+    def compact(self, into: str) -> ChangeLog:
+        """A new log whose first batch holds the state; batches that follow go there."""
+        self.rows().write.mode("overwrite").parquet(f"{into.rstrip('/')}/batch=-1")
+        return ChangeLog(self.spark, into, self.schema, self.key, self.place)
 
-    def body(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
-            update(batch)
 
-    writer = rows.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
+def follow(rows: DataFrame, keep: Callable[[DataFrame, int], None], checkpoint: str, every: int | None = COOLDOWN):
+    """Micro-batches with their numbers into ``keep``, one at a time; None: all that is there, then stop."""
+    writer = rows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=f"{every} seconds") if every is not None else writer.trigger(availableNow=True)).start()
 
 
