@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import ranks
+
 # Fixed values of the scoring rules.
 MODULE_BOOST = 2.0
 REPEAT_DECAY = 0.5
@@ -32,16 +34,17 @@ def coverage(matched: Column, wanted: int) -> Column:
     return F.lit(COVERAGE_BASE) + F.lit(COVERAGE_SLOPE) * matched / F.lit(float(wanted))
 
 
-def distribution(scored: DataFrame, score: str = "score") -> DataFrame:
+def distribution(scored: DataFrame, score: str = "score", ranges: int = ranks.RANGES) -> DataFrame:
     """Adds mean, sd (sample), z, normalized and percentile (strict) over the whole frame.
 
-    Statistics are one aggregated row joined to all; the percentile needs a
-    global rank, taken over distinct scores with their running counts.
+    Statistics are one aggregated row joined to all; the percentile counts the
+    rows below each distinct score, range by range (1: for frames that a limit
+    bounds).
     """
     s = F.col(score)
     stats = scored.agg(F.avg(s).alias("mean"), F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("sd"), F.min(s).alias("low"), F.max(s).alias("high"), F.count("*").alias("n"))
     levels = scored.groupBy(score).agg(F.count("*").alias("here"))
-    below = levels.withColumn("less", F.coalesce(F.sum("here").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("here")
+    below = ranks.before(levels, s, [s], F.col("here"), "less", ranges).drop("here")
     out = scored.join(below, score).crossJoin(F.broadcast(stats))
     flat = F.col("high") == F.col("low")
     z = F.when(F.col("sd") == 0, 0.0).otherwise((s - F.col("mean")) / F.nullif(F.col("sd"), F.lit(0.0)))
@@ -64,7 +67,7 @@ def tier_rank(name: Column) -> Column:
 
 
 def positional_percentile(scored: DataFrame, score: str, tie: str) -> DataFrame:
-    """Adds ``pct``: 100 * position / n, ascending, ties by ``tie``."""
+    """Adds ``pct``: 100 * position / n, ascending, ties by ``tie`` from the last to the first."""
     n = scored.agg(F.count("*").alias("n"))
-    ranked = scored.withColumn("pct", F.row_number().over(Window.orderBy(score, F.col(tie).desc())))
+    ranked = ranks.numbered(scored, F.col(score), [F.col(score), F.col(tie).desc()], "pct")
     return ranked.crossJoin(F.broadcast(n)).withColumn("pct", F.lit(100.0) * F.col("pct") / F.col("n")).drop("n")

@@ -38,9 +38,14 @@ def tokens(text: Column) -> Column:
     return F.filter(runs(text), lambda x: x.rlike("^[a-zA-Z][a-zA-Z0-9_]*$"))
 
 
+#: Tokens of three characters or more, found in one pass over the text.
+_KEYWORD = r"(?<![\p{L}\p{N}_])[a-zA-Z][a-zA-Z0-9_]{2,}+(?![\p{L}\p{N}_])"
+
+
 def keywords(text: Column) -> Column:
     """Tokens in lower case, longer than two characters and no stop words; repeats stay."""
-    return F.filter(F.transform(tokens(text), F.lower), lambda x: (F.length(x) > 2) & ~x.isin(*STOP_WORDS))
+    found = F.regexp_extract_all(text, F.lit(_KEYWORD), F.lit(0))
+    return F.filter(F.transform(found, F.lower), lambda x: ~x.isin(*STOP_WORDS))
 
 
 # Shapes of code identifiers, whole runs.
@@ -93,6 +98,42 @@ def keyword_pool(text: Column) -> Column:
     return F.concat(weigh(keywords(text), 1), weigh(F.transform(names, F.lower), IDENTIFIER_TIMES), weigh(split_words(names), SPLIT_TIMES))
 
 
+def keyword_map(text: Column) -> Column:
+    """map<keyword, weight> of the JSON forms that indexes hold: an object, a list of words (1 each), of pairs, of objects, or an object around one of these."""
+    inner = F.coalesce(F.get_json_object(text, "$.top_keywords"), F.get_json_object(text, "$.tf_scores"), F.get_json_object(text, "$.keywords"), text)
+    as_map = F.from_json(inner, "map<string,double>")
+    objects = F.filter(F.from_json(inner, "array<struct<word:string,keyword:string,score:double,weight:double>>"), lambda x: F.coalesce(x["word"], x["keyword"]).isNotNull())
+    pairs = F.filter(F.from_json(inner, "array<array<string>>"), lambda x: F.size(x) == 2)
+    words = F.filter(F.from_json(inner, "array<string>"), lambda x: x.isNotNull())
+    entry = lambda k, w: F.struct(k.alias("key"), w.alias("value"))
+    entries = (
+        F.when(inner.rlike(r"^\s*\{"), F.map_entries(as_map))
+        .when(inner.rlike(r"^\s*\[\s*\{"), F.transform(objects, lambda x: entry(F.coalesce(x["word"], x["keyword"]), F.coalesce(x["score"], x["weight"], F.lit(1.0)))))
+        .when(inner.rlike(r"^\s*\[\s*\["), F.transform(pairs, lambda x: entry(x[0], F.coalesce(x[1].try_cast("double"), F.lit(1.0)))))
+        .when(inner.rlike(r"^\s*\["), F.transform(words, lambda x: entry(x, F.lit(1.0))))
+    )
+    # of a keyword named twice the greater weight counts
+    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    best = F.transform(names, lambda n: entry(n, F.array_max(F.transform(F.filter(entries, lambda e: e["key"] == n), lambda e: e["value"]))))
+    return F.map_from_entries(F.coalesce(best, F.array().cast("array<struct<key:string,value:double>>")))
+
+
+def inflections(word: Column) -> Column:
+    """array<struct<word, score>>: the word itself, and its plural or third person, past, present participle, comparative and superlative at a penalty.
+
+    Forms follow the regular spelling rules; identifiers (with a digit or an
+    underscore) have none but themselves.
+    """
+    y_stem = F.when(word.rlike("[^aeiou]y$"), F.regexp_replace(word, "y$", ""))
+    e_off = F.when(word.rlike("[^e]e$"), F.regexp_replace(word, "e$", ""))
+    with_e = lambda end: F.when(y_stem.isNotNull(), F.concat(y_stem, F.lit(f"ie{end}"))).when(word.endswith("e"), F.concat(word, F.lit(end))).otherwise(F.concat(word, F.lit(f"e{end}")))
+    plural = F.when(y_stem.isNotNull(), F.concat(y_stem, F.lit("ies"))).when(word.rlike("(s|x|z|ch|sh)$"), F.concat(word, F.lit("es"))).otherwise(F.concat(word, F.lit("s")))
+    others = F.array(plural, with_e("d"), F.concat(F.coalesce(e_off, word), F.lit("ing")), with_e("r"), with_e("st"))
+    scored = lambda words, score: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(score).alias("score")))
+    own = scored(F.array(word), 1.0)
+    return F.when(word.rlike("[_0-9]"), own).otherwise(F.concat(own, scored(others, INFLECTION_PENALTY)))
+
+
 def canonical(module: Column, name: Column, arity: Column) -> Column:
     return F.concat(module, F.lit("."), name, F.lit("/"), arity.cast("string"))
 

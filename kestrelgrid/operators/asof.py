@@ -38,12 +38,16 @@ def enclosing(points: DataFrame, ranges: DataFrame, key: list[str], at: str, blo
     """The smallest range(start, stop, symbol) of the same key around each point; unmatched points are left out.
 
     Ranges are dealt to all blocks of lines that they touch, so the join is an
-    equi-join on key and block with the exact condition on top.
+    equi-join on key and block with the exact condition on top. Repeated points
+    are answered each: equal ones go through the join as one with their number.
     """
+    names = points.columns
+    points = points.groupBy(*names).agg(F.count("*").alias("_times"))
     dealt = ranges.withColumn("_block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.col("stop") / block))))
     joined = points.withColumn("_block", F.floor(F.col(at) / block)).join(dealt, [*key, "_block"]).where(F.col(at).between(F.col("start"), F.col("stop")))
     best = F.min_by("symbol", F.struct(F.col("stop") - F.col("start"), F.col("start"), F.col("symbol")))
-    return joined.groupBy(*points.columns).agg(best.alias("symbol"))
+    found = joined.groupBy(*names, "_times").agg(best.alias("symbol"))
+    return found.withColumn("_times", F.explode(F.expr("sequence(1L, _times)"))).drop("_times")
 
 
 def band(left: DataFrame, right: DataFrame, key: list[str], left_at: str, right_at: str, reach: int) -> DataFrame:

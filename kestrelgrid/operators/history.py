@@ -67,3 +67,21 @@ def remap(comments: DataFrame, old: DataFrame, new: DataFrame, reach: int = REMA
     b = new.select("file", F.col("line").alias("there"), F.trim("text").alias("said"), F.floor(F.col("line") / (reach + 1)).alias("_b"))
     hit = a.join(b, ["file", "said", "_b"]).where(F.abs(F.col("there") - F.col("line")) <= reach).groupBy("id").agg(F.min("there").alias("now"))
     return comments.join(hit, "id", "left")
+
+
+def of_lines(touches: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
+    """The newest commits of wanted(file, name, start, stop): those that touched the function by name, or if there are none, its lines.
+
+    touches: (file, name, sha, ts, start_line, end_line), a row for each commit
+    and function that it touched. Adds ``by``: name or lines. Both ways are one
+    join on the file and one window.
+    """
+    t = touches.select("file", F.col("name").alias("_name"), "sha", "ts", "start_line", "end_line")
+    near = (F.col("start_line") <= F.col("stop")) & (F.col("end_line") >= F.col("start"))
+    hit = wanted.join(t, "file").withColumn("_named", F.coalesce(F.col("_name") == F.col("name"), F.lit(False))).where(F.col("_named") | near)
+    key = ["file", "name", "start", "stop"]
+    rows = hit.groupBy(*key, "sha", "ts").agg(F.max("_named").alias("_named"))
+    rows = rows.withColumn("_any", F.max("_named").over(Window.partitionBy(*key))).where("_named = _any")
+    order = Window.partitionBy(*key).orderBy(F.col("ts").desc(), "sha")
+    rows = rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
+    return rows.select(*key, "sha", "ts", "rank", F.when(F.col("_any"), "name").otherwise("lines").alias("by"))

@@ -45,3 +45,16 @@ def outside(prs: DataFrame, index: DataFrame, number: str = "number") -> DataFra
     """Rows newer than the newest or older than the oldest of the index; all if it is empty."""
     ends = index.agg(F.max(number).alias("_high"), F.min(number).alias("_low"))
     return prs.crossJoin(F.broadcast(ends)).where(F.col("_high").isNull() | (F.col(number) > F.col("_high")) | (F.col(number) < F.col("_low"))).drop("_high", "_low")
+
+
+def may_save(fetched: DataFrame, index: DataFrame, complete: bool, number: str = "number") -> DataFrame:
+    """What of a fetch may be merged into the index without a hole in it.
+
+    A complete fetch may as a whole. Of one that broke off, rows below the newest
+    of the index may: a later run goes on below them. Newer ones may not, as the
+    next run would start above them and never meet what is missing in between.
+    """
+    if complete:
+        return fetched
+    ends = index.agg(F.max(number).alias("_high"))
+    return fetched.crossJoin(F.broadcast(ends)).where(F.col(number) <= F.col("_high")).drop("_high")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,24 +32,28 @@ def terms(spark: SparkSession, query: Sequence[str | Sequence[str]]) -> DataFram
     return spark.createDataFrame(rows, "term string, grp int, pos int, decay double")
 
 
-def exact(weighted: DataFrame, zipf: DataFrame, query: DataFrame, groups: int) -> DataFrame:
-    """Scores of weighted(entity, kw, weight): sum of weight * zipf * decay, times the coverage bonus.
+def exact(weighted: DataFrame, query: DataFrame, groups: int) -> DataFrame:
+    """Scores of weighted(entity, kw, weight, zipf): sum of weight * zipf * decay, times the coverage bonus.
 
     The query is a handful of literal rows, so it is broadcast and filters the
     keywords before anything shuffles.
     """
-    hits = weighted.join(F.broadcast(query), weighted["kw"] == query["term"]).join(zipf.select("kw", "zipf"), "kw")
+    hits = weighted.join(F.broadcast(query), weighted["kw"] == query["term"])
     scored = hits.groupBy("entity").agg(F.sum(F.col("weight") * F.col("zipf") * F.col("decay")).alias("raw"), F.countDistinct("grp").alias("matched"))
     return scored.withColumn("score", F.col("raw") * S.coverage(F.col("matched"), groups))
 
 
-def wildcard(weighted: DataFrame, zipf: DataFrame, query: Sequence[str], groups: int | None = None) -> DataFrame:
-    """As ``exact`` for patterns: the best keyword of each pattern counts. One ``*`` makes all terms patterns."""
+def any_pattern(query: Sequence[str]) -> Column:
+    """Predicate on ``kw`` for the patterns of a query."""
+    return reduce(or_, [P.wildcard(F.col("kw"), term) for term, _, _ in term_groups(query)], F.lit(False))
+
+
+def wildcard(hits: DataFrame, query: Sequence[str], groups: int | None = None) -> DataFrame:
+    """As ``exact`` for patterns: the best keyword of each pattern counts. One ``*`` makes all terms patterns.
+
+    ``hits``: rows (entity, kw, weight, zipf) of the keywords that match ``any_pattern``.
+    """
     pairs = term_groups(query)
-    either = F.lit(False)
-    for term, _, _ in pairs:
-        either = either | P.wildcard(F.col("kw"), term)
-    hits = weighted.where(either).join(zipf.select("kw", "zipf"), "kw")
     matches = F.array(*[F.when(P.wildcard(F.col("kw"), term), F.struct(F.lit(position).alias("pos"), F.lit(group).alias("grp"))) for term, group, position in pairs])
     best = hits.select("entity", F.explode(F.filter(matches, lambda m: m.isNotNull())).alias("m"), (F.col("weight") * F.col("zipf")).alias("w")).groupBy("entity", "m.pos", "m.grp").agg(F.max("w").alias("w"))
     scored = best.groupBy("entity").agg(F.sum("w").alias("raw"), F.countDistinct("grp").alias("matched"))

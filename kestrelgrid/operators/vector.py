@@ -19,6 +19,7 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_column: str = "vec_
 
     The query is a literal and the limit a top-k on every partition, so nothing but k rows a partition moves.
     """
-    scored = vectors.withColumn("similarity", F.round(cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query])), 6))
-    first = scored.orderBy(F.col("similarity").desc(), id_column).limit(k if keep is None else 2 * k)
-    return first if keep is None else first.where(keep).orderBy(F.col("similarity").desc(), id_column).limit(k)
+    scored = vectors.withColumn("_cos", cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query])))
+    nearest = lambda rows, n: rows.orderBy(F.col("_cos").desc(), id_column).limit(n)
+    first = nearest(scored, k) if keep is None else nearest(nearest(scored, 2 * k).where(keep), k)
+    return first.withColumn("similarity", F.round("_cos", 6)).drop("_cos")

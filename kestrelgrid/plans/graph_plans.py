@@ -32,9 +32,9 @@ def alias_resolve(t):
     return _resolved(t).groupBy("caller_module", "target").agg(F.count("*").alias("n"))
 
 
-@query("J4 A31", "select target || '.' || callee as key, count(*) as n, string_agg(caller_module || ':' || line, ',' order by caller_module, line) as sites from resolved where line % 50 = 0 group by all", "functions calls resolved")
+@query("J4 A31", "select target || '.' || callee as key, count(*) as n, string_agg(caller_module || ':' || line, ',' order by caller_module, line) as sites from resolved group by all", "functions calls resolved")
 def reverse_calls(t):
-    out = G.reverse_calls(_resolved(t).where("line % 50 = 0"))
+    out = G.reverse_calls(_resolved(t))
     return out.select("key", F.size("sites").cast("bigint").alias("n"), F.array_join(F.transform("sites", lambda s: F.concat(s["caller_module"], F.lit(":"), s["line"].cast("string"))), ",").alias("sites"))
 
 
@@ -74,32 +74,40 @@ def dead_code(t):
     return G.unused(fn, sites, ["module", "name", "arity"]).select("fid")
 
 
-_DEAD = """live as (select distinct target, callee, arity from resolved where line < 60),
-mention as (select distinct module from functions where fid % 97 = 0),
-wanted as (select * from functions where ftype = 'def' and not (regexp_matches(file, '_test(\\.[^./]*)?$')) and score < 1e9 and fid % 13 <> 0 and name not in ('__init__', 'main')),
-lonely as (select * from wanted w where not exists (select 1 from live l where l.target = w.module and l.callee = w.name and l.arity = w.arity)),
-graded as (select fid, name, case when arity = 4 then 'low' when module in (select module from mention) then 'medium' else 'high' end as confidence from lonely)"""
+_DEAD = """defs as (select o_orderkey as fid, 'M' || o_custkey as module, 'f' || o_orderkey as name, (o_orderkey % 5)::bigint as arity, o_orderstatus <> 'P' as is_public, o_orderpriority = '1-URGENT' as is_impl, o_orderpriority = '5-LOW' as dynamic,
+'lib/m' || o_custkey || case when o_orderpriority = '2-HIGH' then '_test.exs' else '.ex' end as file from orders),
+live as (select distinct 'f' || (event_id * 3 // 2) as name, (event_id * 3 // 2) % 5 + (event_type = 'error')::int as arity from events),
+mention as (select distinct 'M' || user_id as module from events where event_type = 'signup'),
+wanted as (select * from defs where is_public and not is_impl and not (regexp_matches(file, '_test(\\.[^./]*)?$')) and name not in ('__init__', 'main')),
+lonely as (select * from wanted w where not exists (select 1 from live l where l.name = w.name and l.arity = w.arity)),
+graded as (select fid, name, case when dynamic then 'low' when module in (select module from mention) then 'medium' else 'high' end as confidence from lonely)"""
 
 
 def _dead(t):
+    """Orders as definitions, events as calls (errors with a wrong arity) and sign-ups as mentions of a customer's module."""
     from ..functions import patterns as P
 
-    fn = A.functions(t).withColumns({"is_public": F.col("ftype") == "def", "is_test": P.is_test_path(F.col("file")), "is_impl": F.col("fid") % 13 == 0, "dynamic": F.col("arity") == 4})
-    live = _resolved(t).where("line < 60").select(F.col("target").alias("module"), F.col("callee").alias("name"), "arity")
-    return G.dead_code(fn, live, A.functions(t).where("fid % 97 = 0"), ["module", "name", "arity"])
+    name = lambda c: F.concat(F.lit("f"), c.cast("string"))
+    key, priority = F.col("o_orderkey"), F.col("o_orderpriority")
+    stem = F.concat(F.lit("lib/m"), F.col("o_custkey").cast("string"), F.when(priority == "2-HIGH", "_test.exs").otherwise(".ex"))
+    fn = t.orders.select(key.alias("fid"), F.concat(F.lit("M"), F.col("o_custkey").cast("string")).alias("module"), name(key).alias("name"), (key % 5).alias("arity"), (F.col("o_orderstatus") != "P").alias("is_public"), P.is_test_path(stem).alias("is_test"), (priority == "1-URGENT").alias("is_impl"), (priority == "5-LOW").alias("dynamic"))
+    called = F.expr("event_id * 3 div 2")
+    live = t.events.select(name(called).alias("name"), (called % 5 + (F.col("event_type") == "error").cast("int")).alias("arity"))
+    mentions = t.events.where("event_type = 'signup'").select(F.concat(F.lit("M"), F.col("user_id").cast("string")).alias("module"))
+    return G.dead_code(fn, live, mentions, ["name", "arity"])
 
 
-@query("K18 J18", f"with {_DEAD} select fid, confidence from graded", "functions calls resolved")
+@query("K18 J18", f"with {_DEAD} select fid, confidence from graded")
 def dead_code_confidence(t):
     return _dead(t).select("fid", "confidence")
 
 
-@query("F21", f"with {_DEAD} select fid from graded where confidence in ('high', 'medium')", "functions calls resolved")
+@query("F21", f"with {_DEAD} select fid from graded where confidence in ('high', 'medium')")
 def dead_code_filter(t):
     return _dead(t).where(G.at_least(F.col("confidence"), "medium")).select("fid")
 
 
-@query("A14", f"with {_DEAD} select count(*) as total, count(*) filter (confidence = 'high') as high, count(*) filter (confidence = 'medium') as medium, count(*) filter (confidence = 'low') as low from graded", "functions calls resolved")
+@query("A14", f"with {_DEAD} select count(*) as total, count(*) filter (confidence = 'high') as high, count(*) filter (confidence = 'medium') as medium, count(*) filter (confidence = 'low') as low from graded")
 def dead_code_summary(t):
     c = F.col("confidence")
     return _dead(t).agg(F.count("*").alias("total"), *[F.count_if(c == x).alias(x) for x in ("high", "medium", "low")])
@@ -111,21 +119,20 @@ def value_mentions_semi(t):
     return A.functions(t).select("module").distinct().join(mentioned, "module", "left_semi")
 
 
-_EDGES = "edges as (select distinct l_suppkey as src, (l_partkey % (select count(*) from supplier)) as dst from lineitem where l_partkey % 20 = 0)"
+_EDGES = "edges as (select distinct c_custkey % n as src, (c_custkey // n * 31 + c_nationkey) % n as dst from customer, (select count(*) as n from supplier))"
 
 
 def _edges(t):
-    n = t.supplier.agg(F.count("*").alias("n"))
-    rows = t.lineitem.where("l_partkey % 20 = 0").crossJoin(F.broadcast(n))
-    return rows.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % F.col("n")).alias("dst")).distinct()
+    """Customers as imports among as many modules as there are suppliers."""
+    rows = t.customer.crossJoin(F.broadcast(t.supplier.agg(F.count("*").alias("n"))))
+    return rows.select((F.col("c_custkey") % F.col("n")).alias("src"), F.expr("(c_custkey div n * 31 + c_nationkey) % n").alias("dst")).distinct()
 
 
 @query("G1 R7", f"""
-with recursive {_EDGES}, walk as (select s_suppkey as root, s_suppkey as node, 0 as depth from supplier where s_suppkey < 5 union select root, dst, depth + 1 from walk join edges on src = node where depth < 3)
+with recursive {_EDGES}, walk as (select s_suppkey as root, s_suppkey as node, 0 as depth from supplier union select root, dst, depth + 1 from walk join edges on src = node where depth < 3)
 select root, node, min(depth)::int as depth from walk where node <> root group by all having min(depth) > 0""")
 def deps_transitive(t):
-    roots = t.supplier.where("s_suppkey < 5").select(F.col("s_suppkey").alias("root"))
-    return G.closure(_edges(t), roots, 3).select("root", "node", "depth")
+    return G.closure(_edges(t), t.supplier.select(F.col("s_suppkey").alias("root")), 3).select("root", "node", "depth")
 
 
 @query("A22", "select caller_module as module, target as dep, string_agg(distinct callee || '/' || arity, ',' order by callee || '/' || arity) as functions from resolved where target <> caller_module group by all", "functions calls resolved")
@@ -195,10 +202,10 @@ _RANGES = "ranges as (select module, line as start, line + 10 + fid % 400 as sto
 
 
 @query("J6", f"""
-with {_RANGES}, p as (select distinct caller_module as module, line as at_line from calls where line % 10 = 0)
+with {_RANGES}, p as (select distinct caller_module as module, line as at_line from calls)
 select module, at_line, symbol from (select p.*, symbol, row_number() over (partition by p.module, at_line order by stop - start, start, symbol) as k from p join ranges r on r.module = p.module and at_line between start and stop) where k = 1""", "functions calls")
 def range_enclosing_smallest(t):
-    points = A.calls(t).where("line % 10 = 0").select(F.col("caller_module").alias("module"), F.col("line").alias("at_line")).distinct()
+    points = A.calls(t).select(F.col("caller_module").alias("module"), F.col("line").alias("at_line")).distinct()
     ranges = A.functions(t).select("module", F.col("line").alias("start"), (F.col("line") + 10 + F.col("fid") % 400).alias("stop"), F.col("fid").alias("symbol"))
     return J.enclosing(points, ranges, ["module"], "at_line").select("module", "at_line", "symbol")
 
@@ -248,9 +255,9 @@ def comment_blocks(t):
     return rows.groupBy("file", "island").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.md5(text.cast("binary")).alias("body")).drop("island")
 
 
-@query("W12 R12", "select file, line, md5(string_agg(text, chr(10)) over (partition by file order by line rows between 2 preceding and 2 following)) as context from source_lines where file < 50", "source_lines")
+@query("W12 R12", "select file, line, md5(string_agg(text, chr(10)) over (partition by file order by line rows between 2 preceding and 2 following)) as context from source_lines", "source_lines")
 def code_context(t):
-    rows = J.context(A.source_lines(t).where("file < 50"), ["file"], "line", "text", 2, 2)
+    rows = J.context(A.source_lines(t), ["file"], "line", "text", 2, 2)
     return rows.select("file", "line", F.md5(F.array_join("context", "\n").cast("binary")).alias("context"))
 
 

@@ -31,7 +31,7 @@ chosen as (select sha from ordered where (k - 1) % 2 = 0),
 p as (select a.file as a, b.file as b, count(*) as n from sized a join sized b on a.sha = b.sha and a.file < b.file where a.sha in (select sha from chosen) group by all)
 select a, b, (n * 2)::bigint as cnt from p where n * 2 >= 2""", "commits commit_files")
 def cochange_sampled(t):
-    chosen = P.every_nth(A.commits(t), [F.col("ts").desc(), F.col("sha")])
+    chosen = P.every_nth(A.commits(t))
     files = A.commit_files(t).join(chosen.select("sha"), "sha", "left_semi")
     return P.scaled(P.together(files, "sha", "file"))
 
@@ -50,7 +50,7 @@ def cochange_cap(t):
 
 @query("W10", "select sha from (select sha, row_number() over (order by ts desc, sha) as k from commits) where (k - 1) % 2 = 0", "commits")
 def commit_sample(t):
-    return P.every_nth(A.commits(t), [F.col("ts").desc(), F.col("sha")]).select("sha")
+    return P.every_nth(A.commits(t)).select("sha")
 
 
 @query("S13", "select sha from (select sha, row_number() over (order by ts desc, sha) as k, count(*) over () as n from commits) where k <= case when n <= 500 then n when n <= 3000 then least(n, 1500) when n <= 10000 then 2000 else 1500 end", "commits")
@@ -59,33 +59,33 @@ def adaptive_limit(t):
     return c.orderBy(F.col("ts").desc(), "sha").limit(P.adaptive_limit(c.count())).select("sha")
 
 
-_TOP = "top as (select entity, kw from (select *, row_number() over (partition by entity order by times desc, kw) as k from doc_keywords) where k <= 30)"
-_MATRIX = f"{_TOP}, m as (select a.kw as kw1, b.kw as kw2, count(*) as cnt from top a join top b on a.entity = b.entity and a.kw <> b.kw group by all)"
+_MATRIX = "m as (select a.kw as kw1, b.kw as kw2, count(*) as cnt from doc_keywords a join doc_keywords b on a.entity = b.entity and a.kw <> b.kw group by all)"
 
 
 def _matrix(t):
-    """Pairs among the 30 most frequent keywords of each document, as the index keeps the top ones of a text."""
-    w = Window.partitionBy("entity").orderBy(F.col("times").desc(), "kw")
-    best = A.doc_keywords(t).withColumn("k", F.row_number().over(w)).where("k <= 30")
-    return P.symmetric(P.together(best, "entity", "kw", most=200))
+    return P.symmetric(P.together(t.keyword_index().postings, "entity", "kw", most=None))
 
 
 @query("J13", f"with {_MATRIX} select kw1, kw2, cnt from m where cnt >= 5", "doc_keywords")
 def cooccur_matrix(t):
-    return _matrix(t).where("cnt >= 5")
+    return P.symmetric(P.frequent(P.together(t.keyword_index().postings, "entity", "kw", most=None), 5))
 
 
-@query("A10 B12", f"with {_MATRIX} select kw2 as kw, sum(cnt)::bigint as score, string_agg(distinct kw1, ',' order by kw1) as terms from m where kw1 in ('ention', 'ing') and kw2 not in ('ention', 'ing') group by kw2 order by score desc, kw limit 10", "doc_keywords")
+@query("A10 B12", """
+with hit as (select entity, kw from doc_keywords where kw in ('ention', 'ing')),
+m as (select h.kw as kw1, d.kw as kw2, count(*) as cnt from hit h join doc_keywords d on d.entity = h.entity where d.kw not in ('ention', 'ing') group by all)
+select kw2 as kw, sum(cnt)::bigint as score, string_agg(distinct kw1, ',' order by kw1) as terms from m group by kw2 order by score desc, kw limit 10""", "doc_keywords")
 def cooccur_suggest(t):
-    return P.suggest(_matrix(t), ["ention", "ing"], 10)
+    return P.suggest(t.keyword_index().postings, "entity", "kw", ["ention", "ing"], 10)
 
 
 @query("A11", """
 with hit as (select distinct entity from doc_keywords where kw in ('ention', 'heat'))
 select kw, count(distinct d.entity) as results from doc_keywords d join hit h on h.entity = d.entity where kw not in ('ention', 'heat') group by kw order by results desc, kw limit 10""", "doc_keywords")
 def cooccur_narrow(t):
-    k = A.doc_keywords(t)
-    hit = k.where(F.col("kw").isin("ention", "heat")).select("entity").distinct()
+    index = t.keyword_index()
+    k = index.postings
+    hit = index.of_words(["ention", "heat"]).select("entity").distinct()
     rest = k.join(hit, "entity", "left_semi").where(~F.col("kw").isin("ention", "heat"))
     return rest.groupBy("kw").agg(F.countDistinct("entity").alias("results")).orderBy(F.col("results").desc(), "kw").limit(10)
 
@@ -116,9 +116,9 @@ def recent_commits(t):
     return A.commits(t).orderBy(F.col("ts").desc(), "sha").limit(25).select("sha", "author", "ts")
 
 
-@query("K26", "select l_orderkey as sha, count(distinct l_partkey) as files, sum(l_quantity) as insertions, sum(l_linenumber)::bigint as deletions from lineitem where l_orderkey < 200 group by all")
+@query("K26", "select l_orderkey as sha, count(distinct l_partkey) as files, sum(l_quantity) as insertions, sum(l_linenumber)::bigint as deletions from lineitem group by all")
 def commit_details(t):
-    return t.lineitem.where("l_orderkey < 200").groupBy(F.col("l_orderkey").alias("sha")).agg(F.countDistinct("l_partkey").alias("files"), F.sum("l_quantity").alias("insertions"), F.sum("l_linenumber").alias("deletions"))
+    return t.lineitem.groupBy(F.col("l_orderkey").alias("sha")).agg(F.countDistinct("l_partkey").alias("files"), F.sum("l_quantity").alias("insertions"), F.sum("l_linenumber").alias("deletions"))
 
 
 _TOUCH = "touches as (select file, c.sha, ts from commit_files f join commits c on c.sha = f.sha)"
@@ -143,11 +143,11 @@ def batch_evolution(t):
 
 
 @query("K25", f"""
-with touches as (select file, c.sha, ts, message from commit_files f join commits c on c.sha = f.sha where file < 300),
+with touches as (select file, c.sha, ts, message from commit_files f join commits c on c.sha = f.sha),
 r as (select *, contains(message, 'URGENT') as mentioned, row_number() over (partition by file order by case when contains(message, 'URGENT') then 0 else 1 end, ts desc, sha) as k from (select distinct * from touches))
 select file, sha, mentioned from r where k <= 5""", "commits commit_files")
 def heuristic_history(t):
-    rows = _touches(t).where("file < 300").distinct()
+    rows = _touches(t).distinct()
     return H.heuristic(rows, ["file"], F.contains("message", F.lit("URGENT")), 5).select("file", "sha", "mentioned")
 
 
@@ -170,10 +170,10 @@ def file_to_prs(t):
 
 
 @query("J11", """
-select f.file, p.number, p.merged_at from (select distinct number, file from pr_files where file < 50) f join prs p on p.number = f.number
+select f.file, p.number, p.merged_at from (select distinct number, file from pr_files) f join prs p on p.number = f.number
 qualify row_number() over (partition by f.file order by p.number desc) <= 5""", "prs pr_files")
 def file_pr_history(t):
-    rows = A.pr_files(t).where("file < 50").distinct().join(A.prs(t), "number")
+    rows = A.pr_files(t).distinct().join(A.prs(t), "number")
     w = Window.partitionBy("file").orderBy(F.col("number").desc())
     return rows.withColumn("k", F.row_number().over(w)).where("k <= 5").select("file", "number", "merged_at")
 
@@ -191,13 +191,13 @@ def pr_for_line(t):
     return blame.join(H.pr_of_commit(A.pr_commits(t)), "sha", "left").select("event_id", "number")
 
 
-_MAP = """old as (select * from source_lines where file < 200), new as (select file, line + file % 30 as line, text from source_lines where file < 200 and (line + file) % 17 <> 0),
+_MAP = """old as (select * from source_lines), new as (select file, line + file % 30 as line, text from source_lines where (line + file) % 17 <> 0),
 com as (select file * 1000 + line as id, file, line from old where line % 3 = 0),
 hit as (select c.id, min(n.line) as now from com c join old o on o.file = c.file and o.line = c.line join new n on n.file = c.file and trim(n.text, ' ') = trim(o.text, ' ') and abs(n.line - c.line) <= 20 group by c.id)"""
 
 
 def _remapped(t):
-    old = A.source_lines(t).where("file < 200")
+    old = A.source_lines(t)
     new = old.where("(line + file) % 17 <> 0").select("file", (F.col("line") + F.col("file") % 30).alias("line"), "text")
     comments = old.where("line % 3 = 0").select((F.col("file") * 1000 + F.col("line")).alias("id"), "file", "line")
     return H.remap(comments, old, new)
@@ -219,13 +219,13 @@ def pr_number(t):
 
 
 @query("S12", """
-with l as (select file, line, text, case when line % 7 = 1 then file || ':' || line end as head from source_lines where file < 100)
+with l as (select file, line, text, case when line % 7 = 1 then file || ':' || line end as head from source_lines)
 select file, line, last_value(head ignore nulls) over (partition by file order by line) as head from l""", "source_lines")
 def log_fill_forward(t):
     """A log export's lines carry the last header line seen above them."""
     head = F.when(F.col("line") % 7 == 1, F.concat(F.col("file").cast("string"), F.lit(":"), F.col("line").cast("string")))
     w = Window.partitionBy("file").orderBy("line")
-    return A.source_lines(t).where("file < 100").select("file", "line", F.last(head, ignorenulls=True).over(w).alias("head"))
+    return A.source_lines(t).select("file", "line", F.last(head, ignorenulls=True).over(w).alias("head"))
 
 
 @query("A32", "select l_suppkey, min(l_partkey) as low, max(l_partkey) as high, length(regexp_extract(lpad(min(l_partkey)::varchar, 8, '0'), '^0*')) as zeros from lineitem group by l_suppkey")
@@ -233,3 +233,16 @@ def common_prefix(t):
     """The common prefix of a sorted set of paths is that of its least and greatest."""
     low = F.lpad(F.min("l_partkey").cast("string"), 8, "0")
     return t.lineitem.groupBy("l_suppkey").agg(F.min("l_partkey").alias("low"), F.max("l_partkey").alias("high"), F.length(F.regexp_extract(low, "^0*", 0)).cast("bigint").alias("zeros"))
+
+
+@query("S15 K16", """
+with touches as (select l_partkey as file, 'f' || l_suppkey % 5 as name, l_orderkey as sha, o_orderdate as ts, l_linenumber * 10 as start_line, l_linenumber * 10 + l_quantity::bigint as end_line from lineitem join orders on o_orderkey = l_orderkey),
+wanted as (select p_partkey as file, 'f' || p_size as name, p_size as start, p_size + 10 as stop from part),
+h as (select w.file, w.name, w.start, w.stop, sha, ts, max((t.name = w.name)::int) as named from wanted w join touches t on t.file = w.file where t.name = w.name or (start_line <= stop and end_line >= start) group by all),
+b as (select *, max(named) over (partition by file) as any_named from h)
+select file, name, sha, rank, case when any_named = 1 then 'name' else 'lines' end as by from (select *, row_number() over (partition by file order by ts desc, sha) as rank from b where named = any_named) where rank <= 5""")
+def line_history(t):
+    """Commits of each function by name, or by its lines where no commit names it."""
+    touches = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_partkey").alias("file"), F.concat(F.lit("f"), (F.col("l_suppkey") % 5).cast("string")).alias("name"), F.col("l_orderkey").alias("sha"), F.col("o_orderdate").alias("ts"), (F.col("l_linenumber") * 10).alias("start_line"), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("bigint")).alias("end_line"))
+    wanted = t.part.select(F.col("p_partkey").alias("file"), F.concat(F.lit("f"), F.col("p_size").cast("string")).alias("name"), F.col("p_size").alias("start"), (F.col("p_size") + 10).alias("stop"))
+    return H.of_lines(touches, wanted, 5).select("file", "name", "sha", "rank", "by")

@@ -18,14 +18,6 @@ _TERMS = "terms as (select * from (values ('ention', 1, 1, 1.0::double), ('heat'
 WORDS = ["ention", ["heat", "ing"], ["reed", "reed"]]
 
 
-def _zipf(weighted):
-    return S.zipf(K.document_frequency(weighted))
-
-
-def _weighted(t):
-    return A.doc_keywords(t).select("entity", "kw", F.col("times").cast("double").alias("weight"))
-
-
 @query("X1 X2 K1 A26 O5", """
 with k as (select doc_id as entity, unnest(%s) as kw, generate_subscripts(%s, 1) - 1 as spot from documents),
 c as (select entity, kw, count(*) as times, min(spot)::bigint as spot from k group by all)
@@ -65,7 +57,7 @@ def source_type_filter(t):
 
 @query("A1 W1", "select kw, df, zipf from zipf", "doc_keywords df zipf")
 def zipf_weights(t):
-    return _zipf(_weighted(t)).select("kw", "df", "zipf")
+    return t.keyword_index().terms
 
 
 _SCORED = f"""with {_TERMS}, h as (select d.entity, d.kw, grp, times * zipf * decay as w from doc_keywords d join terms on kw = term join zipf z on z.kw = d.kw),
@@ -73,8 +65,8 @@ s as (select entity, sum(w) * (0.8 + 0.8 * count(distinct grp) / 3.0::double) as
 
 
 def _scored(t):
-    w = _weighted(t)
-    return search.exact(w, _zipf(w), search.terms(t.spark, WORDS), 3)
+    words = [term for term, _, _ in search.term_groups(WORDS)]
+    return search.exact(t.keyword_index().of_words(words), search.terms(t.spark, WORDS), 3)
 
 
 @query("K2 J1 A3 A4 W5 K7", _SCORED + " select entity, round(score, 6) as score from s", "doc_keywords df zipf")
@@ -98,8 +90,8 @@ with p as (select * from (values ('ent*', 0, 0), ('*eat', 1, 1), ('th*ing', 2, 2
 h as (select d.entity, pos, grp, max(times * zipf) as w from doc_keywords d join zipf z on z.kw = d.kw join p on d.kw like replace(pat, '*', '%') group by all)
 select entity, round(sum(w) * (0.8 + 0.8 * count(distinct grp) / 3.0::double), 6) as score from h group by entity""", "doc_keywords df zipf")
 def search_wildcard(t):
-    w = _weighted(t)
-    return search.wildcard(w, _zipf(w), ["ent*", "*eat", "th*ing"]).select("entity", F.round("score", 6).alias("score"))
+    patterns = ["ent*", "*eat", "th*ing"]
+    return search.wildcard(t.keyword_index().of_patterns(search.any_pattern(patterns)), patterns).select("entity", F.round("score", 6).alias("score"))
 
 
 @query("K4 P4", """
@@ -193,12 +185,12 @@ def query_union(t):
 
 @query("B9", "select distinct kw from doc_keywords where contains(kw, 'heat') order by kw limit 5", "doc_keywords")
 def related_terms(t):
-    return A.doc_keywords(t).where(F.contains("kw", F.lit("heat"))).select("kw").distinct().orderBy("kw").limit(5)
+    return t.keyword_index().terms.where(F.contains("kw", F.lit("heat"))).select("kw").orderBy("kw").limit(5)
 
 
 @query("R14 R11", "select count(distinct kw) as keywords, count(*) > 0 as available from doc_keywords", "doc_keywords")
 def keyword_available(t):
-    return A.doc_keywords(t).agg(F.countDistinct("kw").alias("keywords"), (F.count("*") > 0).alias("available"))
+    return t.keyword_index().terms.agg(F.count("*").alias("keywords"), (F.count("*") > 0).alias("available"))
 
 
 @query("A29", """
@@ -207,34 +199,22 @@ def match_details(t):
     return t.documents.select("doc_id", T.occurrences(F.col("text"), "the").alias("hits"))
 
 
-@query("X22 N7", """
-with base as (select distinct kw from doc_keywords where length(kw) = 4),
-forms as (select kw as word, 1.0::double as score from base union all select kw || e, 0.7 from base, (values ('s'), ('ed'), ('ing')) x(e))
-select word, max(score) as score from forms group by word""", "doc_keywords")
+_FORMS = """forms as (select kw, kw as word, 1.0::double as score from base union all select kw, unnest(list_value(
+case when regexp_matches(kw, '[^aeiou]y$') then kw[:-2] || 'ies' when regexp_matches(kw, '(s|x|z|ch|sh)$') then kw || 'es' else kw || 's' end,
+case when regexp_matches(kw, '[^aeiou]y$') then kw[:-2] || 'ied' when ends_with(kw, 'e') then kw || 'd' else kw || 'ed' end,
+case when regexp_matches(kw, '[^e]e$') then kw[:-2] || 'ing' else kw || 'ing' end,
+case when regexp_matches(kw, '[^aeiou]y$') then kw[:-2] || 'ier' when ends_with(kw, 'e') then kw || 'r' else kw || 'er' end,
+case when regexp_matches(kw, '[^aeiou]y$') then kw[:-2] || 'iest' when ends_with(kw, 'e') then kw || 'st' else kw || 'est' end)), 0.7 from base where not contains(kw, '_') and not regexp_matches(kw, '[0-9]'))"""
+
+
+@query("X22 N7", f"with base as (select distinct kw from doc_keywords), {_FORMS} select word, max(score) as score from forms group by word", "doc_keywords")
 def expand_inflections(t):
-    """Rule-based forms of a keyword at 0.7 of its score; the best score of each word stays."""
-    base = A.doc_keywords(t).where(F.length("kw") == 4).select("kw").distinct()
-    forms = F.array(F.struct(F.col("kw").alias("word"), F.lit(1.0).alias("score")), *[F.struct(F.concat("kw", F.lit(e)).alias("word"), F.lit(T.INFLECTION_PENALTY).alias("score")) for e in ("s", "ed", "ing")])
-    return base.select(F.explode(forms).alias("f")).groupBy("f.word").agg(F.max("f.score").alias("score"))
-
-
-@query("K13 K2 K8 F7 F8 W11 K12", """
-with k as (select fid, name, ftype, 3.0::double as score from functions where lower(name) = 'hot_gear'),
-p as (select fid, name, ftype, 1.0::double from functions where lower(name) like '%gear'),
-u as (select * from k union all select * from p),
-f as (select * from u where ftype = 'def'),
-d as (select *, row_number() over (partition by name order by score desc, fid) as n from f)
-select name, fid, score from d where n = 1""", "functions")
-def query_composite(t):
-    """Exact-name and pattern hits together, public scope, best of each name."""
-    fn = A.functions(t)
-    keyword = fn.where(F.lower("name") == "hot_gear").withColumn("score", F.lit(S.EXACT_NAME))
-    pattern = fn.where(P.wildcard(F.col("name"), "*gear")).withColumn("score", F.lit(1.0))
-    found = keyword.unionByName(pattern).where("ftype = 'def'")
-    return search.best_per_name(found, "name", "score", "fid").select("name", "fid", "score")
+    """Rule-based forms of all keywords at 0.7 of their score; the best score of each word stays."""
+    forms = F.explode(T.inflections(F.col("kw"))).alias("f")
+    return t.keyword_index().terms.select(forms).groupBy("f.word").agg(F.max("f.score").alias("score"))
 
 
-@query("B1 B2 B3 B4 B5 B6 B7 B8 O4", """
+@query("B1 B4 B5 B6 O4", """
 with s0 as (select fid, 0 as stage from functions where name = 'hotgear'),
 s1 as (select fid, 1 from functions where name = '_hotgear'),
 s2 as (select fid, 2 from functions where name = 'hot_gear'),

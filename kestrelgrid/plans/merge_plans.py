@@ -100,3 +100,10 @@ def snippet_path(t):
 @query("A33", "select max(ts) as newest, max(ts) > timestamp '2024-01-15' as stale from events")
 def staleness(t):
     return t.events.agg(F.max("ts").alias("newest"), (F.max("ts") > F.lit("2024-01-15").cast("timestamp_ntz")).alias("stale"))
+
+
+@query("R5 U4", "select number from prs where number % 3 = 0 and number <= (select max(number) from prs where number % 2 = 0 and state = 'F')", "prs")
+def partial_fetch(t):
+    """Of a fetch that broke off, the rows that may be saved."""
+    prs = A.prs(t)
+    return M.may_save(prs.where("number % 3 = 0"), prs.where("number % 2 = 0 and state = 'F'"), complete=False).select("number")

@@ -136,13 +136,13 @@ def signature_scan(t):
     return scan(code, "source", "python").select("fid", "name", "arity")
 
 
-@query("O7", "select doc_id, list_slice(string_split(text, ' '), 1, 5)::varchar[] as head from documents where doc_id < 100")
+@query("O7", "select doc_id, list_slice(string_split(text, ' '), 1, 5)::varchar[] as head from documents")
 def truncate_list(t):
-    return t.documents.where("doc_id < 100").select("doc_id", F.slice(F.split("text", " "), 1, 5).alias("head"))
+    return t.documents.select("doc_id", F.slice(F.split("text", " "), 1, 5).alias("head"))
 
 
 @query("X13 R9")
 def fuzzy_names(t):
     from ..sources.parsers import similar
 
-    return similar(A.functions(t).select("name").distinct().orderBy("name").limit(500), "name", "hot_gera", 5)
+    return similar(A.functions(t).select("name").distinct(), "name", "hot_gera", 5)

@@ -84,19 +84,19 @@ def line_count(t):
 
 
 _COS = "list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2]))"
-_VEC = "v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings), q as (select v as qv from v where vec_id = 3), s as (select vec_id, label, round(list_cosine_similarity(v, qv), 6) as similarity from v, q)"
+_VEC = "v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings), q as (select v as qv from v where vec_id = 3), s as (select vec_id, label, list_cosine_similarity(v, qv) as cos, round(list_cosine_similarity(v, qv), 6) as similarity from v, q)"
 
 
 def _query_vector(t):
     return [float(x) for x in t.embeddings.where("vec_id = 3").first()["embedding"]]
 
 
-@query("K9", f"with {_VEC} select vec_id, similarity from s order by similarity desc, vec_id limit 10")
+@query("K9", f"with {_VEC} select vec_id, similarity from s order by cos desc, vec_id limit 10")
 def vector_topk(t):
     return V.top_k(t.embeddings, _query_vector(t), 10).select("vec_id", "similarity")
 
 
-@query("K10", f"with {_VEC}, f as (select * from s order by similarity desc, vec_id limit 20) select vec_id, similarity from f where label < 5 order by similarity desc, vec_id limit 10")
+@query("K10", f"with {_VEC}, f as (select * from s order by cos desc, vec_id limit 20) select vec_id, similarity from f where label < 5 order by cos desc, vec_id limit 10")
 def vector_topk_filtered(t):
     return V.top_k(t.embeddings, _query_vector(t), 10, keep=F.col("label") < 5).select("vec_id", "similarity")
 

@@ -7,7 +7,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of name matching.
@@ -30,8 +30,10 @@ def similar(names: DataFrame, column: str, query: str, n: int) -> DataFrame:
         return values.map(lambda v: likeness(query, v or ""))
 
     rows = names.select(F.col(column).alias("name")).withColumn("similarity", F.round(ratio("name"), 6)).where(F.col("similarity") > LEAST_RATIO)
-    best = rows.agg(F.max("similarity").alias("best"))
-    return rows.join(F.broadcast(best)).where((F.col("best") < 1) | (F.col("similarity") == 1)).drop("best").orderBy(F.col("similarity").desc(), "name").limit(n)
+    # an exact match is first in this order; with it, only others like it stay
+    first = rows.orderBy(F.col("similarity").desc(), "name").limit(n)
+    best = F.max("similarity").over(Window.partitionBy())
+    return first.withColumn("best", best).where("best < 1 or similarity = 1").drop("best").orderBy(F.col("similarity").desc(), "name")
 
 
 class _Literals(ast.NodeVisitor):
