@@ -8,6 +8,7 @@ options follow the tools: scope, recent, path/glob, arity, kinds, offset, limit.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,19 +57,20 @@ class CodeIndex:
 
     def query(self, query, scope: str = "all", recent: bool = False, glob: str | None = None, path: str | None = None, file_type: str | None = None, arity: int | None = None, kinds: str = "all", source: str = "all", offset: int = 0, limit: int = 10, now: datetime | None = None) -> DataFrame:
         """Keyword, wildcard and pattern search: best hit of each name, with tiers; the first relaxation that finds anything if nothing does."""
-        plan = planner.analyze(query)
+        said = planner.read_query(query)
         docs = self.documents()
-        hits = [self._keyword_hits(docs, plan, source)] if plan.keywords else []
-        hits += [self._pattern_hits(docs, p) for p in plan.patterns]
+        pattern_hits = [self._pattern_hits(docs, p) for p in said["patterns"]]
+
+        def hits_in(source: str) -> list[DataFrame]:
+            return ([self._keyword_hits(docs, said["keywords"], source)] if said["keywords"] else []) + pattern_hits
+
+        hits = hits_in(source)
         if not hits:
             return self._graded(docs.where("false").withColumn("score", F.lit(0.0))).limit(0)
-        found = hits[0]
-        for h in hits[1:]:
-            found = found.unionByName(h)
+        every = lambda parts: reduce(DataFrame.unionByName, parts)
         pattern = P.resolve_glob(glob, path, file_type)
 
-        def kept(scope: str, recent: bool) -> DataFrame:
-            rows = found
+        def kept(rows: DataFrame, scope: str, recent: bool) -> DataFrame:
             if recent:
                 rows = rows.where(D.recent(F.col("last_modified_at"), now or datetime.now()))
             if scope == "public":
@@ -81,22 +83,25 @@ class CodeIndex:
                 rows = rows.where((F.col("type") == "module") | (F.col("arity") == arity))
             return rows if kinds == "all" else rows.where(F.col("type") == kinds.rstrip("s"))
 
-        stages = [("as asked", kept(scope, recent))]
-        stages += [("all scopes", kept("all", recent))] * (scope != "all") + [("older code", kept(scope, False))] * recent
+        found = every(hits)
+        # each relaxation is for itself, as asked but for one option
+        stages = [("as asked", kept(found, scope, recent))]
+        stages += [("all sources", kept(every(hits_in("all")), scope, recent))] * (source != "all" and bool(said["keywords"]))
+        stages += [("all scopes", kept(found, "all", recent))] * (scope != "all") + [("older code", kept(found, scope, False))] * recent
         rows = search.staged(stages) if len(stages) > 1 else stages[0][1].withColumn("note", F.lit("as asked"))
         best = search.best_per_name(rows.drop("stage"), "entity", "score", "name")
-        return search.ranked(self._graded(best), "score", "entity", limit, offset)
+        return self._graded(best).orderBy(F.col("score").desc(), "name", "entity").offset(offset).limit(limit)
 
-    def _keyword_hits(self, docs: DataFrame, plan: planner.Strategy, source: str) -> DataFrame:
+    def _keyword_hits(self, docs: DataFrame, keywords: list[str | list[str]], source: str) -> DataFrame:
         weighted = self.weighted(source)
-        zipf = S.zipf(K.document_frequency(weighted))
-        groups = len(plan.keywords)
-        flat = [t for t, _, _ in search.term_groups(plan.keywords)]
+        weighted = weighted.join(S.zipf(K.document_frequency(weighted)).select("kw", "zipf"), "kw")
+        groups = len(keywords)
+        flat = [t for t, _, _ in search.term_groups(keywords)]
         if any("*" in t for t in flat):
-            scored = search.wildcard(weighted, zipf, plan.keywords, groups).select("entity", "score")
+            scored = search.wildcard(weighted.where(search.any_pattern(keywords)), keywords, groups).select("entity", "score")
         else:
-            terms = search.terms(self.spark, plan.keywords)
-            scored = search.exact(weighted, zipf, terms, groups).select("entity", "score")
+            terms = search.terms(self.spark, keywords)
+            scored = search.exact(weighted, terms, groups).select("entity", "score")
             bonus = search.name_hits(docs, T.simple_name(F.col("entity")), terms, weighted)
             both = scored.unionByName(bonus.select("entity", F.col("bonus").alias("score")))
             scored = both.groupBy("entity").agg(F.sum("score").alias("score"))
@@ -108,7 +113,7 @@ class CodeIndex:
         if self.has("cochange"):
             counts = pairs.partners(self.cochange, 1_000_000).groupBy("item").agg(F.sum("cnt").alias("_n"))
             rows = rows.join(counts, rows["file"] == counts["item"], "left").withColumn("score", F.col("score") * F.when(F.col("type") == "module", search.cochange_factor(F.col("_n"))).otherwise(search.cochange_factor(None, None, F.col("_n")))).drop("item", "_n")
-        return rows.orderBy(F.col("score").desc(), "name").limit(INTERNAL_LIMIT).select(*docs.columns, "score")
+        return rows.orderBy(F.col("score").desc(), "name", "entity").limit(INTERNAL_LIMIT).select(*docs.columns, "score")
 
     def _pattern_hits(self, docs: DataFrame, pattern: str) -> DataFrame:
         if "." not in pattern and "/" not in pattern and ":" not in pattern:
@@ -119,7 +124,7 @@ class CodeIndex:
         return docs.where(hit).withColumn("score", F.lit(1.0)).orderBy("name", "entity").limit(INTERNAL_LIMIT)
 
     def _graded(self, rows: DataFrame) -> DataFrame:
-        out = S.distribution(rows)
+        out = S.distribution(rows, ranges=1)  # INTERNAL_LIMIT rows a source at most
         return out.withColumn("tier", S.tier(F.col("z"))).drop("mean", "sd")
 
     def call_sites(self) -> DataFrame:
@@ -133,11 +138,9 @@ class CodeIndex:
         if changed_since:
             docs = docs.where(D.since(F.col("last_modified_at"), changed_since, now or datetime.now()))
         match = lambda p: docs.where(P.function_match(p, F.col("module"), F.col("file"), F.col("name"), F.col("arity")))
-        one = P.function_patterns(pattern)[0]
-        name = one.name
-        tries = [("as asked", pattern), ("any module", f"{name}/{one.arity}" if one.arity is not None else name), ("any arity", name), ("private twin", f"_{name}")]
-        tries += [("other case", _other_case(name))] + [("part of the name", f"*{name}*")] * (len(name.strip("*")) >= 4)
-        found = search.staged([(note, match(p)) for note, p in tries]).dropDuplicates(["module", "name", "arity"])
+        found = search.staged([(note, match(p)) for note, p in planner.relaxed(pattern)])
+        # of clauses and repeated definitions the first line
+        found = graph.consolidate(found, ["module", "name"], "arity", ["line", "file"])
         sites = self.call_sites()
         if usage_type != "all":
             test = P.is_test_usage(F.col("caller_file"))
@@ -209,7 +212,7 @@ class CodeIndex:
 
     def suggest(self, terms: list[str], n: int = 10) -> DataFrame:
         """Keywords that occur with the terms."""
-        return pairs.suggest(pairs.symmetric(pairs.together(self.weighted(), "entity", "kw", most=200)), [t.lower() for t in terms], n)
+        return pairs.suggest(self.weighted(), "entity", "kw", [t.lower() for t in terms], n)
 
     def semantic(self, vector_: list[float], k: int = 10) -> DataFrame:
         return vector.top_k(self.embeddings, vector_, k)
@@ -225,13 +228,3 @@ class CodeIndex:
         for name, key in (("modules", "module"), ("functions", "module"), ("calls", "caller_module"), ("aliases", "module"), ("module_refs", "module"), ("entity_keywords", "module")):
             out[name] = merge.replace_files(self.tables[name], fresh[name], gone.withColumnRenamed("module", key), key)
         return CodeIndex(out)
-
-
-def _other_case(name: str) -> str:
-    """snake_case for camelCase and the other way round."""
-    import re
-
-    if "_" in name.strip("_"):
-        head, *rest = name.split("_")
-        return head + "".join(p.title() for p in rest)
-    return re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name).lower()

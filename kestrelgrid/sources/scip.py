@@ -84,6 +84,32 @@ def decode(content: bytes) -> list[tuple[str, str, int, int, int]]:
     return rows
 
 
+def described(content: bytes) -> list[tuple[str, str, str]]:
+    """(path, symbol, text) of the symbol descriptions of an index: field 3 of documents, with symbol 1 and paragraphs 3."""
+    rows = []
+    for number, doc in fields(content):
+        if number != 2:
+            continue
+        parts = list(fields(doc))
+        path = next((v.decode() for k, v in parts if k == 1), "")
+        for k, info in parts:
+            if k == 3:
+                said = list(fields(info))
+                symbol = next((v.decode() for f, v in said if f == 1), "")
+                rows.append((path, symbol, "\n".join(v.decode() for f, v in said if f == 3)))
+    return rows
+
+
+def descriptions(files: DataFrame) -> DataFrame:
+    """(file, symbol, documentation) rows of files(content)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([r for c in pdf["content"] for r in described(bytes(c))], columns=["file", "symbol", "documentation"])
+
+    return files.select("content").mapInPandas(run, "file string, symbol string, documentation string")
+
+
 def occurrences(files: DataFrame) -> DataFrame:
     """Occurrence rows of files(content)."""
 
@@ -94,16 +120,38 @@ def occurrences(files: DataFrame) -> DataFrame:
     return files.select("content").mapInPandas(run, OCCURRENCES)
 
 
-def convert(rows: DataFrame) -> dict[str, DataFrame]:
-    """definitions, parameters (arity), calls (each inside its smallest enclosing function) and reverse calls."""
+#: References above this line of a file count as its imports.
+IMPORT_LINES = 50
+
+
+def convert(rows: DataFrame, docs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables of an index from occurrences: modules, definitions, functions (with arity), calls, imports and reverse calls.
+
+    A call belongs to the smallest function around it. Imports are modules other
+    than those a file defines that are marked as such or named in its first
+    lines. ``docs``: descriptions, joined to functions; the fenced part of one is
+    its signature.
+    """
     parts = T.symbol_parts(F.col("symbol"))
     is_definition = F.col("roles").bitwiseAND(DEFINITION) > 0
     is_parameter = F.col("symbol").rlike(r"\(\)\.\([^)]*\)$")
     defined = rows.where(is_definition & ~is_parameter).select("file", "symbol", "start_line", "end_line", *[parts[c].alias(c) for c in ("module", "parent", "name", "kind", "private")])
     parameters = rows.where(is_definition & is_parameter).select(F.regexp_replace("symbol", r"\([^)]*\)$", "").alias("symbol")).groupBy("symbol").agg(F.count("*").alias("arity"))
     functions = defined.where(F.col("kind").isin("function", "method")).join(parameters, "symbol", "left").withColumn("arity", F.coalesce("arity", F.lit(0)))
+    if docs is not None:
+        told = docs.groupBy("symbol").agg(F.max("documentation").alias("_said"))
+        fence = r"(?s)```\w*\n(.*?)\n?```"
+        functions = functions.join(told, "symbol", "left").withColumns({
+            "signature": F.nullif(F.regexp_replace(F.regexp_extract("_said", fence, 1), r"^\s+|\s+$", ""), F.lit("")),
+            "doc": F.nullif(F.regexp_replace(F.regexp_replace("_said", fence, ""), r"^\s+|\s+$", ""), F.lit("")),
+        }).drop("_said")
     used = rows.where(~is_definition & F.col("symbol").endswith("().")).select("file", F.col("symbol").alias("callee"), F.col("start_line").alias("line")).distinct()
     ranges = functions.select("file", F.col("start_line").alias("start"), F.col("end_line").alias("stop"), "symbol")
     calls = asof.enclosing(used, ranges, ["file"], "line").withColumnRenamed("symbol", "caller").where("caller <> callee")
     reverse = calls.groupBy("callee").agg(F.array_sort(F.collect_list(F.struct("caller", "file", "line"))).alias("sites"))
-    return {"definitions": defined, "functions": functions, "calls": calls, "reverse_calls": reverse}
+    own = defined.select("file", "module").where("module is not null").distinct()
+    named = rows.where(~is_definition & ((F.col("roles").bitwiseAND(IMPORT) > 0) | (F.col("start_line") <= IMPORT_LINES))).select("file", parts["module"].alias("module"))
+    imports = named.where("module is not null").distinct().join(own, ["file", "module"], "left_anti")
+    counts = functions.groupBy("file", "module").agg(F.count("*").alias("functions"), F.count_if(~F.col("private")).alias("public"), F.min("start_line").alias("line"))
+    modules = own.join(counts, ["file", "module"], "left").na.fill(0, ["functions", "public"])
+    return {"modules": modules, "definitions": defined, "functions": functions, "calls": calls, "imports": imports, "reverse_calls": reverse}

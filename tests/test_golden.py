@@ -30,9 +30,10 @@ def test_document_frequency_weights(spark):
     w = spark.createDataFrame([(e, k, 1.0) for e, k in docs], "entity string, kw string, weight double")
     z = S.zipf(K.document_frequency(w))
     assert {r["kw"]: r["zipf"] for r in z.collect()} == {"common": 0.5, "one": 1.0, "two": 1.0, "rare": 1.0}
-    rare = search.exact(w, z, search.terms(spark, ["rare"]), 1).collect()
+    w = w.join(z.select("kw", "zipf"), "kw")
+    rare = search.exact(w, search.terms(spark, ["rare"]), 1).collect()
     assert [(r["entity"], round(r["score"], 6)) for r in rare] == [("c", 1.6)]
-    common = search.exact(w, z, search.terms(spark, ["common"]), 1).orderBy("entity").collect()
+    common = search.exact(w, search.terms(spark, ["common"]), 1).orderBy("entity").collect()
     assert [(r["entity"], round(r["score"], 6)) for r in common] == [("a", 0.8), ("b", 0.8), ("c", 0.8)]
 
 
@@ -77,14 +78,25 @@ def test_qualified(spark):
 
 @pytest.mark.parametrize("text,expected", [
     ("create_user", (None, None, "create_user", None)),
-    ("User.create/2", (None, "*.User", "create", 2)),
+    ("User.create/2", (None, "*.User", "create", "2")),
     ("lib/user.ex:User.create", ("lib/user.ex", "*.User", "create", None)),
     ("*.User.create/x", (None, "*.User", "create", None)),
-    ("  ", (None, None, "*", None)),
+    ("Shop.Cart.add/1", (None, "*.Shop.Cart", "add", "1")),
+    ("a:b.c", (None, "*.a:b", "c", None)),
+    ("  ", (None, None, None, None)),
 ])
 def test_function_patterns(text, expected):
-    p = P.FunctionPattern.parse(text)
-    assert (p.file, p.module, p.name, p.arity) == expected
+    said = P.function_parts(text)
+    assert (said["file"], said["module"], said["name"], said["arity"]) == expected
+
+
+def test_function_match(spark):
+    rows = [("Shop.Cart", "lib/cart.ex", "add", 1), ("Shop.Cart", "lib/cart.ex", "add", 2), ("Shop.Cart.Line", "lib/line.ex", "Add_all", 1), ("Other", "lib/o.ex", "drop", 0)]
+    df = spark.createDataFrame(rows, "m string, f string, n string, a int").coalesce(1)
+    match = lambda text: [r["n"] + str(r["a"]) for r in df.where(P.function_match(text, F.col("m"), F.col("f"), F.col("n"), F.col("a"))).collect()]
+    assert match("Cart.add") == ["add1", "add2"] and match("add/2|drop") == ["add2", "drop0"]
+    assert match("lib/line.ex:Cart.add*") == ["Add_all1"] and match("") == match(None) == match("*") == ["add1", "add2", "Add_all1", "drop0"]
+    assert match("Cart.*/1") == ["add1", "Add_all1"]
 
 
 def test_globs(spark):

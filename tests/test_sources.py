@@ -92,7 +92,8 @@ def test_name_likeness(spark):
 def _field(number: int, value) -> bytes:
     if isinstance(value, int):
         return bytes([number << 3, value])
-    return bytes([number << 3 | 2, len(value)]) + value
+    size = [len(value)] if len(value) < 128 else [len(value) & 127 | 128, len(value) >> 7]
+    return bytes([number << 3 | 2, *size]) + value
 
 
 def test_protocol_files(spark):
@@ -107,16 +108,75 @@ def test_protocol_files(spark):
     assert tables["reverse_calls"].first()["callee"] == callee
 
 
+def test_protocol_docs_imports_and_modules(spark):
+    def occurrence(line, symbol, roles):
+        return _field(2, _field(1, bytes([line, 0, 3])) + _field(2, symbol.encode()) + _field(3, roles))
+
+    run, other = "s p k `m`/run().", "s p k `lib`/help()."
+    said = _field(3, _field(1, run.encode()) + _field(3, b"```python\ndef run(a, b)\n```") + _field(3, b"Runs it."))
+    doc = _field(1, b"m.py") + occurrence(0, run, 1) + occurrence(2, other, 0) + occurrence(90, "s p k `late`/f().", 0) + occurrence(95, "s p k `marked`/g().", 2) + said
+    files = spark.createDataFrame([(bytearray(_field(2, doc)),)], "content binary")
+    tables = scip.convert(scip.occurrences(files), scip.descriptions(files))
+    r = tables["functions"].first()
+    assert (r["signature"], r["doc"]) == ("def run(a, b)", "Runs it.")
+    assert {r["module"] for r in tables["imports"].collect()} == {"lib", "marked"}
+    assert [(r["module"], r["functions"], r["public"]) for r in tables["modules"].collect()] == [("m", 1, 1)]
+
+
 def test_feed_refresh(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k, path in enumerate(["lib/a.ex", "deps/b.ex", "lib/c.txt"]):
         (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"ts": "2024-01-01T00:00:00", "path": path}))
     seen = []
     rows = feeds.changes(spark, str(tmp_path / "in"), "ts timestamp, path string", (".ex",), ("deps",))
-    feeds.refresh(rows, lambda df: seen.extend(r["path"] for r in df.collect()), str(tmp_path / "state"), every=None).awaitTermination()
+    feeds.follow(rows, lambda df, number: seen.extend(r["path"] for r in df.collect()), str(tmp_path / "state"), every=None).awaitTermination()
     assert seen == ["lib/a.ex"]
 
 
+def test_change_log_goes_on_after_a_restart(spark, tmp_path):
+    """A second run from the checkpoint upserts into what the first one left; a batch that is run again changes nothing."""
+    (tmp_path / "in").mkdir()
+
+    def put(name, rows):
+        (tmp_path / "in" / name).write_text("\n".join(json.dumps({"path": p, "ts": t, "md5": m}) for p, t, m in rows))
+
+    def run():
+        schema = "path string, ts long, md5 string"
+        log = feeds.ChangeLog(spark, str(tmp_path / "log"), schema, ["path"], ["ts"])
+        batches = []
+        rows = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        feeds.follow(rows, lambda df, n: (log.add(df, n), log.add(df, n), batches.append(n)), str(tmp_path / "checkpoint"), every=None).awaitTermination()
+        return {r["path"]: r["md5"] for r in log.rows().collect()}, batches, log
+
+    assert feeds.ChangeLog(spark, str(tmp_path / "log"), "path string, ts long, md5 string", ["path"], ["ts"]).rows().count() == 0
+    put("1.json", [("a", 1, "a1"), ("b", 5, "b5"), ("b", 2, "b2")])
+    assert run()[:2] == ({"a": "a1", "b": "b5"}, [0])
+    put("2.json", [("a", 7, "a7"), ("c", 1, "c1"), ("b", 1, "b1")])
+    state, batches, log = run()
+    assert (state, batches) == ({"a": "a7", "b": "b1", "c": "c1"}, [1])
+    small = log.compact(str(tmp_path / "small"))
+    small.add(spark.createDataFrame([("c", 9, "c9")], "path string, ts long, md5 string"), 2)
+    assert {r["path"]: r["md5"] for r in small.rows().collect()} == {"a": "a7", "b": "b1", "c": "c9"}
+
+
+def test_bursts_that_batches_part(spark):
+    from datetime import datetime, timedelta
+
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    rows = [("u", at(0), "x"), ("u", at(8), "y"), ("u", at(5), "z"), ("u", at(18), "w"), ("v", at(5), "x")]
+    parts = [feeds.burst_parts(spark.createDataFrame(r, "k string, ts timestamp, path string"), "k", 10) for r in (rows[:2], rows[2:4], rows[4:])]
+    got = feeds.merged_bursts(parts[0].unionAll(parts[1]).unionAll(parts[2]), "k").orderBy("k", "first_ts").collect()
+    assert [(r["k"], r["first_ts"], r["closed_at"], r["changes"], r["paths"]) for r in got] == [("u", at(0), at(18), 3, ["x", "y", "z"]), ("u", at(18), at(28), 1, ["w"]), ("v", at(5), at(15), 1, ["x"])]
+
+
+def test_repeated_points_keep_their_rows(spark):
+    from kestrelgrid.operators import asof
+
+    points = spark.createDataFrame([("m", 5), ("m", 5), ("m", 50), (None, 5)], "module string, at int")
+    ranges = spark.createDataFrame([("m", 1, 9, "wide"), ("m", 4, 6, "narrow")], "module string, start int, stop int, symbol string")
+    assert [(r["at"], r["symbol"]) for r in asof.enclosing(points, ranges, ["module"], "at").collect()] == [(5, "narrow")] * 2
+
+
 def test_tool_log_stream_has_all_windows(spark):
     """The stream's table is the batch aggregate over all events, the last day's open windows with it."""
     import pytest
@@ -136,3 +196,50 @@ def test_tool_log_stream_has_all_windows(spark):
     for k, r in got.items():
         for c in ("calls", "success_pct", "total_ms", "avg_ms", "tokens"):
             assert r[c] == pytest.approx(want[k][c], abs=1e-5)
+
+
+def test_line_log(spark):
+    from kestrelgrid.sources import git
+
+    text = ["noise", "COMMIT:ab12|Ann|2024-02-01T10:00:00|Second | change", "", "diff --git a/f b/f", "--- a/f", "+++ b/f", "@@ -3,2 +3,3 @@", " def x", "-old", "+new", "+++more", "COMMIT:cd34|Bob|bad time|First", "@@ -0,0 +1,2 @@", "+a", "+b"]
+    rows = git.line_log(spark.createDataFrame([("x/1", k, s) for k, s in enumerate(text)] + [("y/0", 1, "nothing")], "name string, line_no int, text string")).orderBy("ordinal").collect()
+    assert [(r["name"], r["sha"], r["author"], r["message"], r["start_line"], r["end_line"], r["added"], r["removed"]) for r in rows] == [("x/1", "ab12", "Ann", "Second | change", 3, 5, 2, 1), ("x/1", "cd34", "Bob", "First", 1, 2, 2, 0)]
+    assert str(rows[0]["ts"]) == "2024-02-01 10:00:00" and rows[1]["ts"] is None
+
+
+def test_keyword_forms(spark):
+    from pyspark.sql import functions as F
+
+    from kestrelgrid.functions import text as T
+
+    forms = {'{"a": 2, "b": 0.5}': {"a": 2.0, "b": 0.5}, '["a", "b", "a"]': {"a": 1.0, "b": 1.0}, '[["a", 0.3], ["b", 2]]': {"a": 0.3, "b": 2.0}, '[{"word": "a", "score": 3}, {"keyword": "b"}]': {"a": 3.0, "b": 1.0}, '{"top_keywords": [["a", 1], ["a", 4]]}': {"a": 4.0}, "": {}, "7": {}}
+    df = spark.createDataFrame([(k,) for k in forms], "j string")
+    assert {r["j"]: r["m"] for r in df.select("j", T.keyword_map(F.col("j")).alias("m")).collect()} == forms
+
+
+def test_inflections(spark):
+    from pyspark.sql import functions as F
+
+    from kestrelgrid.functions import text as T
+
+    rows = spark.createDataFrame([(w,) for w in ("carry", "make", "box", "walk", "play", "see", "my_name", "x2")], "kw string").select("kw", T.inflections(F.col("kw"))["word"].alias("f")).collect()
+    got = {r["kw"]: r["f"] for r in rows}
+    assert got["carry"] == ["carry", "carries", "carried", "carrying", "carrier", "carriest"] and got["make"] == ["make", "makes", "maked", "making", "maker", "makest"]
+    assert got["box"][1] == "boxes" and got["walk"][1:4] == ["walks", "walked", "walking"] and got["play"][1:4] == ["plays", "played", "playing"] and got["see"][3] == "seeing"
+    assert got["my_name"] == ["my_name"] and got["x2"] == ["x2"]
+
+
+def test_enrichment_goes_on_after_a_break(spark, tmp_path):
+    from kestrelgrid.operators import enrich
+
+    tables = {
+        "entities": spark.createDataFrame([("M.load_user/1", "load_user", "Loads the user from disk, load twice")], "entity string, name string, doc string"),
+        "literals": spark.createDataFrame([("M.load_user/1", "string", "disk failure"), ("M.load_user/1", "comment", "slow disk path")], "entity string, kind string, text string"),
+    }
+    first = enrich.enrich(spark, tables, str(tmp_path), until="strings")
+    assert "comments" not in first and first["strings"].count() == 2
+    other = tables | {"literals": tables["literals"].where("false")}
+    done = enrich.enrich(spark, other, str(tmp_path))
+    assert done["strings"].count() == 2 and done["comments"].count() == 0  # what had ended isn't made again
+    rows = {r["kw"]: (round(r["weight"], 3), r["sources"]) for r in done["entity_keywords"].collect()}
+    assert rows["failure"] == (1.3, "strings") and rows["disk"][1] == "docs+strings" and rows["user"][0] == 1.5
