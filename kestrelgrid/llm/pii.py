@@ -1,25 +1,37 @@
 """Information-theoretic sanitisation of personal data, in built-in expressions only.
 
 Patterns find protected entities: e-mail and IP addresses, card and phone
-numbers. Around each occurrence the words within REACH characters are candidate
-terms. Over the whole corpus of N documents, with df the number of documents
-that hold an entity c or a term t, and co those in which t stands near c,
+numbers. Every word of a document that holds an entity is a candidate term. Over
+the whole corpus of N documents, with df the number of documents that hold an
+entity c or a term t, and co the documents that hold both, each counting 1 if t
+is within REACH characters of c and FAR if it is anywhere else in the text,
 
     PMI(c; t) = log2(N * co / (df_c * df_t)),    IC(c) = log2(N / df_c),
 
 and PMI / IC is the share of an entity's information that the term discloses
-(1: the term occurs with that entity only). In documents that hold c, terms
-whose share reaches GENERALISE are replaced by a general one, those that reach
-REMOVE are removed. An estimate needs SUPPORT documents, so an entity of a single
-document has no terms; documents without an entity are left alone.
+(1: the term occurs near that entity only). Few documents make an unsure
+estimate, so the share is discounted by co / (co + 1) * m / (m + 1) with m =
+min(df_c, df_t) (Pantel and Lin, 2002): a word that is seen once, next to an
+entity that is seen once, has 1/4 of its share left. In documents that hold c,
+terms whose share reaches GENERALISE are replaced by a general one, those that
+reach REMOVE are removed. Documents without an entity are left alone.
+
+Pairs that cannot reach GENERALISE are not made or not counted on: those of the
+rest of a text for entities of too few documents, and those whose share stays
+below it even if the term is nowhere else. Pairs are counted map-side first, so
+an entity of very many documents is no large group; in the join back to
+documents it is salted.
 
 Positions come from the lengths of a text's matches and of the pieces between
-them, counted in code points. The patterns are written so that each character is
-passed a bounded number of times, however long a run of digits or letters is.
+them, counted in code points, summed in runs of RUN matches. The patterns are
+written so that each character is passed a bounded number of times, however long
+a run of digits or letters is.
 
 Defined cases: a null text is an empty one; no match gives counts of 0, the
-hash of the empty string and empty spans; repeated rows are reported each and
-count as documents each; an empty table gives no rows.
+hash of the empty string and empty spans; very long texts are read whole;
+repeated rows are reported each and count as documents each; of equal shares
+every term is treated alike; columns other than id and text, whatever their
+names, play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,13 +39,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import attach, written
+from .cluster import attach, quoted, written
 
+#: Parameters of ``find``: characters around an entity that are near it, weight of the rest of the text, shares from which terms are treated.
 REACH = 64
-SUPPORT = 2
-GENERALISE = 0.5
-REMOVE = 0.9
+FAR = 0.1
+GENERALISE = 0.2
+REMOVE = 0.6
+#: Keys of a table that is broadcast, at most; larger ones are joined by a shuffle.
 MOST_BROADCAST = 200_000
+RUN = 256
 
 KINDS = ("email", "ip", "card", "phone")
 #: Same leftmost matches as the plain patterns: a match can only begin where a run begins or the last match ended,
@@ -74,25 +89,38 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+_SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
+
+
 def spans_of(text: Column, pattern: Column, kind: str) -> Column:
-    """array<struct<kind, start, end, value>> of all matches, in code points, end exclusive."""
+    """array<struct<kind, start, end, value>> of all matches, in code points, end exclusive.
+
+    Expressions can't append to an array in place, so positions are summed up in
+    runs of RUN matches, each from the end of the one before.
+    """
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("out"))
+    # one piece more than matches: the last has no match behind it
+    pairs = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("value"), g.alias("gap")))
 
     def step(state: Column, x: Column) -> Column:
         begin = state["at"] + x["gap"]
         end = begin + F.length(x["value"])
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    # one piece more than matches: the last has no match behind it
-    pairs = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("value"), g.alias("gap")))
-    return F.aggregate(pairs, start, step)["out"]
+    def placed(run: Column, begin: Column) -> Column:
+        return F.aggregate(run, F.struct(begin.alias("at"), F.array().cast(_SPANS).alias("out")), step)["out"]
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / RUN).cast("int")), lambda i: F.slice(pairs, i * RUN + 1, F.lit(RUN)))
+    width = lambda run: F.aggregate(run, F.lit(0), lambda s, x: s + x["gap"] + F.length(x["value"]))
+    begins = F.aggregate(F.transform(runs, width), F.array(F.lit(0)), lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + w)))
+    long = F.flatten(F.zip_with(runs, F.slice(begins, F.lit(1), F.size(runs)), placed))
+    return F.when(F.size(pairs) <= RUN, placed(pairs, F.lit(0))).otherwise(long)
 
 
 def _found(text: Column, kind: str) -> Column:
     pattern = F.lit(PATTERNS[kind])
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+    none = F.array().cast(_SPANS)
     some = F.filter(spans_of(text, pattern, kind), lambda s: _valid(kind, s["value"]))
     hit = text.rlike(PATTERNS[kind])
     return F.when(F.contains(text, F.lit(NEEDS[kind])) & hit, some).otherwise(none)
@@ -108,50 +136,90 @@ def _entity(span: Column) -> Column:
 
 def base(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(uid, doc_id, base, text) of every row; base holds the spans in order, text stays only where there are any."""
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
+    text = F.coalesce(quoted(text_column).cast("string"), F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), quoted(id_column).cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("base", F.concat(*[_found(F.col("text"), k) for k in KINDS]))
     return rows.withColumn("text", F.when(F.size("base") > 0, F.col("text")))
 
 
-def disclosures(docs: DataFrame, held: DataFrame, text_column: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(entity, term, share) of the terms that disclose ``generalise`` or more of an entity. ``held``: base(), written."""
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+
+
+def _near(s: Column, reach: int) -> Column:
+    """Words within reach of a span; one that the reach cuts is left out."""
+    left = F.substring(F.col("text"), F.greatest(s["start"] - reach, F.lit(0)) + 1, F.least(s["start"], F.lit(reach)))
+    right = F.substring(F.col("text"), s["end"] + 1, F.lit(reach))
+    cut_left = F.when(s["start"] > reach, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
+    cut_right = F.when(F.length("text") > s["end"] + reach, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
+    return _words(F.concat(cut_left, F.lit(" "), cut_right))
+
+
+def _joined_to(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int, spread: str) -> DataFrame:
+    """rows joined to the one row of their key, which goes to all tasks where there are few keys; else hot keys are salted."""
+    if groups.count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(groups), keys)
+    return attach(rows, groups, keys, count, total, spread)
+
+
+def pairs(held: DataFrame, entities: DataFrame, reach: int, far: float, generalise: float) -> DataFrame:
+    """(uid, entity, term, w, k): weights and documents of a pair add up over the rows of a document.
+
+    ``entities``: (entity, df_c), written. Entities of so few documents that a
+    word far from them can't reach ``generalise`` have near words only.
+    """
     rows = held.where("text is not null")
-    n = held.count()
+    least = generalise / (1 - generalise) / far
+    wide = entities.where(F.col("df_c") >= least)
+    said = rows.select("uid", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    wide_of = written(_joined_to(said, wide, ["entity"], "df_c", held.count(), "uid").groupBy("uid").agg(F.collect_set("entity").alias("wide")))
+    rows = rows.join(wide_of, "uid", "left").withColumn("wide", F.coalesce("wide", F.array().cast("array<string>")))
+    pair = lambda e, t, near: F.struct(e.alias("entity"), t.alias("term"), F.lit(near).alias("near"))
+    near = F.flatten(F.transform("base", lambda s: F.transform(_near(s, reach), lambda t: pair(_entity(s), t, True))))
+    whole = F.flatten(F.transform("wide", lambda e: F.transform(_words(F.col("text")), lambda t: pair(e, t, False))))
+    out = rows.select("uid", "wide", F.explode(F.concat(F.array_distinct(near), whole)).alias("p"))
+    also = F.array_contains("wide", F.col("p.entity"))  # a near word of these is among the words of the whole text, too
+    weight = F.when(~F.col("p.near"), far).when(also, 1 - far).otherwise(1.0)
+    return out.select("uid", "p.entity", "p.term", weight.alias("w"), F.when(F.col("p.near") & also, 0).otherwise(1).alias("k"))
+
+
+def share(n: int) -> Column:
+    """The discounted share of columns co, df_c and df_t."""
+    pmi = F.log2(F.col("co") * F.lit(float(n)) / (F.col("df_c") * F.col("df_t")))
+    m = F.least("df_c", "df_t")
+    discount = F.col("co") / (F.col("co") + 1) * m / (m + 1)
+    return F.when(F.col("df_c") < n, discount * pmi / F.log2(F.lit(float(n)) / F.col("df_c"))).otherwise(0.0)
+
 
-    def near(s: Column) -> Column:
-        left = F.substring(F.col("text"), F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH)))
-        right = F.substring(F.col("text"), s["end"] + 1, F.lit(REACH))
-        # a word that the reach cuts is left out
-        inner = F.concat(F.regexp_replace(left, r"^\p{L}+", ""), F.lit(" "), F.regexp_replace(right, r"\p{L}+$", ""))
-        return F.transform(F.regexp_extract_all(F.lower(inner), F.lit(WORD), F.lit(0)), lambda t: F.struct(_entity(s).alias("entity"), t.alias("term")))
-
-    pairs = rows.select("uid", F.explode(F.array_distinct(F.flatten(F.transform("base", near)))).alias("p")).select("p.entity", "p.term")
-    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("co")).where(F.col("co") >= support)
-    entities = rows.select(F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_c"))
-    both = written(both.join(entities, "entity"))
+def disclosures(docs: DataFrame, held: DataFrame, found: DataFrame, entities: DataFrame, text_column: str = "text", generalise: float = GENERALISE) -> DataFrame:
+    """(entity, term, docs, share) of the terms that disclose ``generalise`` or more of an entity. held: base(), found: pairs(), both written."""
+    n = held.count()
+    both = found.groupBy("entity", "term").agg(F.sum("w").alias("co"), F.sum("k").alias("docs"))
+    # a term is in as many documents as the pair at least; what stays below even then is no candidate
+    both = both.join(entities, "entity").withColumn("df_t", F.col("docs")).where(share(n) >= generalise)
+    both = written(both.drop("df_t"))
     wanted = written(both.select("term").distinct())
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_column).cast("string")), F.lit(WORD), F.lit(0)))
-    terms = docs.select(F.explode(words).alias("term"))
-    small = wanted.count() <= MOST_BROADCAST
-    terms = terms.join(F.broadcast(wanted) if small else wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
-    pmi = F.log2(F.col("co") * F.lit(float(n)) / (F.col("df_c") * F.col("df_t")))
-    share = F.when(F.col("df_c") < n, pmi / F.log2(F.lit(float(n)) / F.col("df_c"))).otherwise(0.0)
-    return both.join(terms, "term").withColumn("share", share).where(F.col("share") >= generalise).select("entity", "df_c", "term", "share")
+    terms = docs.select(F.explode(_words(quoted(text_column).cast("string"))).alias("term"))
+    if wanted.count() <= MOST_BROADCAST:
+        terms = terms.join(F.broadcast(wanted), "term", "left_semi")
+    # counted by each task first, so a word arrives once a task
+    counts = terms.groupBy("term").agg(F.count("*").alias("df_t"))
+    return both.join(counts, "term").withColumn("share", share(n)).where(F.col("share") >= generalise).select("entity", "term", "docs", "share")
 
 
-def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", reach: int = REACH, far: float = FAR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row per row of ``docs``: doc_id, counts, base_sha256, spans, and ``sanitised``, the text without what the spans cover (null: unchanged)."""
     held = written(base(docs, id_column, text_column))
-    found = disclosures(docs, held, text_column, support, generalise)
-    found = written(found.groupBy("entity").agg(F.max("df_c").alias("df_c"), F.collect_list(F.struct("term", "share")).alias("terms")))
-    rows = held.where("text is not null").select("uid", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
-    terms = attach(rows, found, ["entity"], "df_c", held.count(), "uid").select("uid", F.explode("terms").alias("t")).groupBy("uid", "t.term").agg(F.max("t.share").alias("share"))
-    terms = terms.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
+    entities = held.where("text is not null").select(F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    entities = written(entities.groupBy("entity").agg(F.count("*").alias("df_c")))
+    found = written(pairs(held, entities, reach, far, generalise))
+    treated = written(disclosures(docs, held, found, entities, text_column, generalise))
+    own = _joined_to(found.select("uid", "entity", "term"), treated, ["entity", "term"], "docs", held.count(), "uid")
+    terms = own.groupBy("uid", "term").agg(F.max("share").alias("share")).groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
     out = held.join(terms, "uid", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.array_sort(F.map_keys("shares")), "|"), F.lit(r")(?!\p{L})"))
     clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    more = F.when(F.col("shares").isNotNull(), F.filter(spans_of(F.col("text"), pattern, "term"), clear)).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))
+    more = F.when(F.col("shares").isNotNull(), F.filter(spans_of(F.col("text"), pattern, "term"), clear)).otherwise(F.array().cast(_SPANS))
     out = out.withColumn("more", more)
     counts = [F.array_size(F.array_remove(F.array_compact(F.transform("base", lambda s: s["kind"])), k)) for k in KINDS]
     counts = [(F.size("base") - n).cast("long").alias(f"n_{k}") for n, k in zip(counts, KINDS, strict=True)]

@@ -18,7 +18,7 @@ def vocabulary() -> tuple[str, str]:
 def _remainder(spark: SparkSession, divisor: int):
     from pyspark.sql import functions as F
 
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
 
 
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,9 +34,12 @@ def op2_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
     from .pii import find
 
-    return find(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    # what the sanitised text is (null: unchanged) shows in its hash
+    return find(documents(spark, sf_dir)).withColumn("sanitised_sha256", F.sha2(F.col("sanitised").cast("binary"), 256)).drop("sanitised")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
