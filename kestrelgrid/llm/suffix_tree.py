@@ -13,9 +13,11 @@ of both models compare. Contexts are the bytes before a position, up to DEPTH.
   (Kullback-Leibler), or if one that is retained ends in it.
 * Contexts that end in the same two symbols are tested in one group, as their
   suffixes are there too. The retained ones are a table.
-* A state's distribution is its counts plus its suffix' distribution with the
-  weight of its number of kinds of next symbols; the root has one count more for
-  each symbol. So each of the 257 symbols has a probability in each state.
+* A state's distribution is its counts plus its suffix' distribution with WEIGHT
+  times the weight of its number of kinds of next symbols; the root has one count
+  more for each symbol. So each of the 257 symbols has a probability in each
+  state. Most contexts of few occurrences reach over a word's beginning and tell
+  little, so their suffix weighs much.
 * Scoring looks up each distinct gram of a lot of text in the retained contexts,
   from the shortest to the longest, and adds up log10 probabilities. Contexts go
   to the tasks in parts of about PART rows, of which a task holds one at a time.
@@ -27,8 +29,9 @@ shuffle, to be joined with the counts of all words.
 
 Defined cases: null and empty texts are one end token; a null doc_id is never
 held out; with no training text every symbol has probability 1/257 and every
-word count 0; repeated rows are scored each; an empty table gives no rows.
-Words are told apart by 64-bit hashes.
+word count 0; very long texts are read whole; repeated rows are learnt from and
+scored each; other columns, whatever their names, make no difference; an empty
+table gives no rows. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -40,12 +43,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import Tags, map_arrow, written
+from .cluster import Tags, map_arrow, quoted, written
 from .text import _LOWER, _NONWHITE, Words, list_column, slices
 
 DEPTH = 6
-SUPPORT = 4
+SUPPORT = 2
 DIVERGENCE = 0.01
+WEIGHT = 6
 END = 0xFF  # no byte of UTF-8
 WINDOW = 192
 HEAD = 1 << 20
@@ -124,7 +128,7 @@ def _count_rows(depth: int):
 class Tree:
     """States and automaton. Symbols that training never saw share one class, which splits its probability evenly."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], divergence: float):
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], divergence: float, weight: float = WEIGHT):
         """levels[d]: (context code, next symbol, count) of the candidates of depth d, ascending."""
         root = np.zeros(256, np.float64)
         if levels and len(levels[0][0]):
@@ -149,8 +153,8 @@ class Tree:
             which = np.repeat(np.arange(len(own)), np.diff(np.concatenate([edge, [len(ctx)]])))
             counts = np.zeros((len(own), width))
             np.add.at(counts, (which, self.symbol[nxt]), n)
-            total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-            dist = (counts + kinds * base) / (total + kinds)
+            total, above = counts.sum(1, keepdims=True), weight * (counts > 0).sum(1, keepdims=True)
+            dist = (counts + above * base) / (total + above)
             codes.append(own)
             dists.append(dist)
             keeps.append((dist * np.log(dist / base)).sum(1) >= divergence)
@@ -239,7 +243,7 @@ def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Level:
     """Candidates of a depth: their codes with the weight of their suffix, and (code, next) with its probability, ascending."""
 
-    def __init__(self, pairs: np.ndarray, n: np.ndarray, support: int, base, divergence: float):
+    def __init__(self, pairs: np.ndarray, n: np.ndarray, support: int, base, divergence: float, weight: float):
         """pairs: (code, next), sorted; base: gives the probability of the same next symbol after the suffix."""
         ctx = pairs >> np.uint64(8)
         edge = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.zeros(0, int)
@@ -250,9 +254,10 @@ class Level:
         self.codes, kinds, total = ctx[edge][often], kinds[often], total[often]
         self.pairs, n = pairs[which], n[which]
         self.of = np.repeat(np.arange(len(kinds)), kinds)
-        self.weight = kinds / (total + kinds)
+        above = weight * kinds
+        self.weight = above / (total + above)
         below = base(self.pairs)
-        self.p = (n + kinds[self.of] * below) / (total + kinds)[self.of]
+        self.p = (n + above[self.of] * below) / (total + above)[self.of]
         # symbols that never follow have the weight's share of the suffix' probability
         seen = np.bincount(self.of, self.p * np.log(self.p / below), len(kinds))
         rest = 1 - np.bincount(self.of, below, len(kinds))
@@ -269,7 +274,7 @@ def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[edge], np.add.reduceat(n, edge)
 
 
-def _group(depth: int, support: int, divergence: float, first: Level):
+def _group(depth: int, support: int, divergence: float, weight: float, first: Level):
     """For the grams whose contexts end in the same two symbols: the retained contexts of depth 2 and more."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -277,7 +282,7 @@ def _group(depth: int, support: int, divergence: float, first: Level):
         levels = [first]
         for d in range(2, depth + 1):
             below = levels[-1]
-            level = Level(*_summed(_low(key, d + 1), n), support, lambda pairs, d=d, below=below: below.probability(_low(pairs, d)), divergence)
+            level = Level(*_summed(_low(key, d + 1), n), support, lambda pairs, d=d, below=below: below.probability(_low(pairs, d)), divergence, weight)
             if not len(level.codes):
                 break
             levels.append(level)
@@ -303,11 +308,11 @@ def _group(depth: int, support: int, divergence: float, first: Level):
 class Top:
     """The contexts of no and of one symbol, at most 257, and which part has the longer ones that end in two given symbols."""
 
-    def __init__(self, pairs: np.ndarray, n: np.ndarray, support: int, divergence: float):
+    def __init__(self, pairs: np.ndarray, n: np.ndarray, support: int, divergence: float, weight: float):
         """pairs: (symbol before, symbol), sorted."""
         ones = np.bincount((pairs & np.uint64(255)).astype(int), n, 256)
         root = (ones + 1) / (ones.sum() + 257)
-        self.level = Level(pairs, n, support, lambda x: root[(x & np.uint64(255)).astype(int)], divergence)
+        self.level = Level(pairs, n, support, lambda x: root[(x & np.uint64(255)).astype(int)], divergence, weight)
         self.root = np.log10(root).astype(np.float32)
 
     def close(self, suffixes: np.ndarray, part: np.ndarray) -> None:
@@ -360,7 +365,7 @@ def _sorted_part(table: pa.Table, depth: int) -> list[tuple[np.ndarray, ...]]:
     return out
 
 
-def train(texts: DataFrame, depth: int, support: int, divergence: float, part: int = PART) -> tuple[DataFrame, Top, list]:
+def train(texts: DataFrame, depth: int, support: int, divergence: float, part: int = PART, weight: float = WEIGHT) -> tuple[DataFrame, Top, list]:
     """(words(key, n), the short contexts, the parts of the longer ones as broadcasts) from the texts of texts(text)."""
     spark = texts.sparkSession
     counted = map_arrow(texts.select("text"), _count_rows(depth), "kind byte, key long, n long")
@@ -368,9 +373,9 @@ def train(texts: DataFrame, depth: int, support: int, divergence: float, part: i
     level = counted.where("kind = 0").select("key", "n")
     # at most 2^16 rows
     ones = level.groupBy(F.col("key").bitwiseAND(65535).alias("pair")).agg(F.sum("n").alias("n")).orderBy("pair").toArrow()
-    top = Top(ones.column("pair").to_numpy().astype(np.uint64), ones.column("n").to_numpy(), support, divergence)
+    top = Top(ones.column("pair").to_numpy().astype(np.uint64), ones.column("n").to_numpy(), support, divergence, weight)
     grouped = level.withColumn("suffix", F.shiftrightunsigned("key", 8).bitwiseAND(65535)).groupBy("suffix")
-    kept = written(grouped.applyInArrow(_group(depth, support, divergence, top.level), "suffix int, depth byte, pair boolean, code long, log float"))
+    kept = written(grouped.applyInArrow(_group(depth, support, divergence, weight, top.level), "suffix int, depth byte, pair boolean, code long, log float"))
     sizes = kept.groupBy("suffix").agg(F.count("*").alias("n")).orderBy("suffix").toArrow()
     suffixes, n = sizes.column("suffix").to_numpy(), sizes.column("n").to_numpy()
     # neighbours share a part
@@ -385,15 +390,15 @@ def train(texts: DataFrame, depth: int, support: int, divergence: float, part: i
     return counted.where("kind = 1").select("key", "n"), top, parts
 
 
-def score(docs: DataFrame, held_out=None, depth: int = DEPTH, support: int = SUPPORT, divergence: float = DIVERGENCE, id_column: str = "doc_id", text_column: str = "text", part: int = PART) -> DataFrame:
+def score(docs: DataFrame, held_out=None, depth: int = DEPTH, support: int = SUPPORT, divergence: float = DIVERGENCE, id_column: str = "doc_id", text_column: str = "text", part: int = PART, weight: float = WEIGHT) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``held_out`` is a boolean Column of ``docs``; its rows are scored but not learnt from.
     """
     spark = docs.sparkSession
     out = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), out.alias("held_out"))
-    words, top, parts = train(rows.where("not held_out"), depth, support, divergence, part)
+    rows = docs.select(quoted(id_column).cast("long").alias("doc_id"), quoted(text_column).cast("string").alias("text"), out.alias("held_out"))
+    words, top, parts = train(rows.where("not held_out"), depth, support, divergence, part, weight)
     tokens, kinds = words.agg(F.sum("n"), F.count("*")).first()
     tokens = tokens or 0
     head = words.where(F.col("n") >= max(1.0, tokens / HEAD)).toArrow()
