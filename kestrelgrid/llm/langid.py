@@ -6,15 +6,17 @@ give a probability for each language, and a document's probability is the mean
 over all positions of its whole text. Gates are ``clip(x + 0.5, 0, 1)`` and the
 candidate state is ``x / (1 + |x|)``, both without exponentials.
 
-Training: backpropagation through time with Adam, over at most DOCS_EACH labelled
-documents of each language and MOST_DOCS in all (those with the least hash of
-doc_id), WINDOWS_EACH windows spread over each. This is the bounded sample of
-labelled rows a classifier may be fitted on; every document is then labelled.
+Training: backpropagation through time with Adam, over all windows of at most
+docs_each labelled documents of each language and most_docs in all (those with
+the least hash of doc_id). This is the bounded sample of labelled rows a
+classifier may be fitted on; every document is then labelled.
 
 Defined cases: a text that is null, empty or without a letter is ``und`` with
-score 0, and so are all texts if no row is labelled; NUL bytes are skipped; very
-long texts are read whole; ties go to the language first in order; repeated rows
-and other columns make no difference; an empty table gives no rows.
+score 0, and so are all texts if no row is labelled; a row without doc_id or
+label is not learnt from; NUL bytes are skipped; very long texts are read whole,
+in training too; ties go to the language first in order; repeated rows are
+labelled each; other columns, whatever their names, make no difference; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,17 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import annotate, map_arrow
+from .cluster import annotate, map_arrow, quoted
 from .text import binary, slices
 
 HIDDEN = 8
 WINDOW = 96
 DOCS_EACH = 200
 MOST_DOCS = 20_000
-WINDOWS_EACH = 6
-EPOCHS = 12
-#: Few windows are gone through more often, in smaller lots, until this many steps are made.
-LEAST_STEPS = 300
+#: All windows are gone through once at least, and few ones more often, in smaller lots, until this many steps are made.
+LEAST_STEPS = 400
 BATCH = 256
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -146,13 +146,14 @@ class Network:
         dx[:, seen] = np.add.reduceat(inputs.transpose(1, 0, 2).reshape(3 * hidden, -1)[:, order], first, axis=1)
         return {f"x{k}": dx, f"u{k}": du}
 
-    def fit(self, windows: np.ndarray, targets: np.ndarray, epochs: int, seed: int, rate: float = 0.01) -> float:
+    def fit(self, windows: np.ndarray, targets: np.ndarray, seed: int, rate: float = 0.01) -> float:
         """windows (count, WINDOW) bytes; returns the last epoch's loss."""
         rng = np.random.default_rng(seed)
         lot = min(BATCH, max(32, len(windows) // 8))
-        epochs = max(epochs, -(-LEAST_STEPS * lot // len(windows)))
+        epochs = -(-LEAST_STEPS * lot // len(windows))
+        last = 0.75 * epochs * -(-len(windows) // lot)  # the steps after it are smaller
         first, second, step, loss = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0, 0.0
-        for epoch in range(epochs):
+        for _ in range(epochs):
             order, losses = rng.permutation(len(windows)), []
             for at in range(0, len(order), lot):
                 pick = order[at : at + lot]
@@ -163,7 +164,7 @@ class Network:
                     g = np.clip(g, -1, 1)
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.99 * second[k] + 0.01 * g * g
-                    pace = rate * (0.3 if epoch >= epochs - 3 else 1.0)
+                    pace = rate * (0.3 if step > last else 1.0)
                     self.p[k] = (self.p[k] - pace * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
             loss = float(np.mean(losses))
         return loss
@@ -192,11 +193,12 @@ def predict(network: Network | None, col: pa.Array) -> tuple[list[str], np.ndarr
     offsets, data = binary(col)
     steps, row = windows_of(offsets, data)
     sums = np.zeros((len(texts), len(network.labels)))
-    for at in range(0, len(row), 8192):
-        part = np.ascontiguousarray(steps[:, at : at + 8192])
+    lot = max(64, 32_768 // max(4, len(network.labels)))  # bounds the probabilities of a lot
+    for at in range(0, len(row), lot):
+        part = np.ascontiguousarray(steps[:, at : at + lot])
         prob = network.label(part)
         prob *= (part > 0)[:, None, :]
-        np.add.at(sums, row[at : at + 8192], prob.sum(axis=0, dtype=np.float64).T)
+        np.add.at(sums, row[at : at + lot], prob.sum(axis=0, dtype=np.float64).T)
     total = sums.sum(axis=1)
     best = sums.argmax(axis=1)
     for i, text in enumerate(texts):
@@ -205,26 +207,26 @@ def predict(network: Network | None, col: pa.Array) -> tuple[list[str], np.ndarr
     return names, np.clip(scores, 0, 1)
 
 
-def train(docs: DataFrame, use=None, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", hidden: int = HIDDEN, docs_each: int = DOCS_EACH, seed: int = 11) -> Network | None:
+def train(docs: DataFrame, use=None, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", hidden: int = HIDDEN, docs_each: int = DOCS_EACH, most_docs: int = MOST_DOCS, seed: int = 11) -> Network | None:
     """A network learnt from labelled rows of ``docs`` for which the boolean Column ``use`` holds; None without any."""
     rows = docs.where(F.coalesce(use, F.lit(False))) if use is not None else docs
-    rows = rows.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("string").alias("label"), F.col(text_column).cast("string").alias("text"))
+    rows = rows.select(quoted(id_column).cast("long").alias("id"), quoted(label_column).cast("string").alias("label"), quoted(text_column).cast("string").alias("text"))
     rows = rows.where("label is not null and id is not null")
     order = F.xxhash64("id", F.lit(seed))
     best = rows.where(F.octet_length("text") > 0).select("id", "label", order.alias("h")).withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "id")))
-    chosen = best.where(F.col("k") <= docs_each).orderBy("k", "label").limit(MOST_DOCS).select("id", "label").distinct()
+    chosen = best.where(F.col("k") <= docs_each).orderBy("k", "label").limit(most_docs).select("id", "label").distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, out = [], []
             for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 raw = text.encode()
-                for at in sorted({int(x) for x in np.linspace(0, max(0, len(raw) - WINDOW), WINDOWS_EACH)}):
+                for at in range(0, len(raw), WINDOW):
                     labels.append(label)
                     out.append(raw[at : at + WINDOW].ljust(WINDOW, b"\0"))
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(out, pa.binary())], ["label", "window"])
 
-    # at most MOST_DOCS rows, so they may be broadcast
+    # at most most_docs rows, so they may be broadcast
     sample = map_arrow(rows.join(F.broadcast(chosen), ["id", "label"]), cut, "label string, window binary").toArrow()
     pairs = sorted(zip(sample.column("label").to_pylist(), sample.column("window").to_pylist(), strict=True))
     if not pairs:
@@ -232,7 +234,7 @@ def train(docs: DataFrame, use=None, id_column: str = "doc_id", text_column: str
     labels = sorted({p[0] for p in pairs})
     network = Network(labels, hidden, seed)
     windows = np.frombuffer(b"".join(p[1] for p in pairs), np.uint8).reshape(-1, WINDOW)
-    network.fit(windows, np.array([labels.index(p[0]) for p in pairs]), EPOCHS, seed)
+    network.fit(windows, np.array([labels.index(p[0]) for p in pairs]), seed)
     return network
 
 
@@ -244,11 +246,13 @@ def identify(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = (
         for batch in batches:
             for part in slices(batch, "_text"):
                 names, scores = predict(sent.value, part.column("_text"))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(names, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores)], [*part.schema.names[:-1], "lang_pred", "score"])
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["lang_pred string", "score double"])
-    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_column).cast("string").alias("_text")), run, schema)
+    names = [f"_{k}" for k in range(len(keep))]
+    schema = ", ".join([f"{n} {kinds[c]}" for n, c in zip(names, keep, strict=True)] + ["lang_pred string", "score double"])
+    out = map_arrow(docs.select(*[quoted(c).alias(n) for n, c in zip(names, keep, strict=True)], quoted(text_column).cast("string").alias("_text")), run, schema)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, network: Network | None, least: float, text_column: str = "text") -> DataFrame:
@@ -260,4 +264,4 @@ def keep_identified(docs: DataFrame, network: Network | None, least: float, text
         return [pa.array([s if name != "und" else -1.0 for names, scores in parts for name, s in zip(names, scores.tolist(), strict=True)], pa.float64())]
 
     scored, (name,) = annotate(docs, text_column, score, {"score": "double"})
-    return scored.where(F.col(name) >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scored.where(F.col(name) >= least).select(*[quoted(c) for c in docs.columns])
