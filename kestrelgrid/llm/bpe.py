@@ -15,7 +15,9 @@ decoded to bytes; ``decode_text`` also joins characters that two tokens split.
 covers that whole character.
 
 Defined cases: a null or empty text has no tokens; very long texts and words
-are encoded whole; an empty table gives an empty result; other columns stay.
+are encoded whole; repeated rows are encoded each; an empty table gives an empty
+result; of other columns those named in ``keep`` stay, under a name with a
+leading underscore if it is that of a new column, in whatever case.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .cluster import map_arrow
+from .cluster import map_arrow, quoted
 
 #: Parts kept during a task, about 200 bytes each; a Python worker gives them back for its next task.
 KEPT_PARTS = 250_000
@@ -122,8 +124,8 @@ def codec(content: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def encode(docs: DataFrame, ranks_file: str, pattern: str, text_column: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
-    """Adds n_tokens, ids_sha256, decoded_sha256 and, on request, ids to the columns kept.
+def encode(docs: DataFrame, ranks_file: str, pattern: str, text_column: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, with_spans: bool = False) -> DataFrame:
+    """Adds n_tokens, ids_sha256, decoded_sha256 and, on request, ids and spans (array of each token's code point offsets) to the columns kept.
 
     The driver reads the ranks file (under 1 MB) and broadcasts it.
     """
@@ -135,16 +137,26 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, text_column: str = "t
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                ids = own.encode(batch.column("_text").to_pylist())
-                columns = [batch.column(c) for c in keep]
+                ids = own.encode(batch.column(batch.num_columns - 1).to_pylist())
+                columns = batch.columns[:-1]
                 columns.append(pa.array([len(x) // 4 for x in ids], pa.int64()))
-                columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids]))
-                columns.append(pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids]))
+                columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()))
+                columns.append(pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids], pa.string()))
                 if with_ids:
                     columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+                if with_spans:
+                    columns.append(pa.array([[{"start": a, "end": b} for a, b in own.token_spans(x)] for x in ids], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *new])
         own.parts.clear()
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>"] * with_ids)
-    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_column).cast("string").alias("_text")), run, schema)
+    new = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["spans"] * with_spans]
+    kinds = dict(zip(new, ["long", "string", "string", *["array<int>"] * with_ids, *["array<struct<start:int,end:int>>"] * with_spans], strict=True))
+    names = []
+    for c in keep:
+        while c.lower() in {x.lower() for x in [*new, *names]}:
+            c = f"_{c}"
+        names.append(c)
+    # kept columns pass under plain names, as any name may be one of theirs
+    rows = docs.select(*[quoted(c).alias(f"_{k}") for k, c in enumerate(keep)], quoted(text_column).cast("string").alias("_text"))
+    schema = StructType([*rows.schema.fields[:-1], *rows.sparkSession.createDataFrame([], ", ".join(f"{n} {k}" for n, k in kinds.items())).schema.fields])
+    return map_arrow(rows, run, schema).toDF(*names, *new)

@@ -28,6 +28,11 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fields_of(struct: str, names: list[str]) -> list[Column]:
+    """The fields of a struct column as columns of these names."""
+    return [F.col(struct)[n].alias(n) for n in names]
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once for each application; keep Arrow batches of the session small, in rows and bytes."""
     sc: SparkContext = spark.sparkContext
@@ -89,16 +94,18 @@ def annotate(docs: DataFrame, text_column: str, function: Callable[[pa.Array], l
         while name.lower() in {c.lower() for c in docs.columns}:
             name = f"_{name}"
         names.append(name)
-    schema = StructType(docs.schema.fields + [StructField(n, kind) for n, kind in zip(names, (f.dataType for f in _parsed(docs.sparkSession, fields)), strict=True)])
+    # the rows pass under plain names, as any name may be one of theirs
+    plain = [f"c{k}" for k in range(len(docs.columns) + len(names))]
+    kinds = [f.dataType for f in docs.schema.fields] + [f.dataType for f in _parsed(docs.sparkSession, fields)]
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new = function(batch.column(at).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], plain)
 
-    ship(docs.sparkSession)
-    return docs.mapInArrow(run, schema), names
+    rows = docs.toDF(*plain[: len(docs.columns)])
+    return map_arrow(rows, run, StructType([StructField(n, kind) for n, kind in zip(plain, kinds, strict=True)])).toDF(*docs.columns, *names), names
 
 
 def _parsed(spark: SparkSession, fields: dict[str, str]) -> list[StructField]:
@@ -148,15 +155,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) until the
     links are stars: each step is an aggregation, counted map-side first, and a
-    join back, in which adaptive execution splits a star of very many links.
-    Nothing is collected but one answer a step.
+    join back, in which a star of very many links is salted. Nothing is collected
+    but counts and one answer a step.
     """
     both = lambda e: e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    def with_least(rows: DataFrame, least: Column) -> DataFrame:
+        stars = rows.groupBy("a").agg(least.alias("m"), F.count("*").alias("n"))
+        return attach(rows, stars, ["a"], "n", rows.count(), "b")
+
     current = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not _is_stars(current):
         around = both(current)
-        least = around.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"))
-        large = written(around.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        large = with_least(around, F.least(F.min("b"), F.min("a"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = with_least(written(large), F.min("b"))
         current = written(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

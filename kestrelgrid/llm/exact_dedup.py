@@ -8,8 +8,10 @@ exactly, so a false positive of the filter costs a shuffled row and nothing else
 
 Defined cases: a null text is an empty one, and all empty texts are one group;
 of equal texts the row with most code points stays, then the smallest doc_id
-(nulls last), and of fully repeated rows exactly one; an empty table gives an
-empty result; other columns are carried through ``drop_repeats`` untouched.
+(nulls last), then the least hash of all columns, so reruns agree, and of fully
+repeated rows exactly one; very long texts are read whole; an empty table gives
+an empty result; other columns, whatever their names, are carried through
+``drop_repeats`` untouched.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .cluster import Tags, annotate, attach, map_arrow, written
+from .cluster import Tags, annotate, attach, fields_of, map_arrow, quoted, written
 from .text import WHITE
 
 
@@ -52,7 +54,7 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest_table(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(tag, doc_id, chars, sha, key) of every row, written to the shared folder."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    rows = docs.select(quoted(id_column).cast("long").alias("doc_id"), quoted(text_column).cast("string").alias("text"))
     return written(map_arrow(rows, _digest_rows, "tag long, doc_id long, chars long, sha binary, key long"))
 
 
@@ -104,7 +106,7 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         return [pa.array(shas, pa.binary()), pa.array(maybe)]
 
     tested, (sha, maybe) = annotate(docs, text_column, test, {"sha": "binary", "maybe": "boolean"})
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = tested.where(maybe).select(F.col(sha).alias("sha"), F.struct(*columns).alias("row"), F.coalesce(F.length(F.col(f"`{text_column}`").cast("string")), F.lit(0)).alias("chars"), F.col(f"`{id_column}`").cast("long").alias("doc_id"))
-    best = rows.groupBy("sha").agg(F.min_by("row", _order()).alias("row"))
-    return tested.where(f"not {maybe}").select(*columns).unionAll(best.select("row.*"))
+    columns = [quoted(c) for c in docs.columns]
+    rows = tested.where(maybe).select(F.col(sha).alias("sha"), F.struct(*columns).alias("row"), F.coalesce(F.length(quoted(text_column).cast("string")), F.lit(0)).alias("chars"), quoted(id_column).cast("long").alias("doc_id"))
+    best = rows.groupBy("sha").agg(F.min_by("row", _order(F.xxhash64(F.to_json("row")).alias("h"))).alias("row"))
+    return tested.where(f"not {maybe}").select(*columns).unionAll(best.select(*fields_of("row", docs.columns)))

@@ -10,7 +10,9 @@ weights). A fingerprint is SAMPLES samples of 16 bits, in hexadecimal.
 
 Defined cases: null and empty texts and those without words have the fingerprint
 of SAMPLES zeros, like each other and nothing else; equal texts have equal
-fingerprints; repeated rows are fingerprinted each; an empty table gives no rows.
+fingerprints; very long texts are read whole; of equal values the word of the
+least hash is the sample; repeated rows are fingerprinted each; other columns,
+whatever their names, make no difference; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import map_arrow, written
+from .cluster import map_arrow, quoted, written
 from .text import Words, mix, slices
 
 SAMPLES = 64
@@ -119,7 +121,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(as_hex(sampler.signatures(part.column("text"))))], ["doc_id", "fingerprint"])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    rows = docs.select(quoted(id_column).cast("long").alias("doc_id"), quoted(text_column).cast("string").alias("text"))
     return map_arrow(rows, run, "doc_id long, fingerprint string")
 
 
@@ -133,7 +135,7 @@ def against_edits(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     doc_ids; only one small row for each range is broadcast.
     """
     spark = docs.sparkSession
-    order = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    order = docs.select(quoted(id_column).cast("long").alias("doc_id"), quoted(text_column).cast("string").alias("text")).withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
     size = order.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
     ranges = max(1, min(20_000, int((size[0] or 0) // (8 << 20)) + 1))
     bounds = sorted(set(order.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges))) if ranges > 1 and size[1] else []

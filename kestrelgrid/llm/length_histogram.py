@@ -5,7 +5,9 @@ pre-aggregated by each task. For a context limit L the suffix sums over lengths
 >= L give the documents that reach it and their tokens; all documents cut to L
 tokens have ``tokens below L + L * documents at L or more``.
 
-Defined cases: a null or empty text has length 0; an empty table gives no rows.
+Defined cases: a null or empty text has length 0; very long texts are encoded
+whole; repeated rows count each; lengths that tie are one row; other columns,
+whatever their names, make no difference; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .cluster import map_arrow
+from .cluster import map_arrow, quoted
 
 
 def histogram(docs: DataFrame, ranks_file: str, pattern: str, text_column: str = "text") -> DataFrame:
@@ -37,7 +39,7 @@ def histogram(docs: DataFrame, ranks_file: str, pattern: str, text_column: str =
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(np.fromiter(counts.values(), np.int64))], ["length", "docs"])
 
-    parts = map_arrow(docs.select(F.col(text_column).cast("string").alias("text")), run, "length long, docs long")
+    parts = map_arrow(docs.select(quoted(text_column).cast("string").alias("text")), run, "length long, docs long")
     return parts.groupBy("length").agg(F.sum("docs").alias("docs"))
 
 

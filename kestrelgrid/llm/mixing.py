@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import attach, written
+from .cluster import attach, fields_of, quoted, written
 
 BINS = 1 << 16
 
@@ -64,10 +64,10 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, epochs: fl
 
 def _rows(docs: DataFrame, seed: int, id_column: str, text_column: str, source_column: str, *more) -> DataFrame:
     """The columns that decide about a row; a row's place in the order depends on seed and doc_id (null: on its text)."""
-    text, own = F.col(text_column).cast("string"), F.col(id_column).cast("string")
+    text, own = quoted(text_column).cast("string"), quoted(id_column).cast("string")
     name = F.coalesce(own, F.md5(F.coalesce(text, F.lit(""))))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 15), 16, 10).cast("long")
-    source = F.col(source_column).cast("string")
+    source = quoted(source_column).cast("string")
     rows = docs.select(own.cast("long").alias("doc_id"), source.alias("source"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("skey"), words_in(text).alias("size"), draw.alias("draw"), *more)
     return rows.withColumn("bin", F.expr(f"draw div {(1 << 60) // BINS}L")).withColumn("place", F.struct("draw", F.col("doc_id").isNull().alias("z"), "doc_id", "size"))
 
@@ -111,7 +111,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     """The rows of ``docs``, each as often as the plan takes it. Texts never shuffle while limits are broadcast."""
     names = (id_column, text_column, source_column)
     small = written(_rows(docs, seed, *names))
-    whole = _rows(docs, seed, *names, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    whole = _rows(docs, seed, *names, F.struct(*[quoted(c) for c in docs.columns]).alias("row"))
     out = _times(whole, _limits(small, weights, share, epochs), small.count())
     out = out.withColumn("times", F.col("times") + ((F.col("part") > 0) & (2 * F.col("part") >= F.col("size"))).cast("long")).where("times > 0")
-    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*fields_of("row", docs.columns))

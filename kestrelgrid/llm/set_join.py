@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .cluster import Tags, annotate, attach, components, map_arrow, quoted, written
+from .cluster import Tags, annotate, attach, components, fields_of, map_arrow, quoted, written
 from .text import Words, distinct, list_column, set_hash, slices
 
 #: Shingles in one part of a block; a task holds one part, about 60 bytes a shingle.
@@ -572,4 +572,4 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str
     best = rows.groupBy("_sig", "_id").agg(F.min_by("row", "order").alias("row"))
     gone = gone.where("not stays").select(F.col("doc_id").alias("_gone_id"), F.col("sig").alias("_gone_sig"))
     unsure = best.join(gone, (F.col("_sig") == F.col("_gone_sig")) & F.col("_id").eqNullSafe(F.col("_gone_id")), "left_anti")
-    return tested.where(f"not {maybe}").select(*columns).unionAll(unsure.select("row.*"))
+    return tested.where(f"not {maybe}").select(*columns).unionAll(unsure.select(*fields_of("row", docs.columns)))

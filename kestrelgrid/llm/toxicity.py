@@ -11,12 +11,17 @@ Features are distinct words (letters and digits, A-Z lower-cased, hashed to
 ASSOCIATED on the training rows of the fold), and a few shares of the whole text
 (digits, upper case, other signs, spaces, repeated words, length).
 
-Training uses a bounded sample of labelled rows, the MOST_ROWS of least hash of
-doc_id; every document is then classified over its whole text.
-
-Defined cases: a null text is an empty one; a null label leaves its row out; with
-no labelled row or one class only the probability is that class' share (0 without
-rows); repeated rows are classified each; an empty table gives no rows.
+Training uses a bounded sample of labelled rows, the most_rows of least hash of
+doc_id, and the MOST_WORDS words most associated with a category; every document
+is then classified over its whole text.
+
+Defined cases: a null text is an empty one; very long texts are read whole, in
+training too; a null label leaves its row out; of several label rows of one
+doc_id the least in order counts, and of several texts that of the least hash;
+with no labelled row or one class only the probability is that class' share (0
+without rows); words of equal association are taken in order of their bucket;
+repeated rows are classified each; other columns, whatever their names, make no
+difference; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import map_arrow
+from .cluster import map_arrow, quoted
 from .text import ALNUM, Words, list_column, slices
 
 BITS = 20
@@ -181,10 +186,11 @@ class Chain:
 
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_column: str = "doc_id", text_column: str = "text", most_rows: int = MOST_ROWS) -> Chain:
     """A chain learnt from ``labels`` (id, a 0/1 column for each category) and the texts they name."""
-    wanted = labels.select(F.col(id_column).cast("long").alias("id"), *[F.col(c).cast("int").alias(f"y{k}") for k, c in enumerate(categories)]).na.drop()
-    # at most most_rows rows, so they may be broadcast
-    wanted = wanted.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(most_rows)
     names = [f"y{k}" for k in range(len(categories))]
+    wanted = labels.select(quoted(id_column).cast("long").alias("id"), *[quoted(c).cast("int").alias(n) for n, c in zip(names, categories, strict=True)]).na.drop()
+    wanted = wanted.groupBy("id").agg(F.min(F.struct(*names)).alias("y")).select("id", "y.*")
+    # at most most_rows rows, so they may be broadcast
+    wanted = wanted.orderBy(F.xxhash64("id"), "id").limit(most_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,12 +199,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_colu
                 ids = buckets(words)
                 pair = np.unique(words.row * (1 << BITS) + ids)
                 dense = shares(words, ids)
-                yield pa.RecordBatch.from_arrays([part.column("id"), *[part.column(c) for c in names], list_column((pair & ((1 << BITS) - 1)).astype(np.int32), np.bincount(pair >> BITS, minlength=words.rows)), list_column(dense.ravel(), np.full(words.rows, dense.shape[1]))], ["id", *names, "ids", "dense"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), *[part.column(c) for c in names], list_column((pair & ((1 << BITS) - 1)).astype(np.int32), np.bincount(pair >> BITS, minlength=words.rows)), list_column(dense.ravel(), np.full(words.rows, dense.shape[1]))], ["id", "h", *names, "ids", "dense"])
 
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).join(F.broadcast(wanted), "id")
+    texts = docs.select(quoted(id_column).cast("long").alias("id"), quoted(text_column).cast("string").alias("text")).join(F.broadcast(wanted), "id")
     kinds = ", ".join(f"{c} int" for c in names)
-    got = map_arrow(texts.select("id", "text", *names), run, f"id long, {kinds}, ids array<int>, dense array<double>").toArrow().to_pandas()
-    got = got.sort_values(["id", *names], kind="stable").drop_duplicates("id")
+    got = map_arrow(texts.select("id", F.xxhash64("text").alias("h"), "text", *names), run, f"id long, h long, {kinds}, ids array<int>, dense array<double>").toArrow().to_pandas()
+    got = got.sort_values(["id", "h"], kind="stable").drop_duplicates("id")
     lists = [np.asarray(x, np.int64) for x in got["ids"]]
     dense = np.stack(got["dense"].to_list()) if len(got) else np.zeros((0, 6))
     return Chain(categories, Rows(lists, dense), got[names].to_numpy())
@@ -217,5 +223,5 @@ def classify(docs: DataFrame, chain: Chain, id_column: str = "doc_id", text_colu
                 p = sent.value.probabilities(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(x) for x in p.T], pa.array(p[:, -1] >= threshold)], [id_column, *names, last])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    rows = docs.select(quoted(id_column).cast("long").alias("id"), quoted(text_column).cast("string").alias("text"))
     return map_arrow(rows, run, ", ".join([f"`{id_column}` long", *[f"{c} double" for c in names], f"{last} boolean"]))

@@ -21,7 +21,8 @@ from ..conftest import SF
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sha string, row string, size int, sig long, tag long"
+#: Names that clash with the operators' own columns, some in another case, and one that needs quotes.
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, SHA string, row string, Size int, SIG long, tag long, Score double, N_Tokens int, `a.b` int"
 LONG = "alpha beta gamma delta " * 3000
 BASE = " ".join(f"w{i}" for i in range(60))
 TEXTS = [
@@ -33,7 +34,7 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, "en" if i is None or i % 2 else "fr", None if k % 5 == 0 else f"s{k % 3}", len(t or ""), "clash", "clash", 1, 2, 3) for k, (i, t) in enumerate(TEXTS)]
+    rows = [(i, t, "en" if i is None or i % 2 else "fr", None if k % 5 == 0 else f"s{k % 3}", len(t or ""), "clash", "clash", 1, 2, 3, 0.5, 9, 4) for k, (i, t) in enumerate(TEXTS)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
@@ -144,6 +145,9 @@ def test_keep_one(docs):
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert 11 in ids and not {12, 13} & set(ids) and ids.count(3) == 1
+    # one row of a class: the first of equal texts, and one of repeated rows
+    assert ids.count(1) == 1 and 7 not in ids and kept.count() == len({r["component_id"] for r in set_join.groups(docs, 5, 80).where("sig is not null").collect()}) + set_join.groups(docs, 5, 80).where("sig is null").count()
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, set_join.keep_one(docs.repartition(5), 5, 80).collect()))
 
 
 def random_sets(rng, n, size, pool):
@@ -259,7 +263,8 @@ def test_suffix_tree_states():
             total = sum(mine.values()) + 257
             return {x: (mine.get(x, 0) + 1) / total for x in range(256)}
         base, total = distribution(code & ((1 << 8 * (d - 1)) - 1), d - 1), sum(mine.values())
-        return {x: (mine.get(x, 0) + len(mine) * base[x]) / (total + len(mine)) for x in range(256)}
+        above = suffix_tree.WEIGHT * len(mine)
+        return {x: (mine.get(x, 0) + above * base[x]) / (total + above) for x in range(256)}
 
     for text in ["the cat sat", "the zebra", "q", ""]:
         s = bytes([255]) * depth + b"".join(x.encode() + b" " for x in words(text)) + bytes([255])
@@ -283,6 +288,12 @@ def test_suffix_tree_parts(spark, part):
         assert got[i] == pytest.approx(tree.score(*suffix_tree.symbols(Words(pa.array([t], pa.string())), depth))[0], abs=1e-4)
 
 
+def test_suffix_tree_beats_its_base(spark):
+    """On held-out text the tree is better than counts of words, which give every unknown word the same."""
+    rows = QUERIES["op1_suffix_tree"](spark, SF.replace("0.001", "0.01")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert rows[0] > rows[1]
+
+
 def test_suffix_tree_keeps_rare_contexts_of_large_corpora(spark):
     """What occurs five times is learnt, however much other text there is."""
     common, rare = "lorem ipsum dolor sit amet " * 4000, "quick zephyrs vex bold jackdaw flocks"
@@ -331,6 +342,70 @@ def test_pii_terms(spark):
     assert all(out[k]["spans"] == "" and out[k]["sanitised"] is None for k in range(4, 40))
 
 
+@pytest.mark.parametrize("most,reach", [(200_000, 64), (0, 12)])
+def test_pii_disclosure_by_brute_force(spark, monkeypatch, most, reach):
+    """Shares of all pairs counted in plain Python: what is found, generalised and removed is what reaches the thresholds."""
+    monkeypatch.setattr(pii, "MOST_BROADCAST", most)
+    rng = np.random.default_rng(8)
+    vocabulary_ = [f"{a}{b}" for a in ("lor", "mip", "sed", "tur", "wex") for b in ("am", "Ek", "io", "ul", "yné")]
+    people = [("anna@x.org", "annaka"), ("bob@y.net", "bobbel"), ("10.0.0.1", "serverix"), ("+49 30 1234567", "dialer")]
+    rows = []
+    for k in range(60):
+        words_ = [str(w) for w in rng.choice(vocabulary_, 30)]
+        for (entity, name), often in zip(people, (2, 5, 9, 40), strict=True):
+            if k % often == 0:
+                at = int(rng.integers(0, 20))
+                words_[at:at] = [name, entity]
+                words_.insert(len(words_), name)
+        rows.append((k, " ".join(words_)))
+    rows += [(60, "only@here.org secretword and sed more text"), (61, None), (62, "a@b.co " * 600 + "tail")]
+    n, word = len(rows), re.compile(r"(?<![^\W\d_])[^\W\d_]{3,}")
+    entity_of = lambda kind, v: f"{kind}:" + (re.sub("[^0-9]", "", v) if kind in ("card", "phone") else v.lower())
+    df_c, df_t, co, held = collections.Counter(), collections.Counter(), collections.defaultdict(float), {}
+    for k, t in rows:
+        t = t or ""
+        own = collections.defaultdict(set)
+        every = {w.group().lower() for w in word.finditer(t)}
+        for s in plain_spans(t):
+            kind, a, z = s.split(":")
+            a, z = int(a), int(z)
+            near = {w.group().lower() for w in word.finditer(t) if (a - reach <= w.start() and w.end() <= a) or (z <= w.start() and w.end() <= z + reach)}
+            own[entity_of(kind, t[a:z])] |= near
+        held[k] = own
+        df_c.update(own.keys())
+        df_t.update(every)
+        for e, near in own.items():
+            for w in every | near:
+                co[e, w] += 1 if w in near else pii.FAR
+
+    def share(e, w):
+        m = min(df_c[e], df_t[w])
+        pmi = math.log2(n * co[e, w] / (df_c[e] * df_t[w]))
+        return co[e, w] / (co[e, w] + 1) * m / (m + 1) * pmi / math.log2(n / df_c[e])
+
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), reach=reach).collect()}
+    found = 0
+    for k, t in rows:
+        t = t or ""
+        shares = {}
+        for e in held[k]:
+            for w in {x.group().lower() for x in word.finditer(t)}:
+                if co.get((e, w)) and share(e, w) >= pii.GENERALISE:
+                    shares[w] = max(shares.get(w, 0), share(e, w))
+        base_ = [tuple(map(int, s.split(":")[1:])) for s in plain_spans(t)]
+        terms = [(m.start(), m.end(), m.group().lower()) for m in word.finditer(t) if m.group().lower() in shares and not any(a < m.end() and m.start() < z for a, z in base_)]
+        found += len(terms)
+        assert got[k]["spans"] == ",".join([*plain_spans(t), *[f"term:{a}:{z}" for a, z, _ in terms]])
+        if plain_spans(t):
+            out, at = "", 0
+            for a, z, put in sorted([(*map(int, s.split(":")[1:]), f"<{s.split(':')[0]}>") for s in plain_spans(t)] + [(a, z, "" if shares[w] >= pii.REMOVE else "<term>") for a, z, w in terms]):
+                out, at = out + t[at:a] + put, z
+            assert got[k]["sanitised"] == out + t[at:]
+        else:
+            assert got[k]["sanitised"] is None
+    assert found > 10 and any("term" in r["spans"] and "secretword" in (rows[k][1] or "") for k, r in got.items() if k == 60)
+
+
 def test_language_gradients():
     """Backpropagation through time against finite differences."""
     net = langid.Network(["a", "b"], 3, 1)
@@ -352,6 +427,37 @@ def test_language_gradients():
             assert grads[name].reshape(-1)[i] == pytest.approx((up - down) / (2 * e), abs=2e-3)
 
 
+def test_language_pooling_by_brute_force():
+    """Probabilities of whole texts, one byte and one unit at a time."""
+    texts = ["Ça va bien, merci", "x" * 250, "the cat sat on the mat and " * 9, "", None, "1 2 3"]
+    net = langid.Network(["a", "b", "c"], 3, 4)
+    names, scores = langid.predict(net, pa.array(texts, pa.string()))
+    p, hid = {k: v.astype(float) for k, v in net.p.items()}, 3
+
+    def states(k, data):
+        h, out = [0.0] * hid, []
+        for byte in data:
+            x, u = p[f"x{k}"][:, byte], p[f"u{k}"]
+            gate = lambda row: min(1.0, max(0.0, x[row] + sum(u[row][j] * h[j] for j in range(hid)) + 0.5))  # noqa: B023, E731
+            update, reset = [gate(j) for j in range(hid)], [gate(hid + j) for j in range(hid)]
+            cand = [x[2 * hid + i] + reset[i] * sum(u[2 * hid + i][j] * h[j] for j in range(hid)) for i in range(hid)]
+            h = [h[i] + update[i] * (c / (1 + abs(c)) - h[i]) for i, c in enumerate(cand)]
+            out.append(h)
+        return out
+
+    for text, name, score in zip(texts, names, scores, strict=True):
+        if not text or not re.search("[^\\W\\d_]", text):
+            assert (name, score) == ("und", 0)
+            continue
+        raw, total = text.encode(), np.zeros(3)
+        for at in range(0, len(raw), langid.WINDOW):
+            window = raw[at : at + langid.WINDOW]
+            for f, b in zip(states("f", window), states("b", window[::-1])[::-1], strict=True):
+                logit = p["v"] @ np.array(f + b) + p["c"]
+                total += np.exp(logit) / np.exp(logit).sum()
+        assert (name, pytest.approx(score, abs=1e-4)) == (net.labels[int(total.argmax())], total.max() / len(raw))
+
+
 def test_language_id_held_out(spark):
     rows = QUERIES["op5_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r["held_out"]]
@@ -387,6 +493,86 @@ def test_toxicity_cases(spark, docs):
     assert {r["p_toxic"] for r in toxicity.classify(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_chain_by_brute_force(spark):
+    """Each model's probability from its weights, word by word, with the earlier categories' probabilities fed in; the later model learnt from out-of-fold ones."""
+    rng = np.random.default_rng(11)
+    rows, labels = [], []
+    for k in range(160):
+        rude, poor = k % 4 == 0, k % 3 == 0
+        extra = ["vile"] * rude + ["zzz", "Zzz"] * poor
+        rows.append((k, " ".join([f"w{x}" for x in rng.integers(0, 50, 20)] + extra)))
+        labels.append((k, int(poor), int(rude)))
+    docs = spark.createDataFrame([*rows, (1000, None), (1001, "VILE, vile zzz!")], "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame([*labels, (3, 1, 1), (5, None, 1)], "doc_id long, low int, toxic int")
+    chain = toxicity.train(docs, marks, ("low", "toxic"))
+    bucket = lambda w: int(toxicity.buckets(Words(pa.array([w]), toxicity.ALNUM))[0])
+    got = {r["doc_id"]: r for r in toxicity.classify(docs, chain).collect()}
+    for i, t in [*rows[:20], (1000, None), (1001, "VILE, vile zzz!")]:
+        col = pa.array([t], pa.string())
+        own = {bucket(w) for w in re.findall("[a-z0-9]+", (t or "").lower())}
+        dense = list(toxicity.shares(Words(col, toxicity.ALNUM), toxicity.buckets(Words(col, toxicity.ALNUM)))[0])
+        for name, model in zip(("p_low", "p_toxic"), chain.models, strict=True):
+            z = model.bias + sum(w for b, w in zip(model.words.tolist(), model.weights, strict=True) if b in own)
+            z += sum((x - m) / s * w for x, m, s, w in zip(dense, model.mean, model.scale, model.dense_weights, strict=True))
+            dense.append(1 / (1 + math.exp(-z)))
+            assert got[i][name] == pytest.approx(dense[-1], abs=1e-5)
+    # the second model once more, from probabilities that models without the row's fold gave
+    truth = {k: (p, r) for k, p, r in labels}
+    ids = sorted(truth)
+    cols = pa.array([dict(rows)[k] for k in ids])
+    w = Words(cols, toxicity.ALNUM)
+    lists = [np.unique(toxicity.buckets(w)[a:z]) for a, z in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
+    table = toxicity.Rows(lists, toxicity.shares(w, toxicity.buckets(w)))
+    y = np.array([truth[k] for k in ids], float)
+    out, none = np.zeros(len(ids)), np.zeros((len(ids), 0))
+    for k in range(len(ids)):
+        others = np.flatnonzero(np.arange(len(ids)) % toxicity.FOLDS != k % toxicity.FOLDS)
+        if k < toxicity.FOLDS:
+            model = toxicity.Linear(table, none, y[:, 0], others)
+            out[k :: toxicity.FOLDS] = model.of_rows(table, none)[k :: toxicity.FOLDS]
+    again = toxicity.Linear(table, out[:, None], y[:, 1], np.arange(len(ids)))
+    assert np.allclose(again.dense_weights, chain.models[1].dense_weights) and np.allclose(again.weights, chain.models[1].weights)
+
+
+def test_toxicity_with_ties(spark):
+    """Labels and texts of one doc_id that disagree give the same model however rows lie."""
+    rows = [(k % 40, f"word{k} " + "bad " * (k % 3)) for k in range(80)]
+    marks = [(k, k % 2) for k in range(40)] + [(k, 1 - k % 2) for k in range(0, 40, 5)]
+    models = []
+    for parts in (1, 4):
+        docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), spark.createDataFrame(marks[:: 1 if parts == 1 else -1], "doc_id long, toxic int").repartition(parts)
+        models.append(toxicity.train(docs, labels, ("toxic",)).models[0])
+    assert np.array_equal(models[0].words, models[1].words) and np.array_equal(models[0].dense_weights, models[1].dense_weights)
+
+
+def test_signatures_by_brute_force():
+    """Each sample drawn word by word from the definition."""
+    text = "the cat the dog THE bird cat é fish " * 3 + "once"
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    counts = collections.Counter(words(text))
+    hashes = {w: int(Words(pa.array([w])).hashes()[0]) for w in counts}
+    got = fingerprint.Sampler(32).signatures(pa.array([text]))[0]
+    f = np.float32
+    for k in range(32):
+        best = None
+        for w, n in counts.items():
+            u = [f((mix(hashes[w] ^ mix((k + 1) * 0x9E3779B97F4A7C15 + salt & mask)) >> 40) + f(0.5)) * f(2.0**-24) for salt in range(1, 6)]
+            r, lnc, b = -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3])), u[4]
+            t = np.floor(f(np.log(n)) / r + b)
+            value = lnc - r * (t - b + f(1))
+            if best is None or value < best[0]:
+                best = (value, hashes[w], int(t))
+        assert got[k] == max(1, mix(best[1] ^ mix(best[2] + 0x1234567 & mask)) >> 48)
+
+
 def test_fingerprints(spark):
     rows = [(i, t) for i, t in TEXTS if i is not None and i != 7]
     got = {r["doc_id"]: r for r in fingerprint.against_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
@@ -514,6 +700,42 @@ def test_length_histogram(spark, docs):
     assert {r["share"]: r["length"] for r in length_histogram.quantile(counts, [0.5, 1.0]).collect()} == {0.5: ordered[math.ceil(len(ordered) / 2) - 1], 1.0: ordered[-1]}
 
 
+def test_bpe_columns_and_spans(docs):
+    """Kept columns whose names clash stay under another one; spans cover the characters of each token."""
+    out = bpe.encode(docs, *vocabulary(), keep=("doc_id", "N_Tokens", "a.b"), with_spans=True)
+    assert out.columns == ["doc_id", "_N_Tokens", "a.b", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "spans"]
+    texts = collections.defaultdict(list)
+    for i, t in TEXTS:
+        texts[i].append(t or "")
+    for r in out.collect():
+        assert (r["_N_Tokens"], r["a.b"], len(r["spans"])) == (9, 4, r["n_tokens"])
+        ends = [s["end"] for s in r["spans"]]
+        assert ends == sorted(ends) and (not ends or ends[-1] in {len(t) for t in texts[r["doc_id"]]})
+
+
+def test_held_out_is_never_null(spark, tmp_path):
+    rows = [(None, "no id here", "en"), (1, "the cat sat on the mat", "en"), (2, "le chat est la", "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("op1_suffix_tree", "op5_language_id"):
+        got = {r["doc_id"]: r["held_out"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got[None] is False and set(got) == {None, 1, 2} and None not in got.values()
+
+
+def test_shared_folder_must_be_shared(spark, monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+    class Session:
+        sparkContext = Context
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default=None: None)})
+
+    with pytest.raises(ValueError):
+        cluster.shared_folder(Session)
+    Context.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError):
+        cluster.shared_folder(Session)
+
+
 def test_empty_tables(empty):
     assert exact_dedup.find_repeats(empty).count() == 0 and exact_dedup.drop_repeats(empty).count() == 0
     assert set_join.groups(empty).count() == 0 and set_join.keep_one(empty).count() == 0
@@ -523,6 +745,8 @@ def test_empty_tables(empty):
     assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0
     assert bpe.encode(empty, *vocabulary()).count() == 0
     assert length_histogram.by_limit(length_histogram.histogram(empty, *vocabulary())).count() == 0
+    labels = empty.selectExpr("doc_id", "Size as toxic")
+    assert toxicity.classify(empty, toxicity.train(empty, labels, ("toxic",))).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
