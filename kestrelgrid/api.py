@@ -10,7 +10,7 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import dates as D
@@ -68,27 +68,30 @@ class CodeIndex:
         if not hits:
             return self._graded(docs.where("false").withColumn("score", F.lit(0.0))).limit(0)
         every = lambda parts: reduce(DataFrame.unionByName, parts)
+        found = every(hits).withColumn("_wide", F.lit(False))
         pattern = P.resolve_glob(glob, path, file_type)
 
-        def kept(rows: DataFrame, scope: str, recent: bool) -> DataFrame:
+        def wanted(scope: str, recent: bool) -> Column:
+            is_module, ok = F.col("type") == "module", F.lit(True)
             if recent:
-                rows = rows.where(D.recent(F.col("last_modified_at"), now or datetime.now()))
+                ok = ok & D.recent(F.col("last_modified_at"), now or datetime.now())
             if scope == "public":
-                rows = rows.where((F.col("type") == "module") | F.col("ftype").isin("def", "public"))
+                ok = ok & (is_module | F.coalesce(F.col("ftype").isin("def", "public"), F.lit(False)))
             elif scope == "private":
-                rows = rows.where(F.col("ftype").isin("defp", "private"))
+                ok = ok & F.coalesce(F.col("ftype").isin("defp", "private"), F.lit(False))
             if pattern:
-                rows = rows.where(P.glob(F.col("file"), pattern))
+                ok = ok & P.glob(F.col("file"), pattern)
             if arity is not None:
-                rows = rows.where((F.col("type") == "module") | (F.col("arity") == arity))
-            return rows if kinds == "all" else rows.where(F.col("type") == kinds.rstrip("s"))
+                ok = ok & (is_module | (F.col("arity") == arity))
+            return ok if kinds == "all" else ok & (F.col("type") == kinds.rstrip("s"))
 
-        found = every(hits)
         # each relaxation is for itself, as asked but for one option
-        stages = [("as asked", kept(found, scope, recent))]
-        stages += [("all sources", kept(every(hits_in("all")), scope, recent))] * (source != "all" and bool(said["keywords"]))
-        stages += [("all scopes", kept(found, "all", recent))] * (scope != "all") + [("older code", kept(found, scope, False))] * recent
-        rows = search.staged(stages) if len(stages) > 1 else stages[0][1].withColumn("note", F.lit("as asked"))
+        tests = [("as asked", ~F.col("_wide") & wanted(scope, recent))]
+        if source != "all" and said["keywords"]:
+            found = found.unionByName(every(hits_in("all")).withColumn("_wide", F.lit(True)))
+            tests.append(("all sources", F.col("_wide") & wanted(scope, recent)))
+        tests += [("all scopes", ~F.col("_wide") & wanted("all", recent))] * (scope != "all") + [("older code", ~F.col("_wide") & wanted(scope, False))] * recent
+        rows = search.first_of(found, tests, few=True).drop("_wide")
         best = search.best_per_name(rows.drop("stage"), "entity", "score", "name")
         return self._graded(best).orderBy(F.col("score").desc(), "name", "entity").offset(offset).limit(limit)
 
@@ -124,7 +127,7 @@ class CodeIndex:
         return docs.where(hit).withColumn("score", F.lit(1.0)).orderBy("name", "entity").limit(INTERNAL_LIMIT)
 
     def _graded(self, rows: DataFrame) -> DataFrame:
-        out = S.distribution(rows, ranges=1)  # INTERNAL_LIMIT rows a source at most
+        out = S.distribution(rows, few=True)  # INTERNAL_LIMIT rows a source at most
         return out.withColumn("tier", S.tier(F.col("z"))).drop("mean", "sd")
 
     def call_sites(self) -> DataFrame:
@@ -137,8 +140,8 @@ class CodeIndex:
             docs = docs.where(P.glob(F.col("file"), glob))
         if changed_since:
             docs = docs.where(D.since(F.col("last_modified_at"), changed_since, now or datetime.now()))
-        match = lambda p: docs.where(P.function_match(p, F.col("module"), F.col("file"), F.col("name"), F.col("arity")))
-        found = search.staged([(note, match(p)) for note, p in planner.relaxed(pattern)])
+        match = lambda p: P.function_match(p, F.col("module"), F.col("file"), F.col("name"), F.col("arity"))
+        found = search.first_of(docs, [(note, match(p)) for note, p in planner.relaxed(pattern)])
         # of clauses and repeated definitions the first line
         found = graph.consolidate(found, ["module", "name"], "arity", ["line", "file"])
         sites = self.call_sites()
@@ -153,8 +156,8 @@ class CodeIndex:
     def search_module(self, name: str, offset: int = 0, limit: int = MODULE_LIMIT) -> DataFrame:
         """Modules by name or file, with counts of their functions; ``*.Last`` if the full name finds none."""
         m = self.modules
-        match = lambda p: m.where(P.any_of(F.col("module"), p, P.qualified) | P.any_of(F.col("file"), p))
-        found = search.staged([("as asked", match(name)), ("last segment", match("*." + name.rsplit(".", 1)[-1]))])
+        match = lambda p: P.any_of(F.col("module"), p, P.qualified) | P.any_of(F.col("file"), p)
+        found = search.first_of(m, [("as asked", match(name)), ("last segment", match("*." + name.rsplit(".", 1)[-1]))])
         counts = self.functions.groupBy("module").agg(F.count("*").alias("functions"), F.count_if(F.col("ftype").isin("def", "public")).alias("public"))
         return found.join(counts, "module", "left").orderBy("module").offset(offset).limit(limit)
 

@@ -34,18 +34,23 @@ def coverage(matched: Column, wanted: int) -> Column:
     return F.lit(COVERAGE_BASE) + F.lit(COVERAGE_SLOPE) * matched / F.lit(float(wanted))
 
 
-def distribution(scored: DataFrame, score: str = "score", ranges: int = ranks.RANGES) -> DataFrame:
+def distribution(scored: DataFrame, score: str = "score", few: bool = False) -> DataFrame:
     """Adds mean, sd (sample), z, normalized and percentile (strict) over the whole frame.
 
     Statistics are one aggregated row joined to all; the percentile counts the
-    rows below each distinct score, range by range (1: for frames that a limit
-    bounds).
+    rows below each distinct score, range by range. ``few``: a limit bounds the
+    frame, so windows over all of it need it made once only.
     """
     s = F.col(score)
-    stats = scored.agg(F.avg(s).alias("mean"), F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("sd"), F.min(s).alias("low"), F.max(s).alias("high"), F.count("*").alias("n"))
-    levels = scored.groupBy(score).agg(F.count("*").alias("here"))
-    below = ranks.before(levels, s, [s], F.col("here"), "less", ranges).drop("here")
-    out = scored.join(below, score).crossJoin(F.broadcast(stats))
+    measures = {"mean": F.avg(s), "sd": F.stddev_samp(s), "low": F.min(s), "high": F.max(s), "n": F.count("*")}
+    if few:
+        every = Window.partitionBy()
+        out = scored.withColumns({k: m.over(every) for k, m in measures.items()} | {"less": F.rank().over(Window.orderBy(s)) - 1})
+    else:
+        stats = scored.agg(*[m.alias(k) for k, m in measures.items()])
+        levels = scored.groupBy(score).agg(F.count("*").alias("here"))
+        out = scored.join(ranks.before(levels, s, [s], F.col("here"), "less").drop("here"), score).crossJoin(F.broadcast(stats))
+    out = out.withColumn("sd", F.coalesce("sd", F.lit(0.0)))
     flat = F.col("high") == F.col("low")
     z = F.when(F.col("sd") == 0, 0.0).otherwise((s - F.col("mean")) / F.nullif(F.col("sd"), F.lit(0.0)))
     norm = F.when(F.col("n") == 1, 1.0).when(flat, 0.5).otherwise((s - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)))

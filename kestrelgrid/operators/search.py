@@ -104,6 +104,23 @@ def hybrid(keyword: DataFrame, semantic: DataFrame, key: Sequence[str]) -> DataF
     return out.withColumn("confidence", F.when(found == "both", both).otherwise(F.coalesce("kw_pct", "sem_pct"))).withColumn("found_by", found)
 
 
+def first_of(rows: DataFrame, tests: Sequence[tuple[str, Column]], few: bool = False) -> DataFrame:
+    """Fallbacks that are filters of the same rows: of the tests (note, predicate) the first that any row passes decides.
+
+    Rows are made once with the numbers of the tests that they pass. ``few``: a
+    limit bounds them, so one window finds the first test; else an aggregate does.
+    """
+    passed = F.array_compact(F.array(*[F.when(test, F.lit(k)) for k, (_, test) in enumerate(tests)]))
+    tagged = rows.withColumn("_passed", passed).where(F.size("_passed") > 0)
+    least = F.min(F.array_min("_passed"))
+    if few:
+        tagged = tagged.withColumn("stage", least.over(Window.partitionBy()))
+    else:
+        tagged = tagged.join(F.broadcast(tagged.agg(least.alias("stage"))))
+    note = F.array(*[F.lit(n) for n, _ in tests])[F.col("stage")]
+    return tagged.where(F.array_contains("_passed", F.col("stage"))).drop("_passed").withColumn("note", note)
+
+
 def staged(candidates: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """Fallbacks in one job: all stages in one relation, and only the first that has rows stays."""
     rows = None
