@@ -11,7 +11,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark import SparkContext, TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -150,23 +150,25 @@ def _is_stars(edges: DataFrame) -> bool:
     return times.where("below > 1 or (below = 1 and all > 1)").isEmpty()
 
 
+#: Parts into which the larger neighbours of a node are dealt.
+STAR_PARTS = 16
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges(a, b), longs; root is the smallest node reachable.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) until the
-    links are stars: each step is an aggregation, counted map-side first, and a
-    join back, in which a star of very many links is salted. Nothing is collected
-    but counts and one answer a step.
+    links are stars. In the large-star step a node's larger neighbours are dealt
+    to STAR_PARTS parts, each of which also gets its smaller ones, so the many
+    links of one node are no single group; a node has few smaller neighbours, as
+    first holders are the smallest. Nothing is collected but one answer a step.
     """
-    both = lambda e: e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    def with_least(rows: DataFrame, least: Column) -> DataFrame:
-        stars = rows.groupBy("a").agg(least.alias("m"), F.count("*").alias("n"))
-        return attach(rows, stars, ["a"], "n", rows.count(), "b")
-
     current = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not _is_stars(current):
-        around = both(current)
-        large = with_least(around, F.least(F.min("b"), F.min("a"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = with_least(written(large), F.min("b"))
-        current = written(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        up = current.select(F.col("b").alias("a"), F.col("a").alias("b"), F.pmod(F.xxhash64("a"), F.lit(STAR_PARTS)).cast("int").alias("part"))
+        down = current.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(STAR_PARTS - 1))).alias("part"))
+        least = F.least(F.min("b").over(Window.partitionBy("a", "part")), F.col("a"))
+        large = up.unionAll(down).withColumn("m", least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.withColumn("m", F.min("b").over(Window.partitionBy("a"))).withColumn("n", F.explode(F.array("a", "b")))
+        current = written(small.where("n <> m").select(F.col("n").alias("a"), F.col("m").alias("b")).distinct())
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

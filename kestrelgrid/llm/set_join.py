@@ -61,7 +61,10 @@ MOST_ITEMS = 500_000
 #: Shingles that a task counts at a time.
 LOT = 1_000_000
 SPARE = 16
-MU = 0.0085
+#: Weight of the merge in choosing how many lists count as long; probes here are vectorised and heap steps are not, so it is low.
+MU = 0.002
+#: Members that a heap merge should pass at most; the shortest lists that must be merged are merged whatever they hold.
+MERGE = 2_000
 PIVOTS = 8
 #: Places of sets (24 bytes each) that are broadcast, at most.
 MOST_PLACES = 1_000_000
@@ -160,23 +163,29 @@ class Index:
         self.lengths = np.diff(np.append(self.starts, len(values)))
         self.keys = values[self.starts]
 
-    def search(self, query: np.ndarray, percent: int, classes: np.ndarray, own) -> np.ndarray:
-        """Sets that link with the sorted set ``query``, but for those of class ``own``."""
+    def search(self, query: np.ndarray, percent: int, classes: np.ndarray, own, inside: bool = False) -> np.ndarray:
+        """Sets that link with the set ``query``, but for those of class ``own``; ``inside``: it is itself one of the sets."""
         size = len(query)
         least = int(needed(size, percent))
         place = np.searchsorted(self.keys, query)
         place[place == len(self.keys)] = 0
         lists = place[self.keys[place] == query] if len(self.keys) else place[:0]
+        lists = lists[self.lengths[lists] > inside]  # a list of one holds the query only
         if len(lists) < least:
             return np.zeros(0, np.int64)
         lists = lists[np.argsort(self.lengths[lists], kind="stable")]
         longest = int(self.lengths[lists[-1]])
         long = min(least - 1, int(least / (MU * np.log2(max(2, longest)) + 1)))
-        short = len(lists) - long
+        # more lists count as long while the short ones have more than MERGE members
+        fits = int(np.searchsorted(np.cumsum(self.lengths[lists]), MERGE, side="right"))
+        short = max(len(lists) - (least - 1), min(len(lists) - long, fits))
+        long = len(lists) - short
         starts, lengths = self.starts[lists], self.lengths[lists]
         members = self.owners[_ranges(starts[:short], lengths[:short])]
         run = np.repeat(np.arange(short), lengths[:short])
-        other = np.flatnonzero(classes[members] != own)
+        # linked sets differ little in size
+        low, high = least, 100 * size // percent
+        other = np.flatnonzero((classes[members] != own) & (self.sizes[members] >= low) & (self.sizes[members] <= high))
         if len(other) < least - long:
             return np.zeros(0, np.int64)
         members, run = members[other], run[other]
@@ -203,7 +212,7 @@ def classes(values: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
     own, index = Classes(n), Index(values, bounds)
 
     def query(q: int) -> None:
-        found = index.search(values[bounds[q] : bounds[q + 1]], percent, own.of, own.of[q])
+        found = index.search(values[bounds[q] : bounds[q + 1]], percent, own.of, own.of[q], inside=True)
         if len(found):
             own.join(q, found)
 

@@ -171,6 +171,7 @@ def test_t_occurrence_search_is_exact(monkeypatch, mu):
             of[q] = 1
             want = {k for k, s in enumerate(sets) if k != q and 100 * len(np.intersect1d(s, sets[q])) >= percent * len(np.union1d(s, sets[q]))}
             assert set(index.search(sets[q], percent, of, 1).tolist()) == want
+            assert set(index.search(sets[q], percent, of, 1, inside=True).tolist()) == want
 
 
 def test_heap_merge_skips():
