@@ -150,8 +150,9 @@ class Network:
         """windows (count, WINDOW) bytes; returns the last epoch's loss."""
         rng = np.random.default_rng(seed)
         lot = min(BATCH, max(32, len(windows) // 8))
-        epochs = -(-LEAST_STEPS * lot // len(windows))
-        last = 0.75 * epochs * -(-len(windows) // lot)  # the steps after it are smaller
+        each = -(-len(windows) // lot)
+        epochs = -(-LEAST_STEPS // each)
+        last = 0.75 * epochs * each  # the steps after it are smaller
         first, second, step, loss = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0, 0.0
         for _ in range(epochs):
             order, losses = rng.permutation(len(windows)), []
