@@ -213,3 +213,40 @@ def test_staged_fallback(spark):
     df = lambda *v: spark.createDataFrame([(x,) for x in v], "fid int")
     rows = search.staged([("a", df().where("false") if False else spark.createDataFrame([], "fid int")), ("b", df(1, 2)), ("c", df(3))]).collect()
     assert {(r["fid"], r["note"]) for r in rows} == {(1, "b"), (2, "b")}
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 64])
+def test_global_positions(spark, ranges):
+    """Range by range as in one sort: ties, nulls, equal leads, one row and none."""
+    from kestrelgrid.operators import ranks
+
+    values = [5.0, None, 1.0, 5.0, -2.5, 5.0, None, 7.0, 1.0] * 4
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id int, v double").repartition(3)
+    got = {r["id"]: r["k"] for r in ranks.numbered(rows, F.col("v"), [F.col("v"), F.col("id").desc()], "k", ranges).collect()}
+    order = sorted(range(len(values)), key=lambda k: (values[k] is not None, values[k] or 0.0, -k))
+    assert got == {k: n + 1 for n, k in enumerate(order)}
+    sums = {r["id"]: r["s"] for r in ranks.before(rows, F.col("v"), [F.col("v"), F.col("id").desc()], F.col("id"), "s", ranges).collect()}
+    assert sums == {k: sum(order[:n]) for n, k in enumerate(order)}
+    assert ranks.numbered(rows.where("false"), F.col("v"), [F.col("v")], "k", ranges).count() == 0
+    assert ranks.numbered(rows.where("id = 1"), F.col("v"), [F.col("v")], "k", ranges).first()["k"] == 1
+
+
+def test_inverted_index(spark, tmp_path):
+    from kestrelgrid.operators import inverted
+
+    weighted = spark.createDataFrame([(1, "heat", 2.0), (1, "ring", 1.0), (2, "heat", 1.0), (3, "bolt", 4.0)], "entity long, kw string, weight double")
+    inverted.build(weighted, str(tmp_path / "index"))
+    index = inverted.read(spark, str(tmp_path / "index"))
+    assert {(r["kw"], r["df"], r["zipf"]) for r in index.terms.collect()} == {("heat", 2, 0.5), ("ring", 1, 1.0), ("bolt", 1, 1.0)}
+    assert {(r["entity"], r["weight"], r["zipf"]) for r in index.of_words(["heat"]).collect()} == {(1, 2.0, 0.5), (2, 1.0, 0.5)}
+    assert {r["entity"] for r in index.of_patterns(F.col("kw").contains("i")).collect()} == {1}
+    plan = index.of_words(["heat"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(kw), EqualTo(kw,heat)]" in plan or "In(kw" in plan
+
+
+def test_fallbacks_in_one_pass(spark):
+    rows = spark.createDataFrame([(k,) for k in range(6)], "n int")
+    for few in (False, True):
+        got = search.first_of(rows, [("none", F.col("n") > 9), ("high", F.col("n") > 3), ("all", F.lit(True))], few=few).orderBy("n").collect()
+        assert [(r["n"], r["stage"], r["note"]) for r in got] == [(4, 1, "high"), (5, 1, "high")]
+        assert search.first_of(rows, [("none", F.col("n") > 9)], few=few).count() == 0
