@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
-from . import keywords as K
 
 
 @dataclass(frozen=True)
@@ -31,11 +30,11 @@ class Inverted:
 
 
 def build(weighted: DataFrame, folder: str) -> None:
-    """Write the index of weighted(entity, kw, weight)."""
+    """Write the index of weighted(entity, kw, weight), one row for each keyword of an entity."""
     spark = weighted.sparkSession
     weighted.select("kw", "entity", "weight").write.mode("overwrite").parquet(f"{folder}/weights")
     weighted = spark.read.schema("kw string, entity long, weight double").parquet(f"{folder}/weights")
-    S.zipf(K.document_frequency(weighted)).select("kw", "df", "zipf").write.mode("overwrite").parquet(f"{folder}/terms")
+    S.zipf(weighted.groupBy("kw").agg(F.count("*").alias("df"))).select("kw", "df", "zipf").write.mode("overwrite").parquet(f"{folder}/terms")
     terms = spark.read.schema("kw string, df long, zipf double").parquet(f"{folder}/terms")
     rows = weighted.join(terms, "kw").select("kw", "entity", "weight", "df", "zipf")
     rows.repartitionByRange("kw", "entity").sortWithinPartitions("kw", "entity").write.mode("overwrite").parquet(f"{folder}/postings")
