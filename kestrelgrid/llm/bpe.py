@@ -76,12 +76,12 @@ class Codec:
         self.flat = np.frombuffer(b"".join(pieces), np.uint8)
         self.parts: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None], kept_parts: int = KEPT_PARTS) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [_CUT.split(t) if t else [] for t in texts]
         parts = self.parts
         fresh = list({p for c in cut for p in c if p not in parts})
-        if len(parts) + len(fresh) > KEPT_PARTS:
+        if len(parts) + len(fresh) > kept_parts:
             parts.clear()
             fresh = list({p for c in cut for p in c})
         for at in range(0, len(fresh), 20_000):
@@ -124,10 +124,11 @@ def codec(content: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def encode(docs: DataFrame, ranks_file: str, pattern: str, text_column: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, with_spans: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_file: str, pattern: str, text_column: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, with_spans: bool = False, kept_parts: int = KEPT_PARTS) -> DataFrame:
     """Adds n_tokens, ids_sha256, decoded_sha256 and, on request, ids and spans (array of each token's code point offsets) to the columns kept.
 
-    The driver reads the ranks file (under 1 MB) and broadcasts it.
+    The driver reads the ranks file (under 1 MB) and broadcasts it. ``kept_parts``:
+    parts that a Python worker keeps, fewer where other stages need the memory.
     """
     with open(ranks_file, "rb") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -137,7 +138,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, text_column: str = "t
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                ids = own.encode(batch.column(batch.num_columns - 1).to_pylist())
+                ids = own.encode(batch.column(batch.num_columns - 1).to_pylist(), kept_parts)
                 columns = batch.columns[:-1]
                 columns.append(pa.array([len(x) // 4 for x in ids], pa.int64()))
                 columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()))
