@@ -15,6 +15,8 @@ from kestrelgrid.llm import bpe, exact_dedup, langid, mixing, set_join
 from kestrelgrid.llm.cluster import shared_folder
 from kestrelgrid.llm.queries import documents, vocabulary
 
+#: Parts that an encoding worker keeps; fewer than where encoding is the only job of an executor.
+KEPT_PARTS = 120_000
 #: Below this share for the best of the languages a document is rejected, as is one without a letter.
 LEAST_SCORE = 0.4
 
@@ -38,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, *vocabulary(), keep=("doc_id", "lang", "source"))
+    return bpe.encode(docs, *vocabulary(), keep=("doc_id", "lang", "source"), kept_parts=KEPT_PARTS)
 
 
 STAGES = [
