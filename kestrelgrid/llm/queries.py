@@ -90,7 +90,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir), *vocabulary(), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_length_histogram, op3_sanitise, op4_exact_dedup, op5_language_id, op6_toxicity_chain, op7_ngram_join, op8_weighted_fingerprints, op9_mix_sources, op10_byte_bpe)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import counted, misspell, runs, variants
+
+    # runs of fewer letters can't become words, as the edit only deletes
+    return variants(counted(misspell(runs(documents(spark, sf_dir)), every=199)))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_tree, op2_length_histogram, op3_sanitise, op4_exact_dedup, op5_language_id, op6_toxicity_chain, op7_ngram_join, op8_weighted_fingerprints,
+        op9_mix_sources, op10_byte_bpe, op13_spelling_variants,
+    )
+}
 
 ORACLES = {
     "op4_exact_dedup": """
