@@ -90,6 +90,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir), *vocabulary(), with_ids=False)
 
 
+def op11_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .block_search import top_k
+
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import digests, planted
+
+    return digests(documents(spark, sf_dir), edit=planted)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spelling import counted, misspell, runs, variants
 
@@ -101,7 +115,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_tree, op2_length_histogram, op3_sanitise, op4_exact_dedup, op5_language_id, op6_toxicity_chain, op7_ngram_join, op8_weighted_fingerprints,
-        op9_mix_sources, op10_byte_bpe, op13_spelling_variants,
+        op9_mix_sources, op10_byte_bpe, op11_block_top_k, op12_periodic_runs, op13_spelling_variants,
     )
 }
 
@@ -120,4 +134,10 @@ t as (select source, source_size::bigint as source_size, least(cap, weight * coa
 r as (select *, case when source_size > 0 then floor(target / source_size + 1e-12) else 0 end as whole from t),
 c as (select d.*, r.source_size, r.target, whole, r.target - whole * r.source_size as rest, sum(size) over (partition by d.source order by draw, doc_id) as upto from d join r on d.source is not distinct from r.source)
 select doc_id, size, source_size, target, (size * whole + least(size, greatest(0, floor(rest - (upto - size)))))::bigint as taken from c""",
+    "op11_block_top_k": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as c from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+q as (select vec_id as query_id, c as terms from v where vec_id % 20 = 0),
+s as (select query_id, vec_id, coalesce(list_sum(list_transform(list_zip(terms, c), lambda p: p[1] * p[2])), 0)::bigint as score from q join v on query_id <> vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20""",
 }

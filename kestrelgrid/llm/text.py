@@ -31,7 +31,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[_LOWER.astype(int)]
+_EXACT_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BYTE_CODES = _EXACT_CODES[_LOWER.astype(int)]
 _STEP = 0xD6E8FEB86659FD93
 _STEP_INV = pow(_STEP, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -92,11 +93,12 @@ class Words:
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), self.counts)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, fold: bool = True) -> np.ndarray:
+        """Hashes of the words, with ``fold`` as if A-Z were in lower case."""
         n = len(self.data)
         up, down = _power_tables(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_CODES[self.data] * up[:n], out=sums[1:])
+        np.cumsum((_BYTE_CODES if fold else _EXACT_CODES)[self.data] * up[:n], out=sums[1:])
         return mix((sums[self.end] - sums[self.start]) * down[self.start])
 
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
