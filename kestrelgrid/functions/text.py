@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 # Words that are never keywords.
 STOP_WORDS = (
-    "the a an and or but in on at to for of with by from as is are was were be been being have has had do does did will would should could "
-    "this that these those it its they them their what which who when where why how all each every both few more most other some such no nor "
-    "not only own same so than too very can just up out"
-).split()
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "are",
+    "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "should", "could",
+    "this", "that", "these", "those", "it", "its", "they", "them", "their", "what", "which", "who", "when", "where", "why",
+    "how", "all", "each", "every", "both", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only",
+    "own", "same", "so", "than", "too", "very", "can", "just", "up", "out",
+)
 
 # Weights of keywords by where they come from, and of inflected forms.
 IDENTIFIER_TIMES = 10
@@ -38,6 +40,8 @@ def tokens(text: Column) -> Column:
     return F.filter(runs(text), lambda x: x.rlike("^[a-zA-Z][a-zA-Z0-9_]*$"))
 
 
+#: Names the rule of ``keywords``: an index that was made by another one is made anew.
+KEYWORDS_DEFINITION = "ascii words of three characters or more, lower case, no stop words; 1"
 #: Tokens of three characters or more, found in one pass over the text.
 _KEYWORD = r"(?<![\p{L}\p{N}_])[a-zA-Z][a-zA-Z0-9_]{2,}+(?![\p{L}\p{N}_])"
 

@@ -68,6 +68,11 @@ def doc_keywords(t) -> DataFrame:
     return t.documents.select(F.col("doc_id").alias("entity"), F.explode(T.keywords(F.col("text"))).alias("kw")).groupBy("entity", "kw").agg(F.count("*").alias("times"))
 
 
+def document_words(rows: DataFrame) -> DataFrame:
+    """(file, entity, kw, weight) of rows of documents, as an index takes them in."""
+    return rows.select("file", F.col("doc_id").alias("entity"), F.explode(T.keywords(F.col("text"))).alias("kw"), F.lit(1.0).alias("weight"))
+
+
 def turn_keywords(t) -> DataFrame:
     """Keywords of conversations: a second source with the same entities."""
     return t.conversations.select(F.col("conv_id").alias("entity"), F.explode(T.keywords(F.col("text"))).alias("kw")).groupBy("entity", "kw").agg(F.count("*").alias("times"))

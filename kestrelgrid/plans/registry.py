@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators import inverted
-from ..operators.inverted import Inverted
-from ..sources.shared import shared_folder
+from ..functions import text as T
+from ..operators.inverted import Inverted, KeywordIndex
+from ..sources.shared import lasting_folder
 from .adapters import CTE
 
 
@@ -24,20 +24,12 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def keyword_index(self) -> Inverted:
-        """The inverted keyword index of the documents: built when it is first asked for, and again when the table has changed."""
-        table = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/documents.parquet")
-        state = table.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(table)
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, state.getModificationTime(), state.getLen())
-        if key not in _indexes:
-            from .adapters import doc_keywords
+        """The inverted keyword index of the documents; what changed in the table's files since the last search is taken in first."""
+        from .adapters import document_words
 
-            folder = shared_folder(self.spark)
-            inverted.build(doc_keywords(self).select("entity", "kw", F.col("times").cast("double").alias("weight")), folder)
-            _indexes[key] = folder
-        return inverted.read(self.spark, _indexes[key])
-
-
-_indexes: dict[tuple, str] = {}
+        table = f"{self.sf_dir}/documents.parquet"
+        folder = f"{lasting_folder(self.spark)}/keywords-{hashlib.sha256(table.encode()).hexdigest()[:16]}"
+        return KeywordIndex(self.spark, folder, T.KEYWORDS_DEFINITION).refresh(table, document_words)
 
 
 @dataclass(frozen=True)

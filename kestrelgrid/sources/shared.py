@@ -24,3 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
     return folder
+
+
+def lasting_folder(spark: SparkSession) -> str:
+    """Where indexes live: ``spark.kestrelgrid.index.dir`` if that is set, which outlives the application; else a folder that ends with it."""
+    base = spark.conf.get("spark.kestrelgrid.index.dir", None)
+    if base:
+        return base.rstrip("/")
+    name = spark.sparkContext.applicationId
+    if name not in _own:
+        _own[name] = shared_folder(spark)
+    return _own[name]
+
+
+_own: dict[str, str] = {}

@@ -231,19 +231,6 @@ def test_global_positions(spark, ranges):
     assert ranks.numbered(rows.where("id = 1"), F.col("v"), [F.col("v")], "k", ranges).first()["k"] == 1
 
 
-def test_inverted_index(spark, tmp_path):
-    from kestrelgrid.operators import inverted
-
-    weighted = spark.createDataFrame([(1, "heat", 2.0), (1, "ring", 1.0), (2, "heat", 1.0), (3, "bolt", 4.0)], "entity long, kw string, weight double")
-    inverted.build(weighted, str(tmp_path / "index"))
-    index = inverted.read(spark, str(tmp_path / "index"))
-    assert {(r["kw"], r["df"], r["zipf"]) for r in index.terms.collect()} == {("heat", 2, 0.5), ("ring", 1, 1.0), ("bolt", 1, 1.0)}
-    assert {(r["entity"], r["weight"], r["zipf"]) for r in index.of_words(["heat"]).collect()} == {(1, 2.0, 0.5), (2, 1.0, 0.5)}
-    assert {r["entity"] for r in index.of_patterns(F.col("kw").contains("i")).collect()} == {1}
-    plan = index.of_words(["heat"])._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(kw), EqualTo(kw,heat)]" in plan or "In(kw" in plan
-
-
 def test_fallbacks_in_one_pass(spark):
     rows = spark.createDataFrame([(k,) for k in range(6)], "n int")
     for few in (False, True):
