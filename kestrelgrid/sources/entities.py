@@ -1,8 +1,4 @@
-"""Entities of Elixir, Erlang and Gleam sources from lines(file, line, text), by regex and windows.
-
-A grammar would see more (nested modules, calls over several lines); these scans
-need no parser, run inside codegen and carry the last heading along each file.
-"""
+"""Entities of Elixir, Erlang and Gleam sources from lines(file, line, text)."""
 
 from __future__ import annotations
 
@@ -10,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import asof
+from . import elixir
 from .signatures import elixir_references
 
 
@@ -25,10 +22,6 @@ def _arity(args: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(args, F.lit("")), r",(?![^(\[{]*[)\]}])"), lambda a: F.trim(a) != "")).cast("bigint")
 
 
-def _scoped(lines: DataFrame, head: Column, name: str) -> DataFrame:
-    return lines.withColumn(name, F.last(head, ignorenulls=True).over(_in_file()))
-
-
 def doc_blocks(lines: DataFrame) -> DataFrame:
     """(file, attr, line, end_line, doc) of @moduledoc and @doc, on one line or between triple quotes."""
     opens = _group(r'^\s*@(moduledoc|doc)\s+(?:~[sS])?"""', 1)
@@ -51,41 +44,13 @@ def split_examples(doc: Column) -> Column:
 
 
 def elixir_modules(lines: DataFrame) -> DataFrame:
-    """(file, module, line, moduledoc): the first @moduledoc behind each defmodule."""
-    shape = r"^\s*defmodule\s+([A-Z][\w.]*)"
-    modules = lines.where(F.col("text").rlike(shape)).select("file", "line", _group(shape, 1).alias("module"))
-    docs = doc_blocks(lines).where("attr = 'moduledoc'").select("file", "line", F.col("doc").alias("moduledoc"))
-    bounded = asof.ends(modules, ["file"], "line", 1_000_000)
-    found = asof.asof(bounded, docs.withColumn("doc_line", F.col("line")), ["file"], "line", ["doc_line", "moduledoc"], forward=True)
-    return found.select("file", "module", "line", F.when(F.col("doc_line") <= F.col("end_line"), F.col("moduledoc")).alias("moduledoc"))
+    """(file, module, line, moduledoc) by structure, see ``elixir.modules``."""
+    return elixir.modules(elixir.sources_of(lines)).select("file", "module", "line", "moduledoc")
 
 
 def elixir_functions(lines: DataFrame) -> DataFrame:
-    """(file, module, name, arity, line, ftype, guards, impl, spec, doc) of definitions and tests (named ``test: ...``, private)."""
-    shape = r"^\s*(defp?|defmacrop?)\s+([a-z_]\w*[?!]?)(?:\((.*?)\)(?=\s*(?:do|,|when|$)))?(?:\s+when\s+(.*?))?\s*(?:,?\s*do\b.*)?$"
-    test = r'^\s*test\s+"([^"]+)"'
-    marks = {
-        "module": _group(r"^\s*defmodule\s+([A-Z][\w.]*)", 1),
-        "_impl": F.when(F.col("text").rlike(r"^\s*@impl\b"), F.col("line")),
-        "_spec": F.when(F.col("text").rlike(r"^\s*@spec\b"), F.struct("line", F.trim(F.regexp_replace("text", r"^\s*@spec\s+", "")).alias("text"))),
-        "_def": F.when(F.col("text").rlike(shape) | F.col("text").rlike(test), F.col("line")),
-    }
-    last = {k: F.last(v, ignorenulls=True).over(_in_file()) for k, v in marks.items() if k != "_def"}
-    before = F.last(marks["_def"], ignorenulls=True).over(_in_file().rowsBetween(Window.unboundedPreceding, -1))
-    rows = lines.withColumns({**last, "_before": F.coalesce(before, F.lit(0))}).where(F.col("text").rlike(shape) | F.col("text").rlike(test))
-    is_test = F.col("text").rlike(test)
-    out = rows.select(
-        "file", "module", "line",
-        F.when(is_test, F.concat(F.lit("test: "), _group(test, 1))).otherwise(_group(shape, 2)).alias("name"),
-        F.when(is_test, F.lit(0)).otherwise(_arity(_group(shape, 3))).cast("bigint").alias("arity"),
-        F.when(is_test | F.col("text").rlike(r"^\s*(defp|defmacrop)\b"), "defp").otherwise("def").alias("ftype"),
-        _group(shape, 4).alias("guards"),
-        F.coalesce(F.col("_impl") > F.col("_before"), F.lit(False)).alias("impl"),
-        F.when(F.col("_spec.line") > F.col("_before"), F.col("_spec.text")).alias("spec"),
-        "_before",
-    )
-    docs = doc_blocks(lines).where("attr = 'doc'").select("file", F.col("end_line").alias("line"), F.struct("line", "doc").alias("d"))
-    return asof.asof(out, docs, ["file"], "line", ["d"]).withColumn("doc", F.when(F.col("d.line") > F.col("_before"), F.col("d.doc"))).drop("d", "_before")
+    """(file, module, name, arity, line, ftype, guards, impl, spec, doc) by structure, see ``elixir.functions``."""
+    return elixir.functions(elixir.sources_of(lines)).drop("module_at", "at", "end_at")
 
 
 def elixir_value_mentions(lines: DataFrame) -> DataFrame:
@@ -99,14 +64,9 @@ def elixir_value_mentions(lines: DataFrame) -> DataFrame:
 
 def elixir_literals(lines: DataFrame) -> DataFrame:
     """(file, function, kind, text, line) of strings outside docs and of comments, with the enclosing function of strings and the next one of comments."""
-    docs = doc_blocks(lines).select("file", F.col("line").alias("start"), F.col("end_line").alias("stop"), F.lit("doc").alias("symbol"))
-    code = lines.where(~F.col("text").rlike(r"^\s*@(moduledoc|doc|typedoc)\b"))
-    text = F.explode(F.regexp_extract_all("text", F.lit(r'"([^"\\]{3,})"'), F.lit(1)))
-    strings = code.where(~F.col("text").rlike(r"^\s*#")).select("file", "line", text.alias("literal"))
-    in_docs = asof.enclosing(strings.select("file", "line").distinct(), docs, ["file"], "line").select("file", "line")
-    strings = strings.join(in_docs, ["file", "line"], "left_anti")
-    named = elixir_functions(lines).select("file", "line", F.concat("name", F.lit("/"), F.col("arity").cast("string")).alias("function"))
-    strings = asof.asof(strings, named, ["file"], "line", ["function"]).withColumn("kind", F.lit("string"))
+    files = elixir.sources_of(lines)
+    strings = elixir.literals(files).withColumnRenamed("text", "literal").withColumn("kind", F.lit("string"))
+    named = elixir.functions(files).select("file", "line", F.concat("name", F.lit("/"), F.col("arity").cast("string")).alias("function"))
     comment = r"^\s*#\s?(.*)$"
     comments = asof.adjacent(lines.where(F.col("text").rlike(comment)), ["file"], "line")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.regexp_extract("text", comment, 1).alias("t")))), lambda x: x["t"]), "\n")
@@ -146,7 +106,8 @@ def gleam_functions(lines: DataFrame) -> DataFrame:
 
 def references(lines: DataFrame) -> DataFrame:
     """(module, kind, target): references of each Elixir module."""
-    head = _group(r"^\s*defmodule\s+([A-Z][\w.]*)", 1)
-    scope = _scoped(lines, head, "module").select("file", "line", "module")
+    t = elixir.tokens(elixir.sources_of(lines))
+    first = t.where("kind <> 'line'").groupBy("file", "line").agg(F.min("at").alias("at"))
+    scope = elixir.in_scope(first, elixir.scopes(elixir.definitions(None, t))).select("file", F.col("line").cast("long").alias("line"), "module")
     mentions = elixir_value_mentions(lines).join(scope.groupBy("file").agg(F.first("module", ignorenulls=True).alias("module")), "file").select("module", F.lit("value_mention").alias("kind"), "target")
     return elixir_references(lines).join(scope, ["file", "line"]).select("module", "kind", "target").unionByName(mentions)

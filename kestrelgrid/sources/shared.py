@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,6 +26,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in a shared folder, for what several parts of a plan read; its lineage ends there."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def lasting_folder(spark: SparkSession) -> str:
     """Where indexes live: ``spark.kestrelgrid.index.dir`` if that is set, which outlives the application; else a folder that ends with it."""
     base = spark.conf.get("spark.kestrelgrid.index.dir", None)

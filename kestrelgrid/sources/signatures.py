@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import elixir
+
 # Shapes of a definition: group 1 is the name, group 2 the arguments.
 SHAPES = {
     "python": r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+([A-Za-z_]\w*)[ \t]*\(([^)]*)\)",
@@ -25,13 +27,8 @@ def scan(files: DataFrame, source: str, language: str) -> DataFrame:
 
 
 def elixir_scopes(lines: DataFrame) -> DataFrame:
-    """(file, module, name, arity, line) of Elixir definitions from lines(file, line, text): the last module named above."""
-    from pyspark.sql import Window
-
-    head = F.nullif(F.regexp_extract("text", r"^\s*defmodule\s+([A-Z][\w.]*)", 1), F.lit(""))
-    w = Window.partitionBy("file").orderBy("line")
-    scoped = lines.withColumn("module", F.last(head, ignorenulls=True).over(w))
-    return scan(scoped, "text", "elixir").where(F.col("name") != "module").select("file", "module", "name", "arity", "line")
+    """(file, module, name, arity, line) of Elixir definitions from lines(file, line, text), with the innermost module around each."""
+    return elixir.functions(elixir.sources_of(lines)).select("file", "module", "name", "arity", "line")
 
 
 def elixir_references(lines: DataFrame) -> DataFrame:
@@ -45,15 +42,6 @@ def elixir_references(lines: DataFrame) -> DataFrame:
     return rows.select("file", "line", F.regexp_replace("kind", "^@", "").alias("kind"), "target", name.alias("name"))
 
 
-# Words that look like calls and are none.
-SPECIAL_FORMS = "alias case cond def defmodule defp do else fn for if import quote receive require try unless unquote use with".split()
-
-
 def elixir_calls(lines: DataFrame) -> DataFrame:
     """(file, line, module, function, arity) of calls; module is null for local ones. Attributes and definitions are skipped."""
-    code = lines.where(~F.col("text").rlike(r"^\s*(#|@|defp?\b|defmodule\b)"))
-    shape = r"(?:([A-Z][\w.]*)\.)?([a-z_]\w*[?!]?)\(([^()]*)\)"
-    found = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(shape), F.lit(k)).alias(n) for k, n in ((1, "module"), (2, "function"), (3, "args"))])
-    rows = code.select("file", "line", F.explode(found).alias("c")).select("file", "line", F.nullif("c.module", F.lit("")).alias("module"), "c.function", "c.args")
-    arity = F.size(F.filter(F.split("args", ","), lambda a: F.trim(a) != ""))
-    return rows.where(~F.col("function").isin(*SPECIAL_FORMS)).select("file", "line", "module", "function", arity.alias("arity"))
+    return elixir.calls(elixir.sources_of(lines)).select("file", "line", "module", "function", "arity")
