@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
+from .structure import arguments, cut, in_file
 
 # The special forms, which look like calls and are none.
 SPECIAL_FORMS = ("alias", "import", "require", "use", "def", "defp", "defmodule", "if", "unless", "case", "cond", "with", "for", "try", "receive")
@@ -53,10 +54,6 @@ TOKEN = "|".join(
 )
 
 
-def _file():
-    return Window.partitionBy("file").orderBy("at")
-
-
 def _kind(t: Column) -> Column:
     """What a token is, by how it begins and ends."""
     word = t.rlike(r"^[\p{Ll}_]\w*[?!]?$")
@@ -87,26 +84,13 @@ def sources_of(lines: DataFrame) -> DataFrame:
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """(file, at, line, kind, text, pos, level, depth, before, after, touches) of files(file, source).
-
-    Spaces and comments are left out of ``at``'s order; ``level`` and ``depth`` are
-    those before the token, ``before`` and ``after`` its neighbours' texts (line ends
-    count), ``touches`` whether no space stands between it and the next one, ``pos``
-    where it begins in the source (code points from 0).
-    """
-    rows = files.select("file", F.posexplode(F.regexp_extract_all("source", F.lit(TOKEN), F.lit(0))).alias("at", "text"))
-    rows = rows.withColumn("kind", _kind(F.col("text")))
-    before = _file().rowsBetween(Window.unboundedPreceding, -1)
-    lines_in = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    rows = rows.withColumns({"line": (F.coalesce(F.sum(lines_in).over(before), F.lit(0)) + 1).cast("long"), "pos": F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)), "touches": ~F.coalesce(F.lead("kind").over(_file()).isin("space", "line", "comment"), F.lit(True)), "comes": F.lag("text").over(_file())})
-    rows = rows.where("kind <> 'space' and kind <> 'comment'")
+    """The tokens of files(file, source), see ``structure.cut``; levels are those of do, fn and end."""
     # a field named do or end opens and closes nothing
-    reserved = (F.col("kind") == "reserved") & ~F.coalesce(F.col("comes") == ".", F.lit(False))
-    step = F.when(reserved & F.col("text").isin("do", "fn"), 1).when(reserved & (F.col("text") == "end"), -1).otherwise(0)
-    turn = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    rows = rows.withColumns({"step": step, "turn": turn})
-    level, depth = (F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("step", "turn"))
-    return rows.withColumns({"level": level, "depth": depth, "before": F.lag("text").over(_file()), "before_kind": F.lag("kind").over(_file()), "after": F.lead("text").over(_file()), "after_kind": F.lead("kind").over(_file())}).drop("comes")
+    def step(text: Column, kind: Column, comes: Column) -> Column:
+        reserved = (kind == "reserved") & ~F.coalesce(comes == ".", F.lit(False))
+        return F.when(reserved & text.isin("do", "fn"), 1).when(reserved & (text == "end"), -1).otherwise(0)
+
+    return cut(files, TOKEN, _kind, step)
 
 
 def _closed(rows: DataFrame, step: str, level: str) -> DataFrame:
@@ -130,7 +114,7 @@ def definitions(files: DataFrame, t: DataFrame | None = None) -> DataFrame:
     ``body``: do, do: or null where a head has none; ``end_at``: where its block ends, null without a block.
     """
     t = _starts(written(tokens(files)) if t is None else t)
-    follow = t.withColumns({"name": F.col("after"), "name_kind": F.col("after_kind"), "name_at": F.lead("at").over(_file())})
+    follow = t.withColumns({"name": F.col("after"), "name_kind": F.col("after_kind"), "name_at": F.lead("at").over(in_file())})
     blocks = _closed(t, "step", "level").where("text = 'do'").select("file", F.col("at").alias("body_at"), F.col("close_at").alias("end_at"), F.col("close_line").alias("end_line"))
     same = Window.partitionBy("file", "level", "depth").orderBy("at")
     # what follows first on the level: its own do, or the next definition where it has none
@@ -164,30 +148,13 @@ def in_scope(rows: DataFrame, modules: DataFrame) -> DataFrame:
     return around.withColumns({"module": F.col("_m.module"), "module_at": F.col("_m.module_at")}).drop("_m", "_nth", "_delta", "_row")
 
 
-def _arguments(t: DataFrame) -> DataFrame:
-    """(file, at, arity, close_at) of every opening bracket."""
-    behind = F.col("before").isin("(", "[", "{", "<<", ",") | (F.col("before_kind") == "line")
-    significant = t.where("kind <> 'line'").withColumns({"before": F.lag("text").over(_file()), "before_kind": F.lag("kind").over(_file())})
-    begins = behind & ~F.col("kind").isin("close")
-    w = Window.partitionBy("file", "inner", "level").orderBy("at")
-    rows = significant.withColumns({"inner": F.col("depth") + F.when(F.col("kind") == "open", 1).otherwise(0)})
-    # a bracket that is itself an argument counts outside, and opens inside
-    argument = significant.where(begins).select("file", "at", F.col("depth").alias("inner"), "level", F.lit("argument").alias("role"), (F.col("kind") == "key").alias("keyed"))
-    ends = rows.where("kind in ('open', 'close')").select("file", "at", "inner", "level", "kind", F.lit(False).alias("keyed")).withColumnRenamed("kind", "role")
-    both = argument.unionByName(ends)
-    running = lambda c: F.sum(c.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    both = both.withColumns({"plain": running((F.col("role") == "argument") & ~F.col("keyed")), "keys": running((F.col("role") == "argument") & F.col("keyed"))}).where("role <> 'argument'")
-    count = F.lead("plain").over(w) - F.col("plain") + F.when(F.lead("keys").over(w) > F.col("keys"), 1).otherwise(0)
-    return both.withColumns({"arity": count.cast("long"), "close_at": F.lead("at").over(w)}).where("role = 'open'").select("file", "at", "arity", "close_at")
-
-
 def functions(files: DataFrame, t: DataFrame | None = None) -> DataFrame:
     """(file, module, module_at, name, arity, line, ftype, guards, impl, spec, doc, at, end_at) of definitions and tests (``test: ...``, private)."""
     t = written(tokens(files)) if t is None else t
     defined = definitions(files, t)
     heads = defined.where((F.col("what").isin(*DEFINITIONS) & F.col("name_kind").isin("name", "reserved") & (F.col("name") != "unquote")) | (F.col("what") == "test"))
-    brackets = _arguments(t).select("file", F.col("at").alias("open_at"), "arity", "close_at")
-    opens = t.withColumn("open_at", F.lead("at").over(_file())).where("kind in ('name', 'reserved') and after = '(' and touches").select("file", F.col("at").alias("name_at"), "open_at")
+    brackets = arguments(t).select("file", F.col("at").alias("open_at"), "arity", "close_at")
+    opens = t.withColumn("open_at", F.lead("at").over(in_file())).where("kind in ('name', 'reserved') and after = '(' and touches").select("file", F.col("at").alias("name_at"), "open_at")
     sized = heads.join(opens, ["file", "name_at"], "left").join(brackets, ["file", "open_at"], "left")
     guards = t.where("text = 'when' and kind = 'reserved'").select("file", "level", "depth", F.col("pos").alias("when_pos"), F.col("at").alias("when_at"))
     sized = sized.join(guards, ["file", "level", "depth"], "left").withColumn("_own", (F.col("when_at") > F.col("at")) & (F.col("when_at") < F.col("body_at")))
@@ -210,9 +177,9 @@ def functions(files: DataFrame, t: DataFrame | None = None) -> DataFrame:
 
 def _attributes(t: DataFrame, files: DataFrame) -> DataFrame:
     """(file, at, impl, spec, doc) of the attributes between a definition and the one before it."""
-    s = _starts(t).withColumns({"value": F.col("after"), "value_kind": F.col("after_kind"), "value_pos": F.lead("pos").over(_file())})
+    s = _starts(t).withColumns({"value": F.col("after"), "value_kind": F.col("after_kind"), "value_pos": F.lead("pos").over(in_file())})
     marks = s.where(F.col("starts") | (F.col("text").isin("@impl", "@spec", "@doc") & (F.col("kind") == "attribute")))
-    earlier = _file().rowsBetween(Window.unboundedPreceding, -1)
+    earlier = in_file().rowsBetween(Window.unboundedPreceding, -1)
     last_def = F.coalesce(F.last(F.when(F.col("starts"), F.col("at")), ignorenulls=True).over(earlier), F.lit(-1))
     said = lambda what: F.last(F.when(F.col("text") == what, F.struct("at", "value", "value_kind", "value_pos")), ignorenulls=True).over(earlier)
     marks = marks.withColumns({"_last": last_def, "_impl": said("@impl"), "_spec": said("@spec"), "_doc": said("@doc")}).where("starts")
@@ -250,7 +217,7 @@ def _bare_arguments(t: DataFrame, bare: DataFrame) -> DataFrame:
     The arguments end at the line's end (unless a comma stands there), a block, a
     closing bracket or a branch.
     """
-    significant = t.where("kind <> 'line'").withColumn("before", F.lag("text").over(_file()))
+    significant = t.where("kind <> 'line'").withColumn("before", F.lag("text").over(in_file()))
     more = significant.where("before = ','").select("file", "at", "level", "depth", (F.col("kind") == "key").alias("keyed"), F.lit("argument").alias("role"))
     line_end = (F.col("kind") == "line") & ~F.coalesce((F.col("before") == ",") | (F.col("before_kind") == "sign"), F.lit(False))
     stop = line_end | (F.col("kind") == "close") | F.col("text").isin(";", "->") | ((F.col("kind") == "reserved") & F.col("text").isin("do", "end", "else", "after", "rescue", "catch")) | (F.col("text") == "do:")
@@ -274,7 +241,7 @@ def calls(files: DataFrame, t: DataFrame | None = None) -> DataFrame:
     written; a name alone is a variable unless a module stands before it.
     """
     t = written(tokens(files)) if t is None else t
-    w = _file()
+    w = in_file()
     rows = _starts(t).withColumns({"dot": F.coalesce(F.lag("text").over(w) == ".", F.lit(False)), "owner": F.lag("text", 2).over(w), "owner_kind": F.lag("kind", 2).over(w), "open_at": F.lead("at").over(w), "defining": F.coalesce(F.lag("starts").over(w), F.lit(False))})
     remote = F.col("dot") & F.coalesce(F.col("owner_kind") == "alias", F.lit(False))
     bracket = F.coalesce((F.col("after") == "(") & F.col("touches"), F.lit(False))
@@ -283,7 +250,7 @@ def calls(files: DataFrame, t: DataFrame | None = None) -> DataFrame:
     named = (F.col("kind") == "name") & ~F.col("defining") & ~F.col("starts") & ~F.coalesce(F.col("before_kind") == "attribute", F.lit(False)) & ~F.col("text").isin(*SPECIAL_FORMS, *DEFINITIONS)
     found = rows.where(named & (bracket | remote | (bare & ~F.col("dot"))))
     found = found.select("file", "at", "line", "level", "depth", F.when(remote, F.col("owner")).alias("owner"), F.col("text").alias("function"), F.when(bracket, F.col("open_at")).alias("open_at"), bare.alias("bare"), F.coalesce(F.col("after_kind") == "key", F.lit(False)).alias("keyed"))
-    sizes = _arguments(t).select("file", F.col("at").alias("open_at"), "arity")
+    sizes = arguments(t).select("file", F.col("at").alias("open_at"), "arity")
     bare_sizes = _bare_arguments(t, found.where("bare").select("file", "at", "level", "depth", "keyed")).select("file", "at", F.col("arity").alias("bare_arity"))
     sized = found.join(sizes, ["file", "open_at"], "left").join(bare_sizes, ["file", "at"], "left")
     sized = in_scope(sized, scopes(definitions(files, t)))
@@ -297,6 +264,6 @@ def literals(files: DataFrame, t: DataFrame | None = None, least: int = 3) -> Da
     strings = t.where("kind = 'string' and coalesce(before, '') not in ('@doc', '@moduledoc', '@typedoc', 'test', 'describe')").select("file", "at", "line", F.trim(text).alias("text"))
     f = functions(files, t).select("file", "at", F.struct(F.concat("name", F.lit("/"), F.col("arity").cast("string")).alias("name"), "end_at").alias("f"))
     both = strings.withColumns({"f": F.lit(None).cast(f.schema["f"].dataType), "_row": F.lit(True)}).unionByName(f.withColumn("_row", F.lit(False)), allowMissingColumns=True)
-    both = both.withColumn("f", F.last("f", ignorenulls=True).over(_file())).where("_row").where(F.length("text") >= least)
+    both = both.withColumn("f", F.last("f", ignorenulls=True).over(in_file())).where("_row").where(F.length("text") >= least)
     inside = F.col("f.end_at").isNull() | (F.col("f.end_at") > F.col("at"))
     return both.select("file", "line", F.when(inside, F.col("f.name")).alias("function"), "text")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import asof
-from . import elixir
+from . import elixir, forms
 from .signatures import elixir_references
 
 
@@ -18,10 +18,6 @@ def _group(shape: str, k: int, text: str = "text") -> Column:
     return F.nullif(F.regexp_extract(text, shape, k), F.lit(""))
 
 
-def _arity(args: Column) -> Column:
-    return F.size(F.filter(F.split(F.coalesce(args, F.lit("")), r",(?![^(\[{]*[)\]}])"), lambda a: F.trim(a) != "")).cast("bigint")
-
-
 def doc_blocks(lines: DataFrame) -> DataFrame:
     """(file, attr, line, end_line, doc) of @moduledoc and @doc, on one line or between triple quotes."""
     opens = _group(r'^\s*@(moduledoc|doc)\s+(?:~[sS])?"""', 1)
@@ -77,31 +73,13 @@ def elixir_literals(lines: DataFrame) -> DataFrame:
 
 
 def erlang_functions(lines: DataFrame) -> DataFrame:
-    """(file, module, name, arity, line, ftype, doc): public by the export lists, doc from the edoc comment block above."""
-    module = _group(r"^-module\(\s*([a-z]\w*)\s*\)", 1)
-    heads = lines.groupBy("file").agg(F.first(module, ignorenulls=True).alias("module"))
-    export = F.explode(F.regexp_extract_all(F.regexp_extract("text", r"^-export\(\[(.*)\]\)", 1), F.lit(r"([a-z]\w*)/(\d+)"), F.lit(0)))
-    exports = lines.where(F.col("text").rlike(r"^-export\(")).select("file", export.alias("e")).select("file", F.split_part("e", F.lit("/"), F.lit(1)).alias("name"), F.split_part("e", F.lit("/"), F.lit(2)).cast("bigint").alias("arity")).distinct()
-    shape = r"^([a-z]\w*)\(([^)]*)\)\s*(?:when\s.*)?->"
-    found = lines.where(F.col("text").rlike(shape)).select("file", "line", _group(shape, 1).alias("name"), _arity(_group(shape, 2)).alias("arity"))
-    first = found.groupBy("file", "name", "arity").agg(F.min("line").alias("line"))
-    blocks = asof.adjacent(lines.where(F.col("text").rlike(r"^%+")), ["file"], "line")
-    words = F.regexp_replace(F.regexp_replace("text", r"^%+\s?", ""), r"^@doc\s*", "")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", words.alias("t")))), lambda x: x["t"]), "\n")
-    docs = blocks.groupBy("file", "island").agg((F.max("line") + 1).alias("line"), body.alias("doc"), F.max(F.col("text").contains("@private")).alias("hidden")).drop("island")
-    out = first.join(heads, "file").join(exports.withColumn("public", F.lit(True)), ["file", "name", "arity"], "left").join(docs, ["file", "line"], "left")
-    return out.select("file", "module", "name", "arity", "line", F.when(F.coalesce("public", F.lit(False)), "def").otherwise("defp").alias("ftype"), "doc")
+    """(file, module, name, arity, line, ftype, clauses, doc, params, returns, private) by forms, see ``forms.erlang_functions``."""
+    return forms.erlang_functions(elixir.sources_of(lines))
 
 
 def gleam_functions(lines: DataFrame) -> DataFrame:
     """(file, module, name, arity, line, ftype, doc); the module is the path below src or test."""
-    shape = r"^\s*(pub\s+)?fn\s+([a-z_]\w*)\s*\(([^)]*)\)"
-    module = F.regexp_replace(F.regexp_replace("file", r"^(.*/)?(src|test)/", ""), r"\.gleam$", "")
-    blocks = asof.adjacent(lines.where(F.col("text").rlike(r"^\s*///")), ["file"], "line")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.regexp_replace("text", r"^\s*///\s?", "").alias("t")))), lambda x: x["t"]), "\n")
-    docs = blocks.groupBy("file", "island").agg((F.max("line") + 1).alias("line"), body.alias("doc")).drop("island")
-    found = lines.where(F.col("text").rlike(shape)).select("file", module.alias("module"), _group(shape, 2).alias("name"), _arity(_group(shape, 3)).alias("arity"), "line", F.when(_group(shape, 1).isNotNull(), "def").otherwise("defp").alias("ftype"))
-    return found.join(docs, ["file", "line"], "left")
+    return forms.gleam_functions(elixir.sources_of(lines))
 
 
 def references(lines: DataFrame) -> DataFrame:
