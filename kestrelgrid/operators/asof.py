@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import passes
+
 
 def asof(left: DataFrame, right: DataFrame, key: list[str], on: str, carry: list[str], forward: bool = False) -> DataFrame:
     """left with ``carry`` of the nearest right row at or before ``on`` (at or after: ``forward``); unmatched rows get nulls.
@@ -34,20 +36,13 @@ def ends(starts: DataFrame, key: list[str], line: str, tail: int, *ties: str) ->
     return starts.withColumn("end_line", F.coalesce(F.lead(line).over(order) - 1, F.col(line) + tail))
 
 
-def enclosing(points: DataFrame, ranges: DataFrame, key: list[str], at: str, block: int = 256) -> DataFrame:
+def enclosing(points: DataFrame, ranges: DataFrame, key: list[str], at: str) -> DataFrame:
     """The smallest range(start, stop, symbol) of the same key around each point; unmatched points are left out.
 
-    Ranges are dealt to all blocks of lines that they touch, so the join is an
-    equi-join on key and block with the exact condition on top. Repeated points
-    are answered each: equal ones go through the join as one with their number.
+    One sorted pass over ranges and points of a key, see ``passes.smallest_around``:
+    neither is copied, however long a range is or however many overlap.
     """
-    names = points.columns
-    points = points.groupBy(*names).agg(F.count("*").alias("_times"))
-    dealt = ranges.withColumn("_block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.col("stop") / block))))
-    joined = points.withColumn("_block", F.floor(F.col(at) / block)).join(dealt, [*key, "_block"]).where(F.col(at).between(F.col("start"), F.col("stop")))
-    best = F.min_by("symbol", F.struct(F.col("stop") - F.col("start"), F.col("start"), F.col("symbol")))
-    found = joined.groupBy(*names, "_times").agg(best.alias("symbol"))
-    return found.withColumn("_times", F.explode(F.expr("sequence(1L, _times)"))).drop("_times")
+    return passes.smallest_around(points, ranges, key, at)
 
 
 def band(left: DataFrame, right: DataFrame, key: list[str], left_at: str, right_at: str, reach: int) -> DataFrame:

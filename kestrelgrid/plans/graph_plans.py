@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import asof as J
 from ..operators import graph as G
+from ..operators import passes
 from . import adapters as A
 from .registry import query
 
@@ -219,21 +220,18 @@ def function_end_line(t):
 with b as (select module, line as start, fid, coalesce(lead(line) over (partition by module order by line, fid) - 1, line + 10000) as stop from functions)
 select fid, count(*) as calls from b join calls c on c.caller_module = b.module and c.line between start and stop group by fid""", "functions calls")
 def function_deps_interval(t):
-    bounds = J.ends(A.functions(t), ["module"], "line", 10_000, "fid").select(F.col("module").alias("caller_module"), F.col("line").alias("start"), F.col("end_line").alias("stop"), "fid")
-    block = 64
-    dealt = bounds.where("stop >= start").withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.least("stop", F.lit(1000)) / block))))
-    hit = A.calls(t).withColumn("_b", F.floor(F.col("line") / block)).join(dealt, ["caller_module", "_b"]).where("line between start and stop")
-    return hit.groupBy("fid").agg(F.count("*").alias("calls"))
+    """Calls by the function whose lines they lie in: the last one that begins at or before the call, up to its end."""
+    bounds = J.ends(A.functions(t), ["module"], "line", 10_000, "fid").select(F.col("module").alias("caller_module"), "line", "end_line", "fid", (-F.col("fid")).alias("last"))
+    hit = J.asof(A.calls(t).select("caller_module", "line"), bounds, ["caller_module"], "line", ["last", "end_line", "fid"])
+    return hit.where("line <= end_line").groupBy("fid").agg(F.count("*").alias("calls"))
 
 
 @query("W9", """
 with r as (select module, name, fid, line from functions)
 select a.fid, min(b.line) - 1 as end_line from r a join r b on a.module = b.module and b.line > a.line and not starts_with(b.name, a.name) group by a.fid""", "functions")
 def sibling_end(t):
-    a = A.functions(t).select("module", "name", "fid", "line")
-    b = a.select("module", F.col("name").alias("other"), F.col("line").alias("there"))
-    hit = a.join(b, "module").where((F.col("there") > F.col("line")) & ~F.startswith("other", F.col("name")))
-    return hit.groupBy("fid").agg((F.min("there") - 1).alias("end_line"))
+    """Up to the next definition that isn't nested by name, in one sorted pass."""
+    return passes.sibling_ends(A.functions(t), ["module"], "name", "line", ["fid"]).select("fid", "end_line")
 
 
 @query("W6 S16", """

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import asof as J
 from ..operators import history as H
 from ..operators import pairs as P
+from ..operators import passes
 from . import adapters as A
 from .registry import query
 
@@ -246,3 +247,41 @@ def line_history(t):
     touches = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_partkey").alias("file"), F.concat(F.lit("f"), (F.col("l_suppkey") % 5).cast("string")).alias("name"), F.col("l_orderkey").alias("sha"), F.col("o_orderdate").alias("ts"), (F.col("l_linenumber") * 10).alias("start_line"), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("bigint")).alias("end_line"))
     wanted = t.part.select(F.col("p_partkey").alias("file"), F.concat(F.lit("f"), F.col("p_size").cast("string")).alias("name"), F.col("p_size").alias("start"), (F.col("p_size") + 10).alias("stop"))
     return H.of_lines(touches, wanted, 5).select("file", "name", "sha", "rank", "by")
+
+
+_HUNKS = """c as (select l_partkey as file, l_orderkey as sha, min(l_linenumber) * 5 as x, max(l_quantity)::bigint % 4 as o, (max(l_quantity)::bigint + min(l_linenumber)) % 5 as n, max(l_quantity)::bigint % 3 as m, date_diff('day', date '1990-01-01', min(o_orderdate)::date) * 100000000 + l_orderkey as seq from lineitem join orders on o_orderkey = l_orderkey group by l_partkey, l_orderkey)"""
+
+
+def hunks(t):
+    """Two hunks a commit and file: one of o old and n new lines behind line x, one of 2 old and m new lines 39 lines on."""
+    day = F.date_diff(F.min("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("long")
+    q = F.max("l_quantity").cast("long")
+    c = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("l_partkey").alias("file"), F.col("l_orderkey").alias("sha"))
+    c = c.agg((F.min("l_linenumber") * 5).cast("long").alias("x"), (q % 4).alias("o"), ((q + F.min("l_linenumber")) % 5).alias("n"), (q % 3).alias("m"), day.alias("day"))
+    side = lambda at, lines: F.when(lines == 0, at).otherwise(at + 1)
+    x, o, n, m = (F.col(k) for k in "xonm")
+    pair = F.array(
+        F.struct(side(x, o).alias("old_start"), o.alias("old_lines"), side(x, n).alias("new_start"), n.alias("new_lines")),
+        F.struct((x + 40).alias("old_start"), F.lit(2).cast("long").alias("old_lines"), side(x + 39 + n - o, m).alias("new_start"), m.alias("new_lines")),
+    )
+    rows = c.select("file", "sha", (F.col("day") * 100_000_000 + F.col("sha")).alias("seq"), F.explode(pair).alias("h"))
+    # a hunk without lines on either side is none
+    return rows.select("file", "sha", "seq", "h.*").where("old_lines + new_lines > 0")
+
+
+@query("S15", f"""
+with recursive {_HUNKS},
+h as (select *, row_number() over (partition by file order by seq desc) as k, x as s1, x + n as e1, x as p1, x + o as q1, x + 39 + n - o as s2, x + 39 + n - o + m as e2, x + 39 as p2, x + 41 as q2 from c),
+walk as (
+select p_partkey as file, p_size::bigint - 1 as a, p_size::bigint + 10 as b, 0::bigint as k, null::bigint as sha, false as touched, 0::bigint as ua, 0::bigint as ub from part
+union all
+select w.file,
+case when n > 0 and s1 <= a and e1 > a then p1 when m > 0 and s2 <= a and e2 > a then p2 else a + case when e1 <= a then o - n else 0 end + case when e2 <= a then 2 - m else 0 end end,
+case when m > 0 and s2 < b and e2 >= b then q2 when n > 0 and s1 < b and e1 >= b then q1 else b + case when s1 < b then o - n else 0 end + case when s2 < b then 2 - m else 0 end end,
+h.k, h.sha, (n > 0 and s1 < b and e1 > a) or (n = 0 and o > 0 and a < s1 and s1 < b) or (m > 0 and s2 < b and e2 > a) or (m = 0 and a < s2 and s2 < b), a, b
+from walk w join h on h.file = w.file and h.k = w.k + 1 where a < b)
+select file, sha, row_number() over (partition by file order by k) as nth, ua + 1 as start, ub as stop from walk where touched""")
+def line_range_history(t):
+    """The commits that touched ten lines of each file, found through the hunks of all commits."""
+    ranges = t.part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("file"), F.col("p_size").alias("start"), (F.col("p_size") + 10).alias("stop"))
+    return passes.line_history(hunks(t), ranges).select("file", "sha", "nth", "start", "stop")
