@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 # Names that are never reported as unused.
 STOP_FUNCTIONS = ("__init__", "main")
 
@@ -23,9 +25,14 @@ def call_sites(calls: DataFrame, functions: DataFrame, aliases: DataFrame) -> Da
 
 
 def reverse_calls(calls: DataFrame) -> DataFrame:
-    """(key, sites): all calls of each ``module.function``; sites in order."""
+    """(key, caller_module, line): the calls by ``module.function`` that they reach, in order of key and place.
+
+    One row a call, dealt by ranges of the whole row, so a function that everything
+    calls is spread over many tasks and no row grows with its callers.
+    """
     key = F.concat(F.coalesce("target", F.lit("")), F.lit("."), F.col("callee"))
-    return calls.groupBy(key.alias("key")).agg(F.array_sort(F.collect_list(F.struct("caller_module", "line"))).alias("sites"))
+    rows = calls.select(key.alias("key"), "caller_module", "line")
+    return rows.repartitionByRange("key", "caller_module", "line").sortWithinPartitions("key", "caller_module", "line")
 
 
 def loose_callers(calls: DataFrame, names: DataFrame) -> DataFrame:
@@ -75,17 +82,68 @@ def closure(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(root, node, depth) of edges(src, dst): nodes within ``depth`` hops at their least depth, direct ones at 1.
 
     Breadth first, one join a level; nodes met before are dropped at each level,
-    so a level holds each (root, node) once.
+    so a level holds each (root, node) once. Levels are written, so the plan of a
+    level doesn't hold those before it; it ends early where a level is empty.
     """
     step = roots.select(F.col("root"), F.col("root").alias("node"))
     seen = step.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
         nxt = step.join(edges, step["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
         step = nxt.join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        if d < depth:
+            step = written(step)
+            if step.isEmpty():
+                break
         seen = seen.unionByName(step.withColumn("depth", F.lit(d)))
     return seen.where("depth > 0")
 
 
+def condense(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, dst), all pairs of components of which one reaches the other, and (node, component) of all nodes.
+
+    Walks of doubled length, so a graph of n levels takes about log2(n) joins: with R
+    the pairs within 2^k steps and S those of exactly 2^k, R grows by S followed by R,
+    and S by S followed by itself. Nodes that reach each other become one at once,
+    under the smaller name, so a cycle's pairs are not made for long.
+    """
+    edges = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    members = written(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("component", F.col("node")))
+    reach, exact = written(edges.where("src <> dst")), written(edges)
+    pairs = reach.count()
+    while True:
+        behind = lambda x: x.select(F.col("src").alias("via"), F.col("dst").alias("to"))
+        after = lambda x, y: x.join(behind(y), x["dst"] == F.col("via")).select("src", F.col("to").alias("dst")).distinct()
+        more = written(reach.union(after(exact, reach).where("src <> dst")).distinct())
+        exact = written(after(exact, exact))
+        back = more.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        same = written(more.intersect(back).groupBy("src").agg(F.min("dst").alias("to")).where("to < src"))
+        merged = not same.isEmpty()
+        if merged:
+            more, exact = (written(_renamed(x, same)) for x in (more, exact))
+            more = more.where("src <> dst")
+            members = written(members.join(same, members["component"] == same["src"], "left").select("node", F.coalesce("to", "component").alias("component")))
+        now = more.count()
+        reach = more
+        if now == pairs and not merged:
+            return reach, members
+        pairs = now
+
+
+def _renamed(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    for end in ("src", "dst"):
+        to = names.select(F.col("src").alias(end), "to")
+        pairs = pairs.join(to, end, "left").withColumn(end, F.coalesce("to", end)).select("src", "dst")
+    return pairs.distinct()
+
+
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node) of all nodes that roots(root) reach at any depth, but not themselves."""
+    reach, members = condense(edges)
+    own = roots.join(members, roots["root"] == members["node"]).select("root", "component")
+    far = own.join(reach, own["component"] == reach["src"]).select("root", F.col("dst").alias("component"))
+    return far.union(own).join(members, "component").select("root", "node").where("root <> node").distinct()
+
+
 def granular(calls: DataFrame) -> DataFrame:
     """(module, dep, functions): the distinct functions that a module uses of each other module."""
     outside = calls.where(F.col("target") != F.col("caller_module"))

@@ -33,10 +33,9 @@ def alias_resolve(t):
     return _resolved(t).groupBy("caller_module", "target").agg(F.count("*").alias("n"))
 
 
-@query("J4 A31", "select target || '.' || callee as key, count(*) as n, string_agg(caller_module || ':' || line, ',' order by caller_module, line) as sites from resolved group by all", "functions calls resolved")
+@query("J4 A31", "select target || '.' || callee as key, caller_module, line from resolved", "functions calls resolved")
 def reverse_calls(t):
-    out = G.reverse_calls(_resolved(t))
-    return out.select("key", F.size("sites").cast("bigint").alias("n"), F.array_join(F.transform("sites", lambda s: F.concat(s["caller_module"], F.lit(":"), s["line"].cast("string"))), ",").alias("sites"))
+    return G.reverse_calls(_resolved(t))
 
 
 @query("J4 U7", "select caller_module, callee, line from calls where callee in (select name from functions where module = 'Brand#3') group by all", "functions calls")
@@ -136,6 +135,14 @@ def deps_transitive(t):
     return G.closure(_edges(t), t.supplier.select(F.col("s_suppkey").alias("root")), 3).select("root", "node", "depth")
 
 
+@query("G1 R7", f"""
+with recursive {_EDGES}, walk as (select s_suppkey as root, s_suppkey as node from supplier union select root, dst from walk join edges on src = node)
+select root, node from walk where node <> root""")
+def deps_reachable(t):
+    """What each module depends on at any depth, by condensation."""
+    return G.reachable(_edges(t), t.supplier.select(F.col("s_suppkey").alias("root")))
+
+
 @query("A22", "select caller_module as module, target as dep, string_agg(distinct callee || '/' || arity, ',' order by callee || '/' || arity) as functions from resolved where target <> caller_module group by all", "functions calls resolved")
 def deps_granular(t):
     return G.granular(_resolved(t))

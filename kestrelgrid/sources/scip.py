@@ -148,7 +148,8 @@ def convert(rows: DataFrame, docs: DataFrame | None = None) -> dict[str, DataFra
     used = rows.where(~is_definition & F.col("symbol").endswith("().")).select("file", F.col("symbol").alias("callee"), F.col("start_line").alias("line")).distinct()
     ranges = functions.select("file", F.col("start_line").alias("start"), F.col("end_line").alias("stop"), "symbol")
     calls = asof.enclosing(used, ranges, ["file"], "line").withColumnRenamed("symbol", "caller").where("caller <> callee")
-    reverse = calls.groupBy("callee").agg(F.array_sort(F.collect_list(F.struct("caller", "file", "line"))).alias("sites"))
+    # one row a call, in ranges of the whole row, however often one symbol is called
+    reverse = calls.select("callee", "caller", "file", "line").repartitionByRange("callee", "caller", "file", "line").sortWithinPartitions("callee", "caller", "file", "line")
     own = defined.select("file", "module").where("module is not null").distinct()
     named = rows.where(~is_definition & ((F.col("roles").bitwiseAND(IMPORT) > 0) | (F.col("start_line") <= IMPORT_LINES))).select("file", parts["module"].alias("module"))
     imports = named.where("module is not null").distinct().join(own, ["file", "module"], "left_anti")

@@ -237,3 +237,38 @@ def test_fallbacks_in_one_pass(spark):
         got = search.first_of(rows, [("none", F.col("n") > 9), ("high", F.col("n") > 3), ("all", F.lit(True))], few=few).orderBy("n").collect()
         assert [(r["n"], r["stage"], r["note"]) for r in got] == [(4, 1, "high"), (5, 1, "high")]
         assert search.first_of(rows, [("none", F.col("n") > 9)], few=few).count() == 0
+
+
+def test_reachable_deep_and_cyclic(spark):
+    """A path of 1,000 levels, cycles within cycles, and random graphs."""
+    import random
+
+    from kestrelgrid.operators import graph
+
+    r = random.Random(1)
+    deep = [(k, k + 1) for k in range(1000)]
+    cycles = [(2000 + k, 2000 + (k + 1) % 90) for k in range(90)] + [(2010, 2040), (2040, 3000), (3000, 3001), (3001, 3000), (4000, 4000), (4001, 2005)]
+    graphs = [deep, cycles, *[[(r.randrange(n), r.randrange(n)) for _ in range(n + n // 3)] for n in (6, 40, 90)]]
+    for edges in graphs:
+        behind = {}
+        for a, b in edges:
+            behind.setdefault(a, set()).add(b)
+        nodes = {x for e in edges for x in e}
+
+        def reached(root):
+            seen, wait = set(), [root]
+            while wait:
+                for b in behind.get(wait.pop(), ()):
+                    if b not in seen:
+                        seen.add(b)
+                        wait.append(b)
+            return seen
+
+        want = {x: reached(x) for x in nodes}
+        e = spark.createDataFrame(edges, "src long, dst long")
+        got = {}
+        for root, node in graph.reachable(e, spark.createDataFrame([(x,) for x in sorted(nodes)], "root long")).collect():
+            got.setdefault(root, set()).add(node)
+        assert got == {x: w - {x} for x, w in want.items() if w - {x}}
+        _, members = graph.condense(e)
+        assert {m["node"]: m["component"] for m in members.collect()} == {x: min([x, *[y for y in want[x] if x in want[y]]]) for x in nodes}
