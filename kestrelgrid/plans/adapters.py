@@ -88,11 +88,11 @@ def paths(t) -> DataFrame:
 
 
 def file_state(t, old: bool) -> DataFrame:
-    """Two states of the documents: different rows, and one in eleven changed."""
+    """Two states of a tree of files: all documents, at first with the benchmark's items, later without digits and with the pages."""
+    file = lambda rows, kind, key, text: rows.select(F.concat(F.lit(kind), F.col(key).cast("string")).alias("path"), F.md5(text.cast("binary")).alias("md5"))
     if old:
-        return t.documents.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("path"), F.md5(F.col("text").cast("binary")).alias("md5"))
-    changed = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    return t.documents.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("path"), F.md5(changed.cast("binary")).alias("md5"))
+        return file(t.documents, "d", "doc_id", F.col("text")).unionByName(file(t.benchmark, "b", "item_id", F.col("text")))
+    return file(t.documents, "d", "doc_id", F.translate("text", "0123456789", "")).unionByName(file(t.pages, "p", "page_id", F.col("html")))
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -119,6 +119,6 @@ CTE = {
     "zipf": "zipf as (select kw, df, 1.0::double / dense_rank() over (order by df) as zipf from df)",
     "source_lines": "source_lines as (select doc_id as file, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line, unnest(string_split(text, chr(10))) as text from documents)",
     "paths": "paths as (select page_id, regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) as path, url from pages)",
-    "old_state": "old_state as (select doc_id as path, md5(text) as md5 from documents where doc_id % 7 <> 0)",
-    "new_state": "new_state as (select doc_id as path, md5(case when doc_id % 11 = 0 then text || '!' else text end) as md5 from documents where doc_id % 5 <> 0)",
+    "old_state": "old_state as (select 'd' || doc_id as path, md5(text) as md5 from documents union all select 'b' || item_id, md5(text) from benchmark)",
+    "new_state": "new_state as (select 'd' || doc_id as path, md5(regexp_replace(text, '[0-9]', '', 'g')) as md5 from documents union all select 'p' || page_id, md5(html) from pages)",
 }

@@ -251,11 +251,11 @@ def blame_groups(t):
 
 
 @query("W7", """
-with c as (select file, line, text from source_lines where length(text) % 3 <> 0),
+with c as (select file, line, text from source_lines where contains(text, ',')),
 g as (select *, line - row_number() over (partition by file order by line) as island from c)
 select file, min(line) as start_line, max(line) as end_line, md5(string_agg(text, chr(10) order by line)) as body from g group by file, island""", "source_lines")
 def comment_blocks(t):
-    rows = J.adjacent(A.source_lines(t).where(F.length("text") % 3 != 0), ["file"], "line")
+    rows = J.adjacent(A.source_lines(t).where(F.contains("text", F.lit(","))), ["file"], "line")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
     return rows.groupBy("file", "island").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.md5(text.cast("binary")).alias("body")).drop("island")
 

@@ -192,15 +192,15 @@ def pr_for_line(t):
     return blame.join(H.pr_of_commit(A.pr_commits(t)), "sha", "left").select("event_id", "number")
 
 
-_MAP = """old as (select * from source_lines), new as (select file, line + file % 30 as line, text from source_lines where (line + file) % 17 <> 0),
-com as (select file * 1000 + line as id, file, line from old where line % 3 = 0),
+_MAP = """old as (select * from source_lines), new as (select file, line + file % 30 as line, text from source_lines where not regexp_matches(text, '[0-9]')),
+com as (select file * 1000000 + line as id, file, line from old),
 hit as (select c.id, min(n.line) as now from com c join old o on o.file = c.file and o.line = c.line join new n on n.file = c.file and trim(n.text, ' ') = trim(o.text, ' ') and abs(n.line - c.line) <= 20 group by c.id)"""
 
 
 def _remapped(t):
     old = A.source_lines(t)
-    new = old.where("(line + file) % 17 <> 0").select("file", (F.col("line") + F.col("file") % 30).alias("line"), "text")
-    comments = old.where("line % 3 = 0").select((F.col("file") * 1000 + F.col("line")).alias("id"), "file", "line")
+    new = old.where(~F.col("text").rlike("[0-9]")).select("file", (F.col("line") + F.col("file") % 30).alias("line"), "text")
+    comments = old.select((F.col("file") * 1_000_000 + F.col("line")).alias("id"), "file", "line")
     return H.remap(comments, old, new)
 
 

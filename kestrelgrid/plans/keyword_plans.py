@@ -96,10 +96,10 @@ def search_wildcard(t):
 
 @query("K4 P4", """
 with q as (select * from (values ('gear', 1.0::double), ('hot_gear', 1.0), ('hot_gear', 0.5)) x(term, decay))
-select fid as entity, sum(3.0 * decay) as bonus from functions join q on lower(name) = term where not (name = 'hot_gear' and fid % 3 = 0) group by fid""", "functions")
+select fid as entity, sum(3.0 * decay) as bonus from functions join q on lower(name) = term where not (name = 'hot_gear' and ftype = 'defp') group by fid""", "functions")
 def search_name_hit(t):
     fn = A.functions(t).withColumnRenamed("fid", "entity")
-    keywords = fn.where("name = 'hot_gear' and entity % 3 = 0").select("entity", F.col("name").alias("kw"))
+    keywords = fn.where("name = 'hot_gear' and ftype = 'defp'").select("entity", F.col("name").alias("kw"))
     q = t.spark.createDataFrame([("gear", 1.0), ("hot_gear", 1.0), ("hot_gear", 0.5)], "term string, decay double")
     return search.name_hits(fn, T.simple_name(T.canonical(F.col("module"), F.col("name"), F.col("arity"))), q, keywords)
 
@@ -159,13 +159,13 @@ def percentile_ranks(t):
 
 
 @query("J16 K11", """
-with a as (select s_suppkey as k, 100.0::double * row_number() over (order by s_acctbal, s_suppkey desc) / count(*) over () as pct from supplier where s_suppkey % 3 <> 0),
-b as (select s_suppkey as k, 100.0::double * row_number() over (order by s_nationkey, s_suppkey desc) / count(*) over () as pct from supplier where s_suppkey % 2 = 0)
+with a as (select s_suppkey as k, 100.0::double * row_number() over (order by s_acctbal, s_suppkey desc) / count(*) over () as pct from supplier where s_acctbal > 0),
+b as (select s_suppkey as k, 100.0::double * row_number() over (order by s_nationkey, s_suppkey desc) / count(*) over () as pct from supplier where s_nationkey < 20)
 select k, round(case when a.pct is not null and b.pct is not null then least(greatest(a.pct, b.pct) * 1.5, 100) else coalesce(a.pct, b.pct) end, 6) as confidence, case when a.pct is not null and b.pct is not null then 'both' when a.pct is not null then 'keyword' else 'semantic' end as found_by from a full join b using (k)""")
 def hybrid_merge(t):
     s = t.supplier.withColumnRenamed("s_suppkey", "k")
-    a = S.positional_percentile(s.where("k % 3 <> 0"), "s_acctbal", "k").select("k", "pct")
-    b = S.positional_percentile(s.where("k % 2 = 0"), "s_nationkey", "k").select("k", "pct")
+    a = S.positional_percentile(s.where("s_acctbal > 0"), "s_acctbal", "k").select("k", "pct")
+    b = S.positional_percentile(s.where("s_nationkey < 20"), "s_nationkey", "k").select("k", "pct")
     return search.hybrid(a, b, ["k"]).select("k", F.round("confidence", 6).alias("confidence"), "found_by")
 
 

@@ -25,25 +25,29 @@ def merge_first_wins(t):
     return M.merge([A.file_state(t, True), A.file_state(t, False)], ["path"], last_wins=False)
 
 
-@query("U3 K22", "select path, md5 from new_state where path % 3 = 0 union all select path, md5 from old_state where path % 10 <> 0 and path not in (select path from new_state where path % 3 = 0)", "old_state new_state")
+@query("U3 K22", "select path, md5 from new_state", "old_state new_state")
 def merge_incremental(t):
-    old, fresh = A.file_state(t, True), A.file_state(t, False).where("path % 3 = 0")
-    return M.upsert(old, fresh, ["path"], gone=old.where("path % 10 = 0 and path % 3 <> 0").union(old.where("path % 10 = 0")))
+    """The old state with what a diff says has come, changed or gone is the new one."""
+    old, new = A.file_state(t, True), A.file_state(t, False)
+    status = M.diff(old, new)
+    fresh = new.join(status.where("status in ('new', 'modified')").select("path"), "path", "left_semi")
+    return M.upsert(old, fresh, ["path"], gone=status.where("status = 'deleted'"))
 
 
-@query("J24", "select n.path, n.md5, coalesce(case when n.path % 2 = 0 then 'fresh' end, case when o.md5 = n.md5 then 'kept' end) as note from new_state n left join old_state o on o.path = n.path", "old_state new_state")
+@query("J24", "select n.path, n.md5, coalesce(case when n.path like 'p%' then 'fresh' end, case when o.md5 = n.md5 then 'kept' end) as note from new_state n left join old_state o on o.path = n.path", "old_state new_state")
 def reuse_unchanged(t):
     old = A.file_state(t, True).select("path", F.col("md5").alias("was"), F.lit("kept").alias("note"))
-    fresh = A.file_state(t, False).withColumn("note", F.when(F.col("path") % 2 == 0, "fresh"))
+    fresh = A.file_state(t, False).withColumn("note", F.when(F.startswith("path", F.lit("p")), "fresh"))
     fresh = fresh.join(old.select("path", "was"), "path", "left")
     return M.reuse(fresh, old, ["path"], ["note"], F.col("was") == F.col("md5")).select("path", "md5", "note")
 
 
-@query("U4 K21", "select number, title from prs where number % 2 = 0 union all select number, 'old ' || title from prs where number % 2 <> 0 and number % 3 = 0", "prs")
+@query("U4 K21", "select number, case when state = 'O' then title else 'old ' || title end as title from prs", "prs")
 def pr_merge(t):
-    p = A.prs(t).select("number", "title")
-    old = p.where("number % 3 = 0").withColumn("title", F.concat(F.lit("old "), F.col("title")))
-    return M.upsert(old, p.where("number % 2 = 0"), ["number"])
+    """Pull requests that are still open are fetched again, over an index of all."""
+    p = A.prs(t)
+    old = p.select("number", F.concat(F.lit("old "), F.col("title")).alias("title"))
+    return M.upsert(old, p.where("state = 'O'").select("number", "title"), ["number"])
 
 
 @query("U5", "select path from old_state except select path from new_state", "old_state new_state")
@@ -87,14 +91,18 @@ def repo_id(t):
     return t.pages.select("page_id", F.substring(F.sha2(F.col("url").cast("binary"), 256), 1, 16).alias("repo"))
 
 
-@query("R15", "select page_id, coalesce(case when page_id % 4 = 0 then path end, case when page_id % 3 = 0 then 'src/' || path end, case when page_id % 2 = 0 then 'lib/' || path end) as found from paths", "paths")
+@query("R15", """
+with c as (select page_id, path, string_split(path, '/') as s from paths),
+k as (select page_id, array_to_string(s[-n:], '/') as c, n from c, (values (1), (2), (1000)) x(n))
+select c.page_id, f.found from c left join (select page_id, min_by(k.c, k.n) as found from k where k.c in (select path from paths) group by page_id) f on f.page_id = c.page_id""", "paths")
 def snippet_path(t):
-    """The first candidate location that exists."""
+    """The first candidate that is a file: the last part of a path, its last two, all of it."""
     p = A.paths(t).select("page_id", "path")
-    found = [p.where(f"page_id % {k} = 0").select("page_id", F.concat(F.lit(pre), F.col("path")).alias(f"c{k}")) for k, pre in ((4, ""), (3, "src/"), (2, "lib/"))]
-    for f in found:
-        p = p.join(f, "page_id", "left")
-    return p.select("page_id", F.coalesce("c4", "c3", "c2").alias("found"))
+    parts = F.split("path", "/")
+    tail = lambda n: F.array_join(F.slice(parts, -F.least(F.lit(n), F.size(parts)), F.lit(n)), "/")
+    asked = p.select("page_id", F.posexplode(F.array(tail(1), tail(2), F.col("path"))).alias("nth", "path"))
+    found = asked.join(p.select("path").distinct(), "path", "left_semi").groupBy("page_id").agg(F.min_by("path", "nth").alias("found"))
+    return p.select("page_id").join(found, "page_id", "left")
 
 
 @query("A33", "select max(ts) as newest, max(ts) > timestamp '2024-01-15' as stale from events")
@@ -102,8 +110,8 @@ def staleness(t):
     return t.events.agg(F.max("ts").alias("newest"), (F.max("ts") > F.lit("2024-01-15").cast("timestamp_ntz")).alias("stale"))
 
 
-@query("R5 U4", "select number from prs where number % 3 = 0 and number <= (select max(number) from prs where number % 2 = 0 and state = 'F')", "prs")
+@query("R5 U4", "select number from prs where state = 'O' and number <= (select max(number) from prs where state = 'F')", "prs")
 def partial_fetch(t):
     """Of a fetch that broke off, the rows that may be saved."""
     prs = A.prs(t)
-    return M.may_save(prs.where("number % 3 = 0"), prs.where("number % 2 = 0 and state = 'F'"), complete=False).select("number")
+    return M.may_save(prs.where("state = 'O'"), prs.where("state = 'F'"), complete=False).select("number")

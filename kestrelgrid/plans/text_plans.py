@@ -41,10 +41,10 @@ def doc_excerpt(t):
     return t.documents.select("doc_id", T.excerpt(F.col("text"), "heat").alias("cut"))
 
 
-@query("X12", "select doc_id, 'docs: ' || doc_id || ' strings: ' || string_agg(lang, ', ' order by lang) as context from (select doc_id, lang from documents union all select doc_id, source from documents) group by doc_id")
+@query("X12", "select doc_id, 'docs: ' || text[:80] || ' strings: ' || array_to_string(list_sort([lang, source]), ', ') as context from documents")
 def matched_context(t):
     both = F.array_sort(F.array("lang", "source"))
-    return t.documents.select("doc_id", F.concat_ws(" ", F.lit("docs:"), F.col("doc_id").cast("string"), F.lit("strings:"), F.array_join(F.slice(both, 1, 3), ", ")).alias("context"))
+    return t.documents.select("doc_id", F.concat_ws(" ", F.lit("docs:"), F.left("text", F.lit(80)), F.lit("strings:"), F.array_join(F.slice(both, 1, 3), ", ")).alias("context"))
 
 
 @query("X21", """
@@ -75,9 +75,12 @@ def split_display(t):
 
 
 @query("X14", """
-select doc_id, md5('  ' || lang || chr(10) || chr(10) || source) as body from documents""")
+with l as (select doc_id, list_transform(string_split(text, chr(10)), lambda x, i: repeat(' ', 2 + i % 3) || x) as l from documents),
+m as (select *, list_min(list_transform(list_filter(l, lambda x: trim(x, ' ') <> ''), lambda x: length(x) - length(ltrim(x, ' ')))) as least from l)
+select doc_id, md5(array_to_string(list_transform(l, lambda x: case when trim(x, ' ') = '' then '' else x[least + 1:] end), chr(10))) as body from m""")
 def dedent(t):
-    lines = F.array(F.concat(F.lit("      "), "lang"), F.lit("  "), F.concat(F.lit("    "), "source"))
+    """The lines of every document, indented by their place, without what all have in common."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.repeat(F.lit(" "), 2 + (i + 1) % 3), x))
     return t.documents.select("doc_id", F.md5(F.array_join(T.dedent(lines), "\n").cast("binary")).alias("body"))
 
 
@@ -89,34 +92,43 @@ def symbol_parse(t):
     return A.functions(t).select("fid", *[s[c].alias(c) for c in ("module", "parent", "name", "kind", "private")])
 
 
-@query("X28", "select fid, replace(replace(file, '.ex', ''), '/', '.') as module from functions where not contains(file, 'exs')", "functions")
+@query("X28", "select fid, replace(regexp_replace(file, '[.]exs?$', ''), '/', '.') as module from functions", "functions")
 def path_to_module(t):
-    return A.functions(t).where(~F.contains("file", F.lit("exs"))).select("fid", T.path_to_module(F.regexp_replace("file", "[.]ex$", ".py")).alias("module"))
+    return A.functions(t).select("fid", T.path_to_module(F.regexp_replace("file", "[.]exs?$", ".py")).alias("module"))
 
 
-@query("X27", "select doc_id, case doc_id % 4 when 0 then 'class' when 1 then 'interface' when 2 then 'enum' end as kind from documents")
+_KIND = "case when contains(lower({0}), 'class ') then 'class' when contains(lower({0}), 'interface ') then 'interface' when contains(lower({0}), 'type ') then 'type' when contains(lower({0}), 'enum ') then 'enum' end as kind"
+
+
+@query("X27", f"select page_id, {_KIND.format('html')} from pages union all select conv_id * 1000 + turn, {_KIND.format('text')} from conversations")
 def fence_kind(t):
-    k = F.col("doc_id") % 4
-    return t.documents.select("doc_id", T.fence_kind(F.when(k == 0, "```ts\nclass A").when(k == 1, "interface B {").when(k == 2, "enum C").otherwise("let x")).alias("kind"))
+    """Kinds that the texts of pages and conversations name."""
+    pages = t.pages.select("page_id", T.fence_kind(F.col("html")).alias("kind"))
+    return pages.unionByName(t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), T.fence_kind(F.col("text")).alias("kind")))
+
+
+_BARE = r"regexp_replace(regexp_replace(html, '(?s)/\*.*?\*/', '', 'g'), '(?m)^\s*(//|#).*$', '', 'g')"
+_QUOTED = "list_filter(regexp_extract_all(html, '\"[^\"\\n]*\"|''[^''\\n]*'''), lambda x: length(x) >= 5)"
 
 
-@query("X18 E13", """select page_id, len(regexp_extract_all(html, '"[^"\\n]{3,}"')) > 0 as has_strings from (select page_id, regexp_replace(html, '''', '', 'g') as html from pages)""")
+@query("X18 E13", f"select page_id, literal, count(*) as times from (select page_id, unnest({_QUOTED}) as literal from (select page_id, {_BARE} as html from pages)) group by all")
 def string_scan(t):
-    return t.pages.select("page_id", (F.size(F.filter(T.string_literals(F.regexp_replace(F.regexp_replace("html", "'", ""), "(?m)^\\s*(//|#).*$", "")), lambda x: x.startswith('"'))) > 0).alias("has_strings"))
+    """The string literals of every page, with how often each occurs."""
+    return t.pages.select("page_id", F.explode(T.string_literals(F.col("html"))).alias("literal")).groupBy("page_id", "literal").agg(F.count("*").alias("times"))
 
 
-@query("P5 P1", "select doc_id, md5(concat_ws(chr(10) || chr(10), 'doc ' || doc_id, case when doc_id % 3 = 0 then lang end, source)) as body from documents")
+@query("P5 P1", "select doc_id, md5(concat_ws(chr(10) || chr(10), nullif(trim(source, ' '), ''), nullif(trim(lang, ' '), ''), nullif(trim(text, ' '), ''))) as body from documents")
 def embedding_text(t):
-    parts = (F.concat(F.lit("doc "), F.col("doc_id").cast("string")), F.when(F.col("doc_id") % 3 == 0, F.col("lang")), F.col("source"))
+    parts = [F.col(c) for c in ("source", "lang", "text")]
     return t.documents.select("doc_id", F.md5(T.embedding_text(*parts).cast("binary")).alias("body"))
 
 
-@query("P9", "select module, count(*) as items, max(line) as last_line from functions group by module", "functions")
+@query("P9", "select fid, module, name, arity, line from functions", "functions")
 def usage_json(t):
-    """Nested JSON and back: compared by its parsed parts."""
-    nested = A.functions(t).groupBy("module").agg(F.to_json(F.collect_list(F.struct("name", "arity", "line"))).alias("j"))
-    back = F.from_json("j", "array<struct<name string, arity bigint, line bigint>>")
-    return nested.select("module", F.size(back).cast("bigint").alias("items"), F.array_max(F.transform(back, lambda x: x["line"])).alias("last_line"))
+    """Each definition as nested JSON, and back; one document a definition, so none grows with its module."""
+    nested = A.functions(t).select("fid", F.to_json(F.struct("module", F.struct("name", "arity", "line").alias("function"))).alias("j"))
+    back = F.from_json("j", "module string, function struct<name string, arity bigint, line bigint>")
+    return nested.select("fid", back.alias("b")).select("fid", "b.module", "b.function.*")
 
 
 @query("P7 P8", "select fid, name || '(' || list_aggregate(list_transform(range(arity), lambda i: 'a' || i || ': int'), 'string_agg', ', ') || ') -> str' as signature from functions where arity > 0", "functions")
@@ -126,14 +138,18 @@ def signature_build(t):
 
 
 @query("S11 E15", """
-with c as (select fid, 'def ' || name || '(' || list_aggregate(list_transform(range(arity), lambda i: 'a' || i), 'string_agg', ', ') || '):' as code, name, arity from functions where arity > 0)
-select fid, name, arity from c""", "functions")
+with w as (select file, regexp_extract_all(text, '[a-z]+') as w from source_lines)
+select file, w[1] as name, len(w) - 1 as arity, count(*) as times from w where len(w) > 0 group by all""", "source_lines")
 def signature_scan(t):
+    """Signatures in sources with a definition for each line of a document: its first word with the others as arguments."""
     from ..sources.signatures import scan
 
-    args = F.array_join(F.transform(F.sequence(F.lit(0), F.col("arity") - 1), lambda i: F.concat(F.lit("a"), i.cast("string"))), ", ")
-    code = A.functions(t).where("arity > 0").select("fid", F.concat(F.lit("def "), "name", F.lit("("), args, F.lit("):")).alias("source"))
-    return scan(code, "source", "python").select("fid", "name", "arity")
+    words = F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))
+    lines = A.source_lines(t).select("file", "line", F.translate("text", "\r", " ").alias("text"), words.alias("w"))
+    head = F.concat(F.lit("def "), F.col("w")[0], F.lit("("), F.array_join(F.slice("w", F.lit(2), F.size("w")), ", "), F.lit("):\n    # "), "text")
+    code = lines.select("file", F.struct("line", F.when(F.size("w") > 0, head).otherwise(F.concat(F.lit("# "), "text")).alias("code")).alias("l"))
+    code = code.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["code"]), "\n").alias("source"))
+    return scan(code, "source", "python").groupBy("file", "name", "arity").agg(F.count("*").alias("times"))
 
 
 @query("O7", "select doc_id, list_slice(string_split(text, ' '), 1, 5)::varchar[] as head from documents")
