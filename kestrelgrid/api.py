@@ -20,6 +20,7 @@ from .functions import text as T
 from .operators import graph, history, merge, pairs, search, usage, vector
 from .operators import keywords as K
 from .plans import planner
+from .sources.shared import written
 
 # Hits taken from each source before options filter them, compact results of module search.
 INTERNAL_LIMIT, MODULE_LIMIT = 100, 20
@@ -130,8 +131,9 @@ class CodeIndex:
         out = S.distribution(rows, few=True)  # INTERNAL_LIMIT rows a source at most
         return out.withColumn("tier", S.tier(F.col("z"))).drop("mean", "sd")
 
-    def call_sites(self) -> DataFrame:
-        return graph.call_sites(self.calls, self.functions, self.aliases)
+    def call_sites(self, functions: DataFrame | None = None) -> DataFrame:
+        """Resolved calls of the functions (all): (module, name, arity)."""
+        return graph.call_sites(self.calls, self.functions if functions is None else functions, self.aliases)
 
     def search_function(self, pattern: str, usage_type: str = "all", glob: str | None = None, changed_since: str | None = None, now: datetime | None = None, offset: int = 0, limit: int = 10) -> DataFrame:
         """Definitions that match, with their calling modules; of fallbacks the first that finds any."""
@@ -143,8 +145,9 @@ class CodeIndex:
         match = lambda p: P.function_match(p, F.col("module"), F.col("file"), F.col("name"), F.col("arity"))
         found = search.first_of(docs, [(note, match(p)) for note, p in planner.relaxed(pattern)])
         # of clauses and repeated definitions the first line
-        found = graph.consolidate(found, ["module", "name"], "arity", ["line", "file"])
-        sites = self.call_sites()
+        found = written(graph.consolidate(found, ["module", "name"], "arity", ["line", "file"]))
+        # only calls of what was found are gathered
+        sites = self.call_sites(found.select("module", "name", "arity"))
         if usage_type != "all":
             test = P.is_test_usage(F.col("caller_file"))
             sites = sites.where(test if usage_type == "tests" else ~test)

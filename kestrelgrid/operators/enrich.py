@@ -1,12 +1,14 @@
 """Keyword enrichment of an index in phases, each a table of its own.
 
-A phase that has ended is read again, so an enrichment that was broken off goes
-on with the next one. Phases are plans over whole tables: documents' words,
-string literals and comments with their boosts, and the merge of all sources.
+A phase's table is named by what went into it, so an enrichment that was broken
+off goes on with the next phase, and one whose input has changed since is made
+anew. Phases are plans over whole tables: documents' words, string literals and
+comments with their boosts, and the merge of all sources.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,17 +46,32 @@ def _merged(tables: dict[str, DataFrame]) -> DataFrame:
     return K.merge_sources(every, BOOSTS)
 
 
-PHASES: tuple[tuple[str, Callable[[dict[str, DataFrame]], DataFrame]], ...] = (("docs", _docs), ("strings", _literals("strings")), ("comments", _literals("comments")), ("entity_keywords", _merged))
+#: Name, plan and input tables of each phase.
+PHASES: tuple[tuple[str, Callable[[dict[str, DataFrame]], DataFrame], tuple[str, ...]], ...] = (
+    ("docs", _docs, ("entities",)),
+    ("strings", _literals("strings"), ("literals",)),
+    ("comments", _literals("comments"), ("literals",)),
+    ("entity_keywords", _merged, ("entities", "literals")),
+)
+
+
+def _stamp(table: DataFrame) -> str:
+    """A hash of the rows in whatever order, repeats counted: one aggregate over the table."""
+    row = F.xxhash64(*[F.col(c) for c in sorted(table.columns)])
+    n, both, all_ = table.agg(F.count("*"), F.coalesce(F.bit_xor(row), F.lit(0)), F.coalesce(F.sum(F.pmod(row, F.lit(1 << 40))), F.lit(0))).first()
+    return f"{n}:{both}:{all_}"
 
 
 def enrich(spark: SparkSession, tables: dict[str, DataFrame], folder: str, until: str | None = None) -> dict[str, DataFrame]:
     """The tables and those of all phases up to ``until``; ends of phases are the writer's own success marks."""
     out = dict(tables)
-    for name, build in PHASES:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/_SUCCESS")
+    stamps = {name: _stamp(tables[name]) for name in ("entities", "literals")}
+    for name, build, inputs in PHASES:
+        at = f"{folder}/{name}-{hashlib.sha256(repr([stamps[i] for i in inputs]).encode()).hexdigest()[:16]}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
         if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            build(out).write.mode("overwrite").parquet(f"{folder}/{name}")
-        out[name] = spark.read.parquet(f"{folder}/{name}")
+            build(out).write.mode("overwrite").parquet(at)
+        out[name] = spark.read.parquet(at)
         if name == until:
             break
     return out

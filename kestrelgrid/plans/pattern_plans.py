@@ -60,7 +60,6 @@ def pat_function(t):
 @query("K8", "select fid, name, 1.0::double as score from functions where lower(name) like '%ring%' or lower(module) = 'brand#5' and lower(name) like 's%'", "functions")
 def pattern_search(t):
     fn = A.functions(t)
-    hit = P.wildcard(F.col("name"), "*ring*") | P.function_match("*#5.s*", F.col("module"), F.col("file"), F.col("name"), F.col("arity"))
     hit = P.wildcard(F.col("name"), "*ring*") | (P.qualified(F.col("module"), "Brand#5") & P.wildcard(F.col("name"), "s*"))
     return fn.where(hit).select("fid", "name", F.lit(1.0).alias("score"))
 

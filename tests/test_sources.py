@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from kestrelgrid.sources import files, git, index, logs, parsers, scip, signatures
@@ -238,8 +239,69 @@ def test_enrichment_goes_on_after_a_break(spark, tmp_path):
     }
     first = enrich.enrich(spark, tables, str(tmp_path), until="strings")
     assert "comments" not in first and first["strings"].count() == 2
-    other = tables | {"literals": tables["literals"].where("false")}
-    done = enrich.enrich(spark, other, str(tmp_path))
-    assert done["strings"].count() == 2 and done["comments"].count() == 0  # what had ended isn't made again
+    made = {p: p.stat().st_mtime_ns for p in tmp_path.glob("*/_SUCCESS")}
+    done = enrich.enrich(spark, tables, str(tmp_path))
+    assert all(p.stat().st_mtime_ns == t for p, t in made.items()) and len(list(tmp_path.glob("*/_SUCCESS"))) == 4  # what had ended isn't made again
     rows = {r["kw"]: (round(r["weight"], 3), r["sources"]) for r in done["entity_keywords"].collect()}
-    assert rows["failure"] == (1.3, "strings") and rows["disk"][1] == "docs+strings" and rows["user"][0] == 1.5
+    assert rows["failure"] == (1.3, "strings") and rows["disk"][1] == "comments+docs+strings" and rows["user"][0] == 1.5
+    # an input that has changed is
+    other = tables | {"literals": tables["literals"].where("kind = 'comment'")}
+    again = enrich.enrich(spark, other, str(tmp_path))
+    assert again["strings"].count() == 0 and {r["kw"] for r in again["entity_keywords"].collect()} == set(rows) - {"failure"}
+    assert all(p.stat().st_mtime_ns == t for p, t in made.items())
+
+
+def test_enrichment_of_each_language(spark, tmp_path):
+    """Sources of three languages through their scans, enrichment and a search."""
+    from kestrelgrid.operators import enrich, search
+    from kestrelgrid.operators import keywords as K
+    from kestrelgrid.functions import scores as S
+    from kestrelgrid.sources import enrichment
+
+    def field(number, value):
+        if isinstance(value, int):
+            return bytes([number << 3, value])
+        size = [len(value)] if len(value) < 128 else [len(value) & 127 | 128, len(value) >> 7]
+        return bytes([number << 3 | 2, *size]) + value
+
+    symbol = "s p k `billing`/charge_card()."
+    occurrence = field(2, field(1, bytes([0, 0, 3])) + field(2, symbol.encode()) + field(3, 1))
+    said = field(3, field(1, symbol.encode()) + field(3, b"```python\ndef charge_card(amount)\n```") + field(3, b"Takes money, once."))
+    scip_files = spark.createDataFrame([(bytearray(field(2, field(1, b"billing.py") + occurrence + said)),)], "content binary")
+    python = spark.createDataFrame([("billing.py", 'def charge_card(amount):\n    """doc"""\n    return "declined payment"\n')], "path string, source string")
+    erlang = spark.createDataFrame([("depot.erl", "-module(depot).\n-export([ship/1]).\n%% @doc Sends a parcel abroad\n%% slowly\nship(X) -> io:format(\"parcel lost\"), X.\n")], "file string, source string")
+    elixir = spark.createDataFrame([("depot.ex", 'defmodule Depot do\n  @doc "Weighs parcels"\n  # rounding matters\n  def weigh(p) do\n    Logger.info("scale broken")\n  end\nend\n')], "file string, source string")
+    parts = {"python": enrichment.python(scip_files, python), "erlang": enrichment.erlang(erlang), "elixir": enrichment.elixir(elixir)}
+    for name, tables in parts.items():
+        k = enrich.enrich(spark, tables, str(tmp_path / name))["entity_keywords"]
+        k = k.join(S.zipf(K.document_frequency(k)).select("kw", "zipf"), "kw")
+        find = lambda *words, k=k: {r["entity"] for r in search.exact(k, search.terms(spark, list(words)), len(words)).collect()}
+        want = {"python": ("billing.charge_card/0", ["money", "declined", "charge"]), "erlang": ("depot.ship/1", ["parcel", "abroad", "slowly", "lost"]), "elixir": ("Depot.weigh/1", ["parcels", "rounding", "broken"])}[name]
+        for word in want[1]:
+            assert find(word) == {want[0]}, (name, word)
+
+
+def test_logged_calls(spark, tmp_path):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from kestrelgrid.operators import usage
+    from kestrelgrid.sources import logs
+
+    path, noon = str(tmp_path / "log"), datetime(2024, 5, 1, 12)
+    rows = logs.call(spark, path, "query", lambda: spark.range(3), "r1", noon)
+    assert [r["id"] for r in rows] == [0, 1, 2]
+    with pytest.raises(Exception, match="nosuch"):
+        logs.call(spark, path, "query", lambda: spark.range(3).select("nosuch"), "r1", noon)
+    with pytest.raises(ZeroDivisionError):
+        logs.call(spark, path, "search_module", lambda: 1 / 0, None, noon)
+    log = logs.read(spark, path)
+    got = {(r["tool_name"], r["success"]): r for r in log.collect()}
+    assert len(got) == 3 and got["query", True]["response"].count("\n") == 2 and got["query", True]["error"] is None
+    assert "nosuch" in got["query", False]["error"] and "\n" not in got["query", False]["error"] and got["search_module", False]["error"] == "division by zero"
+    assert all(r["execution_time_ms"] > 0 for r in got.values())
+    log = log.withColumn("tokens", F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0)))
+    stats = {r["tool_name"]: (r["calls"], r["success_pct"]) for r in usage.by_tool(log).collect()}
+    assert stats == {"query": (2, 50.0), "search_module": (1, 0.0)}
+    assert [(r["day"], r["calls"]) for r in usage.daily(log).collect()] == [("2024-05-01", 3)]
