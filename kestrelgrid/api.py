@@ -96,6 +96,22 @@ class CodeIndex:
         best = search.best_per_name(rows.drop("stage"), "entity", "score", "name")
         return self._graded(best).orderBy(F.col("score").desc(), "name", "entity").offset(offset).limit(limit)
 
+    def near_terms(self, query, n: int = 5) -> list[str]:
+        """Words of the index like those of a query: one holds the other, or they begin alike for four letters or more; the closest in length first."""
+        asked = [t for t, _, _ in search.term_groups(planner.read_query(query)["keywords"]) if len(t.strip("*")) > 2]
+        if not asked:
+            return []
+        kw, tests = F.col("kw"), []
+        for term in (t.strip("*").lower() for t in asked):
+            alike = F.contains(kw, F.lit(term)) | (F.contains(F.lit(term), kw) & (F.length(kw) > 3)) | (F.startswith(kw, F.lit(term[:4])) & F.lit(len(term) > 3))
+            tests.append(F.when(alike & (kw != term), F.abs(F.length(kw) - len(term))))
+        words = self.entity_keywords.select("kw").distinct().withColumn("apart", F.array_min(F.array_compact(F.array(*tests)))).where("apart is not null")
+        return [r["kw"] for r in words.orderBy("apart", "kw").limit(n).collect()]
+
+    def hints(self, query, **options) -> list[str]:
+        """What to try when a query found nothing, with words that the index has."""
+        return planner.hints(planner.read_query(query), options, self.near_terms(query))
+
     def _keyword_hits(self, docs: DataFrame, keywords: list[str | list[str]], source: str) -> DataFrame:
         weighted = self.weighted(source)
         weighted = weighted.join(S.zipf(K.document_frequency(weighted)).select("kw", "zipf"), "kw")

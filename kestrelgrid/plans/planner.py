@@ -107,7 +107,7 @@ def json_query(rows: DataFrame, column: str, query: str, sample: bool = False) -
                 out = out.select(F.explode(F.from_json("value", "array<string>")).alias("value"))
             out = out.where("value is not null")
         else:
-            raise ValueError(f"not supported: {stage}")
+            raise ValueError(f"not supported: {stage}; beyond paths, keys, length, schema and select use Spark SQL over the index's tables")
     return out.limit(SAMPLE_ROWS) if sample else out
 
 
@@ -136,9 +136,9 @@ def relaxed(pattern: str) -> list[tuple[str, str]]:
     return [(note, text) for note, alternatives in tries.items() if (text := "|".join(alternatives))]
 
 
-def hints(said: dict[str, list], options: dict) -> list[str]:
-    """What to try when nothing was found."""
-    out = []
+def hints(said: dict[str, list], options: dict, near: list[str] | None = None) -> list[str]:
+    """What to try when nothing was found; ``near``: words of the index like those that were asked for."""
+    out = [f"did you mean {', '.join(near)}?"] if near else []
     if options.get("recent"):
         out.append("look at older code too")
     if options.get("scope", "all") != "all":

@@ -20,13 +20,14 @@ _LOG_MEASURES = "count(*) as calls, round(coalesce(100.0::double * count(*) filt
 
 @query("T7 T3", f"select date_trunc('day', ts)::timestamp as day, tool_name, {_LOG_MEASURES} from tool_log group by all", "tool_log")
 def stream_tool_log(t):
-    """Daily measures by tool from the events as a stream; the last state of each window counts, also of those still open at the end."""
+    """Daily measures by tool from the events as a stream: sums of each micro-batch, put together over all of them, so no row comes too late."""
     folder = shared_folder(t.spark)
     log = _stream(t, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("tool_name"), F.col("value").alias("execution_time_ms"), (F.col("event_type") != "error").alias("success"), F.get_json_object("props", "$.k").cast("bigint").alias("tokens"))
-    out = feeds.usage_windows(log)
-    state = feeds.ChangeLog(t.spark, f"{folder}/windows", out.schema.toDDL(), ["day", "tool_name"], ["calls"])
-    feeds.follow(out, state.add, f"{folder}/checkpoint", every=None).awaitTermination()
-    return state.rows().withColumn("day", F.col("day").cast("timestamp_ntz"))
+    # named by the batch number of the checkpoint, so a batch that is run again replaces itself
+    keep = lambda batch, number: feeds.usage_parts(batch).write.mode("overwrite").parquet(f"{folder}/windows/batch={number}")
+    feeds.follow(log, keep, f"{folder}/checkpoint", every=None).awaitTermination()
+    parts = feeds.batches(t.spark, f"{folder}/windows", "day timestamp, tool_name string, calls long, succeeded long, total_ms double, timed long, tokens long, batch long")
+    return feeds.merged_usage(parts).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 @query("T1 T4 T5 R13", "select doc_id as path, md5(text) as md5 from documents")

@@ -92,8 +92,22 @@ def follow(rows: DataFrame, keep: Callable[[DataFrame, int], None], checkpoint:
     return (writer.trigger(processingTime=f"{every} seconds") if every is not None else writer.trigger(availableNow=True)).start()
 
 
+def usage_parts(batch: DataFrame, width: str = "1 day") -> DataFrame:
+    """Sums of one micro-batch by tool and tumbling window; a window that goes on in another batch has a part in each."""
+    ok = F.count_if("success").alias("succeeded")
+    out = batch.groupBy(F.window("ts", width), "tool_name").agg(F.count("*").alias("calls"), ok, F.sum("execution_time_ms").alias("total_ms"), F.count("execution_time_ms").alias("timed"), F.sum("tokens").alias("tokens"))
+    return out.select(F.col("window.start").alias("day"), *[c for c in out.columns if c != "window"])
+
+
+def merged_usage(parts: DataFrame) -> DataFrame:
+    """Usage measures by tool and window from the parts of all batches: no row is late, and open windows count."""
+    calls, total = F.sum("calls"), F.sum("total_ms")
+    pct, mean = U.ratio(F.lit(100.0) * F.sum("succeeded"), calls), total / F.nullif(F.sum("timed"), F.lit(0))
+    return parts.groupBy("day", "tool_name").agg(calls.alias("calls"), F.round(pct, 6).alias("success_pct"), F.round(total, 6).alias("total_ms"), F.round(mean, 6).alias("avg_ms"), F.sum("tokens").alias("tokens"))
+
+
 def usage_windows(log: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Usage measures by tool and tumbling window."""
+    """Usage measures by tool and tumbling window, with bounded state: rows more than ``late`` behind the newest are dropped."""
     out = log.withWatermark("ts", late).groupBy(F.window("ts", width), "tool_name").agg(*U.measures())
     return out.select(F.col("window.start").alias("day"), "tool_name", *[c for c in out.columns if c not in ("window", "tool_name")])
 

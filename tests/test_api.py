@@ -88,6 +88,14 @@ def test_planner():
     assert planner.table([{"a": 1, "b": None}], ["a", "b"]) == "a  b\n1"
 
 
+def test_hints_name_words_of_the_index(code):
+    words = {r["kw"] for r in code.entity_keywords.select("kw").distinct().collect()}
+    some = sorted(w for w in words if len(w) > 4)[0]
+    assert some in code.near_terms(some[:-1]) and some in code.near_terms(some + "s") and code.near_terms(some[:-1], 1)
+    assert code.near_terms("zzzzzz") == [] and code.near_terms("A.b*") == []
+    assert code.hints(some + "s", recent=True)[0].startswith("did you mean ") and code.hints("zzzzzz", recent=True) == ["look at older code too"]
+
+
 def test_history(spark, code):
     at = [datetime(2024, 1, d) for d in (1, 20)]
     tables = code.tables | {"commits": spark.createDataFrame([("a", "Ann", at[0], "Fix login"), ("b", "Bob", at[1], "Add parcel")], "sha string, author string, ts timestamp, message string"), "commit_files": spark.createDataFrame([("a", "f"), ("b", "f")], "sha string, file string"), "prs": spark.createDataFrame([(7, "PR", "merged", at[0])], "number int, title string, state string, merged_at timestamp"), "pr_commits": spark.createDataFrame([(7, "a")], "number int, sha string")}

@@ -305,3 +305,19 @@ def test_logged_calls(spark, tmp_path):
     stats = {r["tool_name"]: (r["calls"], r["success_pct"]) for r in usage.by_tool(log).collect()}
     assert stats == {"query": (2, 50.0), "search_module": (1, 0.0)}
     assert [(r["day"], r["calls"]) for r in usage.daily(log).collect()] == [("2024-05-01", 3)]
+
+
+def test_usage_of_late_rows(spark, tmp_path):
+    """Rows that come days late count, in whatever order files are read."""
+    import json as j
+
+    (tmp_path / "in").mkdir()
+    rows = [("2024-01-09", 4.0, True), ("2024-01-01", 1.0, True), ("2024-01-09", 2.0, False), ("2024-01-01", None, True)]
+    for k, (day, ms, ok) in enumerate(rows):
+        (tmp_path / "in" / f"{k}.json").write_text(j.dumps({"ts": f"{day}T10:00:00", "tool_name": "q", "execution_time_ms": ms, "success": ok, "tokens": 1}))
+    log = spark.readStream.schema("ts timestamp, tool_name string, execution_time_ms double, success boolean, tokens long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    keep = lambda batch, number: feeds.usage_parts(batch).write.mode("overwrite").parquet(f"{tmp_path}/out/batch={number}")
+    feeds.follow(log, keep, str(tmp_path / "state"), every=None).awaitTermination()
+    parts = feeds.batches(spark, f"{tmp_path}/out", "day timestamp, tool_name string, calls long, succeeded long, total_ms double, timed long, tokens long, batch long")
+    got = {str(r["day"].date()): (r["calls"], r["success_pct"], r["total_ms"], r["avg_ms"], r["tokens"]) for r in feeds.merged_usage(parts).collect()}
+    assert got == {"2024-01-09": (2, 50.0, 6.0, 3.0, 2), "2024-01-01": (2, 100.0, 1.0, 1.0, 2)}
