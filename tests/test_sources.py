@@ -321,3 +321,22 @@ def test_usage_of_late_rows(spark, tmp_path):
     parts = feeds.batches(spark, f"{tmp_path}/out", "day timestamp, tool_name string, calls long, succeeded long, total_ms double, timed long, tokens long, batch long")
     got = {str(r["day"].date()): (r["calls"], r["success_pct"], r["total_ms"], r["avg_ms"], r["tokens"]) for r in feeds.merged_usage(parts).collect()}
     assert got == {"2024-01-09": (2, 50.0, 6.0, 3.0, 2), "2024-01-01": (2, 100.0, 1.0, 1.0, 2)}
+
+
+def test_protocol_types_and_languages(spark):
+    def occurrence(line, symbol, roles):
+        return _field(2, _field(1, bytes([line, 0, 3])) + _field(2, symbol.encode()) + _field(3, roles))
+
+    box, shape, plain = "s p k `m`/Box#", "s p k `m`/Shape#", "s p k `m`/Plain#"
+    said = _field(3, _field(1, box.encode()) + _field(3, b"A box.") + _field(5, 49)) + _field(3, _field(1, shape.encode()) + _field(3, b"```ts\ninterface Shape\n```"))
+    doc = _field(1, b"m.ts") + b"".join(occurrence(n, s, 1) for n, s in enumerate([box, box + "open().", box + "_hide().", shape, plain])) + said
+    doc += occurrence(1, "s p k `os`/path().", 2) + occurrence(1, "s p k `lib`/go().", 2)
+    tool = _field(1, _field(2, _field(1, b"scip-typescript")))
+    files = spark.createDataFrame([("a", bytearray(tool + _field(2, doc))), ("b", bytearray(tool + _field(2, doc) + _field(2, _field(4, b"Rust")))), ("c", bytearray(b""))], "name string, content binary")
+    assert {tuple(r) for r in scip.languages(files).collect()} == {("a", "typescript"), ("b", "Rust"), ("c", "unknown")}
+    one = files.where("name = 'a'")
+    tables = scip.convert(scip.occurrences(one), scip.descriptions(one))
+    assert {(r["name"], r["line"], r["kind"], r["methods"], r["public"]) for r in tables["classes"].collect()} == {("Box", 1, "struct", 2, 1), ("Shape", 4, "interface", 0, 0), ("Plain", 5, "class", 0, 0)}
+    assert {r["name"]: r["moduledoc"] for r in tables["classes"].collect()}["Box"] == "A box."
+    assert {r["module"] for r in tables["imports"].collect()} == {"lib"}
+    assert {r["kind"] for r in scip.convert(scip.occurrences(one))["classes"].collect()} == {"class"}
