@@ -168,7 +168,7 @@ class KeywordIndex:
         if lost:
             replaced = state.where("status in ('gone', 'changed')").select("generation", "file")
             old_pairs = self._generations("forward", _FORWARD, entry["generations"]).join(F.broadcast(replaced) if lost <= MOST_NAMED else replaced, ["generation", "file"], "left_semi")
-        terms, shared = self._delta(new_pairs, old_pairs, entry, same)
+        terms, shared = self._delta(new_pairs, added, old_pairs, entry, same)
         if "terms" in entry:
             terms = self._table(entry["terms"], _TERMS).select("kw", "df").unionByName(terms).groupBy("kw").agg(F.sum("df").alias("df"))
         counted, terms = self._put(terms.where("df > 0"), "kw string, df long")
@@ -206,13 +206,15 @@ class KeywordIndex:
         rows.select("file", "entity", "kw").repartitionByRange("file", "entity").sortWithinPartitions("file", "entity").write.parquet(f"{self.folder}/forward/generation={number}")
         self._drop(f"tables/{draft}")
 
-    def _delta(self, new: DataFrame | None, old: DataFrame | None, entry: dict, same: DataFrame) -> tuple[DataFrame, bool]:
+    def _delta(self, new: DataFrame | None, added: int, old: DataFrame | None, entry: dict, same: DataFrame) -> tuple[DataFrame, bool]:
         """(kw, df): how document frequencies change, and whether an entity has rows in more files than one."""
-        sides = [x.select("entity", "kw", F.lit(by).alias("by")).distinct() for x, by in ((new, 1), (old, -1)) if x is not None]
+        # a file has a pair once, so pairs repeat only where an entity lies in several files
+        shared = added > 1 and not new.select("entity", "file").distinct().groupBy("entity").count().where("count > 1").isEmpty()
+        sides = [(x.select("entity", "kw", F.lit(by).alias("by")), again) for x, by, again in ((new, 1, shared), (old, -1, entry["shared"])) if x is not None]
+        sides = [x.distinct() if again else x for x, again in sides]
         if not sides:
             return self.spark.createDataFrame([], "kw string, df long"), False
         pairs = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
-        shared = new is not None and not new.select("entity", "file").distinct().groupBy("entity").count().where("count > 1").isEmpty()
         if entry["generations"]:
             kept = self._generations("forward", _FORWARD, entry["generations"]).join(same.select("generation", "file"), ["generation", "file"], "left_semi")
             # entities of the pairs that unchanged files hold, too: what those hold neither comes nor goes
