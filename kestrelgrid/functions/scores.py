@@ -26,7 +26,8 @@ def zipf(frequency: DataFrame, df: str = "df") -> DataFrame:
     """
     levels = frequency.select(df).distinct()
     ranked = levels.withColumn("zipf", F.lit(1.0) / F.dense_rank().over(Window.orderBy(df)))
-    return frequency.join(ranked, df)
+    # most keywords have the same few frequencies: a shuffle by frequency would send them to one task
+    return frequency.join(F.broadcast(ranked), df)
 
 
 def coverage(matched: Column, wanted: int) -> Column:

@@ -3,7 +3,7 @@
 Folder of an index::
 
     postings/generation=G   (file, kw, entity, weight) in ranges of kw, sorted: what searches read
-    forward/generation=G    (file, entity, kw) in order of file: what a changed file held before
+    forward/generation=G    (file, entity, kw, weight) in order of file: what a changed file held before
     tables/NAME             terms (kw, df, zipf), sorted by kw, and the manifest (path, length, modified, generation, file) of a version
     log/N.json              names of these, written last, by a rename: version N exists once it is there
 
@@ -38,7 +38,7 @@ MOST_GENERATIONS = 8
 MOST_NAMED = 1_000
 
 _POSTINGS = "file long, kw string, entity long, weight double, generation long"
-_FORWARD = "file long, entity long, kw string, generation long"
+_FORWARD = "file long, entity long, kw string, weight double, generation long"
 _TERMS = "kw string, df long, zipf double"
 _FILES = "path string, length long, modified timestamp, generation long, file long"
 
@@ -55,8 +55,8 @@ class Inverted:
         return self.postings.where(F.col("kw").isin(words)).join(F.broadcast(self.terms.where(F.col("kw").isin(words))), "kw")
 
     def of_patterns(self, either) -> DataFrame:
-        """As ``of_words`` for the keywords on which the predicate on ``kw`` holds: it is tested once for each keyword of the index."""
-        return self.postings.join(self.terms.where(either), "kw")
+        """As ``of_words`` for the keywords on which the predicate on ``kw`` holds; it reaches both scans, so only what it finds is joined."""
+        return self.postings.where(either).join(self.terms.where(either), "kw")
 
 
 class ConflictError(RuntimeError):
@@ -131,11 +131,13 @@ class KeywordIndex:
         files = self.spark.read.format("binaryFile").load(table)
         return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), F.col("_metadata.file_modification_time").alias("modified"))
 
-    def refresh(self, table: str, keywords: Callable[[DataFrame], DataFrame]) -> Inverted:
+    def refresh(self, table: str, keywords: Callable[[DataFrame], DataFrame], entity: str | None = None) -> Inverted:
         """The newest version, after what changed in ``table`` is taken in.
 
         ``keywords``: rows of the table with a column ``file`` -> (file, entity, kw,
-        weight), one row for each occurrence or count.
+        weight), one row for each occurrence or count. ``entity``: the column with
+        the entity, if ``keywords`` gives each keyword of a row once; where no entity
+        has two rows in a file nothing is left to add up, and no word shuffles for it.
         """
         versions = self.versions()
         entry = self._entry(versions[-1]) if versions else None
@@ -148,9 +150,9 @@ class KeywordIndex:
         state = both.select(F.coalesce("new.path", "old.path").alias("path"), "new.length", "new.modified", "old.generation", "old.file", status.alias("status"))
         if "manifest" in entry and state.where("status <> 'same'").isEmpty():
             return self.read(versions[-1])
-        return self._update(table, keywords, state, entry, (versions or [0])[-1] + 1)
+        return self._update(table, keywords, entity, state, entry, (versions or [0])[-1] + 1)
 
-    def _update(self, table: str, keywords, state: DataFrame, entry: dict, version: int) -> Inverted:
+    def _update(self, table: str, keywords, entity: str | None, state: DataFrame, entry: dict, version: int) -> Inverted:
         # written once, so that a file that changes meanwhile is of one state in all that follows
         draft, state = self._put(state, _FILES + ", status string")
         counts = {r["status"]: r["count"] for r in state.groupBy("status").count().collect()}
@@ -162,13 +164,13 @@ class KeywordIndex:
         now["manifest"], files = self._put(same.unionByName(fresh), _FILES)
         new_pairs = old_pairs = None
         if added:
-            self._write_generation(self._words(table, keywords, files.where(F.col("generation") == number), added), number)
+            self._write_generation(*self._words(table, keywords, entity, files.where(F.col("generation") == number), added), number)
             now["generations"] = [*entry["generations"], number]
             new_pairs = self._generations("forward", _FORWARD, [number])
         if lost:
             replaced = state.where("status in ('gone', 'changed')").select("generation", "file")
             old_pairs = self._generations("forward", _FORWARD, entry["generations"]).join(F.broadcast(replaced) if lost <= MOST_NAMED else replaced, ["generation", "file"], "left_semi")
-        terms, shared = self._delta(new_pairs, added, old_pairs, entry, same)
+        terms, shared = self._delta(new_pairs, number, added, old_pairs, entry, same)
         if "terms" in entry:
             terms = self._table(entry["terms"], _TERMS).select("kw", "df").unionByName(terms).groupBy("kw").agg(F.sum("df").alias("df"))
         counted, terms = self._put(terms.where("df > 0"), "kw string, df long")
@@ -181,8 +183,8 @@ class KeywordIndex:
         self._drop(f"tables/{counted}")
         return self.read(version)
 
-    def _words(self, table: str, keywords, fresh: DataFrame, n: int) -> DataFrame:
-        """(file, kw, entity, weight) of the new files; only these are read."""
+    def _words(self, table: str, keywords, entity: str | None, fresh: DataFrame, n: int) -> tuple[DataFrame, bool]:
+        """(file, kw, entity, weight) of the new files, and whether they come file by file; only these are read."""
         read = self.spark.read
         if n <= MOST_NAMED:
             # a path of the metadata is a URI
@@ -193,24 +195,34 @@ class KeywordIndex:
         else:
             rows, listed = read.parquet(table), fresh.select(F.col("path").alias("_path"), F.col("file").alias("_file"))
         rows = rows.withColumn("_path", F.col("_metadata.file_path")).join(listed, "_path").drop("_path", "file").withColumnRenamed("_file", "file")
-        return keywords(rows).groupBy("file", "entity", "kw").agg(F.sum("weight").alias("weight"))
+        if entity and rows.groupBy("file", entity).count().where("count > 1").isEmpty():
+            return keywords(rows), n <= MOST_NAMED
+        return keywords(rows).groupBy("file", "entity", "kw").agg(F.sum("weight").alias("weight")), False
 
     def _is_folder(self, table: str) -> bool:
         path = self._path(table)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
 
-    def _write_generation(self, rows: DataFrame, number: int) -> None:
-        """The rows as postings by keyword, and by file."""
-        draft, rows = self._put(rows.select("file", "kw", "entity", "weight"), _POSTINGS.replace(", generation long", ""))
-        rows.repartitionByRange("kw", "entity").sortWithinPartitions("kw", "entity").write.parquet(f"{self.folder}/postings/generation={number}")
-        rows.select("file", "entity", "kw").repartitionByRange("file", "entity").sortWithinPartitions("file", "entity").write.parquet(f"{self.folder}/forward/generation={number}")
-        self._drop(f"tables/{draft}")
-
-    def _delta(self, new: DataFrame | None, added: int, old: DataFrame | None, entry: dict, same: DataFrame) -> tuple[DataFrame, bool]:
+    def _write_generation(self, rows: DataFrame, by_file: bool, number: int) -> None:
+        """The rows by file, and from there as postings by keyword; rows that come file by file are written as they come."""
+        rows, draft = rows.select("file", "entity", "kw", "weight"), None
+        if not by_file:
+            # ranges are found in a pass of their own: the rows are made once
+            draft, rows = self._put(rows, _FORWARD.replace(", generation long", ""))
+            rows = rows.repartitionByRange("file", "entity").sortWithinPartitions("file", "entity")
+        rows.write.parquet(f"{self.folder}/forward/generation={number}")
+        if draft:
+            self._drop(f"tables/{draft}")
+        written = self._generations("forward", _FORWARD, [number]).select("file", "kw", "entity", "weight")
+        written.repartitionByRange("kw", "entity").sortWithinPartitions("kw", "entity").write.parquet(f"{self.folder}/postings/generation={number}")
+
+    def _delta(self, new: DataFrame | None, number: int, added: int, old: DataFrame | None, entry: dict, same: DataFrame) -> tuple[DataFrame, bool]:
         """(kw, df): how document frequencies change, and whether an entity has rows in more files than one."""
         # a file has a pair once, so pairs repeat only where an entity lies in several files
         shared = added > 1 and not new.select("entity", "file").distinct().groupBy("entity").count().where("count > 1").isEmpty()
-        sides = [(x.select("entity", "kw", F.lit(by).alias("by")), again) for x, by, again in ((new, 1, shared), (old, -1, entry["shared"])) if x is not None]
+        # in order of the keyword each task counts its own keywords
+        counted = None if new is None else self._generations("postings", _POSTINGS, [number])
+        sides = [(x.select("entity", "kw", F.lit(by).alias("by")), again) for x, by, again in ((counted, 1, shared), (old, -1, entry["shared"])) if x is not None]
         sides = [x.distinct() if again else x for x, again in sides]
         if not sides:
             return self.spark.createDataFrame([], "kw string, df long"), False
@@ -229,7 +241,7 @@ class KeywordIndex:
         number = _number()
         draft, numbered = self._put(self._table(now["manifest"], _FILES).coalesce(1).withColumn("number", F.monotonically_increasing_id()), _FILES + ", number long")
         rows = self._live("postings", _POSTINGS, now).join(numbered.select("generation", "file", "number"), ["generation", "file"])
-        self._write_generation(rows.select(F.col("number").alias("file"), "kw", "entity", "weight"), number)
+        self._write_generation(rows.select(F.col("number").alias("file"), "kw", "entity", "weight"), False, number)
         manifest, _ = self._put(numbered.select("path", "length", "modified", F.lit(number).alias("generation"), F.col("number").alias("file")), _FILES)
         self._drop(f"tables/{draft}")
         return {"generations": [number], "manifest": manifest, "dead": 0}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -15,6 +15,23 @@ def extract(docs: DataFrame, entity: str, doc: str) -> DataFrame:
     return counts.withColumn("tf", F.col("times") / F.sum("times").over(Window.partitionBy("entity")))
 
 
+def counted(rows: DataFrame, found: Column) -> DataFrame:
+    """``rows`` with ``counts``: array<struct<kw, times, at>> of the words of an array, each once, with its first place; rows stay whole.
+
+    Equal words are neighbours once sorted, so each is counted by where the next one begins.
+    Use ``explode_outer``: a plain one adds a filter that makes the array anew for every element.
+    """
+    placed = F.sort_array(F.transform(found, lambda w, k: F.struct(w.alias("kw"), k.alias("at"))))
+    at = lambda k: F.col("_placed")[k]
+    first = lambda k: (k == 0) | (at(k)["kw"] != at(k - 1)["kw"])
+    sorted_rows = rows.withColumn("_placed", placed)
+    starts = F.when(F.size("_placed") > 0, F.filter(F.sequence(F.lit(0), F.size("_placed") - 1), first))
+    begun = sorted_rows.withColumn("_starts", starts)
+    end = lambda j: F.coalesce(F.get("_starts", j + 1), F.size("_placed"))
+    pairs = F.transform("_starts", lambda k, j: F.struct(at(k)["kw"].alias("kw"), (end(j) - k).cast("long").alias("times"), at(k)["at"].cast("long").alias("at")))
+    return begun.withColumn("counts", pairs).drop("_placed", "_starts")
+
+
 def words(docs: DataFrame, entity: str, doc: str) -> DataFrame:
     """(entity, kw, times, at): plain keywords with the position at which each is first seen."""
     one = docs.select(F.col(entity).alias("entity"), F.posexplode(T.keywords(F.col(doc))).alias("at", "kw"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import keywords as K
 
 
 def functions(t) -> DataFrame:
@@ -69,8 +70,9 @@ def doc_keywords(t) -> DataFrame:
 
 
 def document_words(rows: DataFrame) -> DataFrame:
-    """(file, entity, kw, weight) of rows of documents, as an index takes them in."""
-    return rows.select("file", F.col("doc_id").alias("entity"), F.explode(T.keywords(F.col("text"))).alias("kw"), F.lit(1.0).alias("weight"))
+    """(file, entity, kw, weight) of rows of documents, as an index takes them in: each keyword of a row once."""
+    counts = K.counted(rows.select("file", F.col("doc_id").alias("entity"), "text"), T.keywords(F.col("text")))
+    return counts.select("file", "entity", F.explode_outer("counts").alias("c")).where("c is not null").select("file", "entity", "c.kw", F.col("c.times").cast("double").alias("weight"))
 
 
 def turn_keywords(t) -> DataFrame:

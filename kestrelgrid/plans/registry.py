@@ -29,7 +29,7 @@ class Tables:
 
         table = f"{self.sf_dir}/documents.parquet"
         folder = f"{lasting_folder(self.spark)}/keywords-{hashlib.sha256(table.encode()).hexdigest()[:16]}"
-        return KeywordIndex(self.spark, folder, T.KEYWORDS_DEFINITION).refresh(table, document_words)
+        return KeywordIndex(self.spark, folder, T.KEYWORDS_DEFINITION).refresh(table, document_words, "doc_id")
 
 
 @dataclass(frozen=True)
