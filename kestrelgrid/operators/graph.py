@@ -25,14 +25,13 @@ def call_sites(calls: DataFrame, functions: DataFrame, aliases: DataFrame) -> Da
 
 
 def reverse_calls(calls: DataFrame) -> DataFrame:
-    """(key, caller_module, line): the calls by ``module.function`` that they reach, in order of key and place.
+    """(key, n, sites): how many calls reach each ``module.function``, and its places (caller_module, line, times) in order.
 
-    One row a call, dealt by ranges of the whole row, so a function that everything
-    calls is spread over many tasks and no row grows with its callers.
+    Calls of one place are counted map-side first, so what is gathered for a function is its distinct places.
     """
     key = F.concat(F.coalesce("target", F.lit("")), F.lit("."), F.col("callee"))
-    rows = calls.select(key.alias("key"), "caller_module", "line")
-    return rows.repartitionByRange("key", "caller_module", "line").sortWithinPartitions("key", "caller_module", "line")
+    places = calls.groupBy(key.alias("key"), "caller_module", "line").agg(F.count("*").alias("times"))
+    return places.groupBy("key").agg(F.sum("times").alias("n"), F.array_sort(F.collect_list(F.struct("caller_module", "line", "times"))).alias("sites"))
 
 
 def loose_callers(calls: DataFrame, names: DataFrame) -> DataFrame:

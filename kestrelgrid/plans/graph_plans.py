@@ -33,9 +33,11 @@ def alias_resolve(t):
     return _resolved(t).groupBy("caller_module", "target").agg(F.count("*").alias("n"))
 
 
-@query("J4 A31", "select target || '.' || callee as key, caller_module, line from resolved", "functions calls resolved")
+@query("J4 A31", "select target || '.' || callee as key, count(*) as n, string_agg(caller_module || ':' || line, ',' order by caller_module, line) as sites from resolved group by all", "functions calls resolved")
 def reverse_calls(t):
-    return G.reverse_calls(_resolved(t))
+    place = lambda s: F.concat(s["caller_module"], F.lit(":"), s["line"].cast("string"))
+    sites = F.flatten(F.transform("sites", lambda s: F.array_repeat(place(s), s["times"].cast("int"))))
+    return G.reverse_calls(_resolved(t)).select("key", "n", F.array_join(sites, ",").alias("sites"))
 
 
 @query("J4 U7", "select caller_module, callee, line from calls where callee in (select name from functions where module = 'Brand#3') group by all", "functions calls")
