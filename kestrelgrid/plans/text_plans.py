@@ -123,12 +123,22 @@ def embedding_text(t):
     return t.documents.select("doc_id", F.md5(T.embedding_text(*parts).cast("binary")).alias("body"))
 
 
-@query("P9", "select fid, module, name, arity, line from functions", "functions")
+#: Definitions of one module in a JSON document, at most.
+_NESTED = 1_000
+
+
+@query("P9", "select fid, module, name, arity, line, count(*) over (partition by module) as items, max(line) over (partition by module) as last_line from functions", "functions")
 def usage_json(t):
-    """Each definition as nested JSON, and back; one document a definition, so none grows with its module."""
-    nested = A.functions(t).select("fid", F.to_json(F.struct("module", F.struct("name", "arity", "line").alias("function"))).alias("j"))
-    back = F.from_json("j", "module string, function struct<name string, arity bigint, line bigint>")
-    return nested.select("fid", back.alias("b")).select("fid", "b.module", "b.function.*")
+    """Modules as nested JSON with their definitions, and back, with the totals of each module; one document a module and block of ids, so none grows with its module."""
+    fn = A.functions(t)
+    rows = F.collect_list(F.struct("fid", "name", "arity", "line")).alias("functions")
+    nested = fn.groupBy("module", F.floor(F.col("fid") / _NESTED)).agg(F.to_json(F.struct("module", rows)).alias("j"))
+    back = F.from_json("j", f"module string, functions array<struct<fid {fn.schema['fid'].dataType.simpleString()}, name string, arity bigint, line bigint>>")
+    parsed = nested.select(back.alias("b")).select("b.module", "b.functions")
+    totals = parsed.groupBy("module").agg(F.sum(F.size("functions")).alias("items"), F.max(F.array_max(F.transform("functions", lambda x: x["line"]))).alias("last_line"))
+    each = parsed.select("module", F.explode_outer("functions").alias("f")).select("module", "f.*")
+    same = each["module"].eqNullSafe(totals["module"])
+    return each.join(F.broadcast(totals), same).select("fid", each["module"], "name", "arity", "line", "items", "last_line")
 
 
 @query("P7 P8", "select fid, name || '(' || list_aggregate(list_transform(range(arity), lambda i: 'a' || i || ': int'), 'string_agg', ', ') || ') -> str' as signature from functions where arity > 0", "functions")
