@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import collections
 
+import pytest
+
 from kestrelgrid.functions import scores as S
 from kestrelgrid.operators import pairs as P
 from kestrelgrid.operators.inverted import KeywordIndex
-from kestrelgrid.plans import load
+from kestrelgrid.plans import load, registry
 from kestrelgrid.plans.adapters import document_words
 
 from .conftest import SF
@@ -71,3 +73,10 @@ def test_pairs_of_large_sets_are_counted_where_their_sets_are(spark, monkeypatch
         assert "MapInArrow" in plan_of(got)
     degree = collections.Counter(w for p in counts for w in p)
     assert sorted(r["degree"] for r in P.degrees(items, "g", "w").collect()) == sorted(degree.values())
+
+
+@pytest.mark.parametrize("name", ["heuristic_history", "file_pr_history", "batch_evolution", "cochange_pairs", "cochange_sampled", "pr_recent", "line_history"])
+def test_tasks_of_histories_grow_in_number_only(name, spark, monkeypatch):
+    monkeypatch.setattr(registry, "ROWS", 100)
+    n = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100)
+    assert f"{n}), REPARTITION_BY_NUM" in plan_of(load()[name](spark, SF))
