@@ -27,9 +27,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def parts(self, *names: str) -> int:
+    def parts(self, *names: str, rows: int | None = None) -> int:
         """Tasks among which rows of these tables are dealt where they are sorted or grouped: more with more rows, so that none grows. Only footers are read."""
-        return max(1, -(-sum(getattr(self, n).count() for n in names) // ROWS))
+        return max(1, -(-sum(getattr(self, n).count() for n in names) // (rows or ROWS)))
 
     def keyword_index(self) -> Inverted:
         """The inverted keyword index of the documents; what changed in the table's files since the last search is taken in first."""

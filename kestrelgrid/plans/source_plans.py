@@ -14,6 +14,9 @@ from ..sources import elixir
 from . import adapters as A
 from .registry import query
 
+#: Documents of a task: their programs are four times the text, and every token is a row.
+DOCUMENTS = 500
+
 #: What a line gives: its words, and a text that closes no string.
 _SQL_LINES = """ln as (select file, line, regexp_extract_all(text, '[a-z]+') as words, len(regexp_extract_all(text, '[a-z]+')) as n from source_lines where text is not null),
 placed as (select *, 2 + coalesce(sum(case when n = 0 then 1 when n % 2 = 1 then 10 else 8 end) over (partition by file order by line rows between unbounded preceding and 1 preceding), 0) as spot from ln)"""
@@ -22,7 +25,10 @@ placed as (select *, 2 + coalesce(sum(case when n = 0 then 1 when n % 2 = 1 then
 def elixir_files(t):
     """files(file, source): see above."""
     words = F.transform(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)), lambda w: F.concat(w, F.lit("_")))
-    rows = A.source_lines(t).where("text is not null").select("file", "line", F.translate("text", '"\\#\r', "'//").alias("text"), words.alias("w"))
+    # dealt by file before they become lines and tokens, which then stay in their tasks
+    whole = t.documents.select(F.col("doc_id").cast("string").alias("file"), "text").repartition(t.parts("documents", rows=DOCUMENTS), "file")
+    lines = whole.select("file", F.posexplode(F.split("text", "\n")).alias("line", "text")).select("file", (F.col("line") + 1).cast("bigint").alias("line"), "text")
+    rows = lines.where("text is not null").select("file", "line", F.translate("text", '"\\#\r', "'//").alias("text"), words.alias("w"))
     n = F.size("w")
     chain = F.concat(F.array_join("w", "("), F.repeat(F.lit(")"), n - 1), F.lit(""))
     # the last call has no argument
@@ -34,7 +40,7 @@ def elixir_files(t):
     blocks = rows.select("file", "line", F.array_join(block, "\n").alias("block"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "block"))), lambda x: x["block"]), "\n")
     whole = blocks.groupBy("file").agg(body.alias("body"))
-    return whole.select(F.col("file").cast("string").alias("file"), F.concat(F.lit("defmodule D"), F.col("file").cast("string"), F.lit(" do\n"), F.col("body"), F.lit("\nend\n")).alias("source"))
+    return whole.select("file", F.concat(F.lit("defmodule D"), F.col("file"), F.lit(" do\n"), F.col("body"), F.lit("\nend\n")).alias("source"))
 
 
 @query("S8 E1 E2 E3", f"""with {_SQL_LINES}

@@ -202,8 +202,9 @@ def _text_of(literal: Column) -> Column:
 
 def modules(files: DataFrame, t: DataFrame | None = None) -> DataFrame:
     """(file, module, outer, line, end_line, moduledoc, at): ``outer`` is the module around it."""
-    t = written(tokens(files)) if t is None else t
-    defined = definitions(files, t)
+    # cut anew for each of the few kinds of tokens that are looked for: rows of tokens are far larger than sources
+    t = tokens(files) if t is None else t
+    defined = written(definitions(files, t))
     found = scopes(defined)
     docs = in_scope(t.where("text = '@moduledoc' and after_kind = 'string'").select("file", "at", F.col("after").alias("doc")), found)
     docs = docs.groupBy("file", F.col("module_at").alias("at")).agg(_text_of(F.min_by("doc", "at")).alias("moduledoc"))

@@ -11,6 +11,7 @@ from kestrelgrid.operators import pairs as P
 from kestrelgrid.operators.inverted import KeywordIndex
 from kestrelgrid.plans import load, registry
 from kestrelgrid.plans.adapters import document_words
+from kestrelgrid.sources import elixir
 
 from .conftest import SF
 
@@ -80,3 +81,12 @@ def test_tasks_of_histories_grow_in_number_only(name, spark, monkeypatch):
     monkeypatch.setattr(registry, "ROWS", 100)
     n = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100)
     assert f"{n}), REPARTITION_BY_NUM" in plan_of(load()[name](spark, SF))
+
+
+def test_tokens_of_modules_stay_in_their_tasks(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(elixir, "written", lambda df: tables.append(df) or df)
+    load()["elixir_modules"](spark, SF)
+    # definitions become a table, tokens don't, and sources are dealt before they are cut
+    assert tables and all("touches" not in df.columns for df in tables)
+    assert "REPARTITION_BY_NUM" in plan_of(tables[0])
