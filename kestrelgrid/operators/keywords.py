@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import written
 
 
 def extract(docs: DataFrame, entity: str, doc: str) -> DataFrame:
@@ -44,6 +45,23 @@ def top(counts: DataFrame, n: int, *ties) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= n)
 
 
+def top_words(docs: DataFrame, entity: str, doc: str, n: int) -> DataFrame:
+    """(entity, kw, times, at, rank): the n most frequent plain keywords of each entity, of equal ones the first seen.
+
+    An entity of one row is counted and ranked inside that row, so its words are not
+    shuffled. Which entities have several rows is found by their keys alone; the rows
+    of those are grouped.
+    """
+    rows = docs.select(F.col(entity).alias("entity"), F.col(doc).alias("_text"))
+    several = written(rows.groupBy("entity").count().where("count > 1").select(F.col("entity").alias("_several")))
+    same = F.col("entity").eqNullSafe(F.col("_several"))
+    ranked = counted(rows.join(several, same, "left_anti"), T.keywords(F.col("_text")))
+    first = F.slice(F.sort_array(F.transform("counts", lambda c: F.struct((-c["times"]).alias("less"), c["at"].alias("at"), c["kw"].alias("kw")))), 1, n)
+    one = ranked.select("entity", F.posexplode_outer(first).alias("rank", "c")).where("c is not null")
+    one = one.select("entity", "c.kw", (-F.col("c.less")).alias("times"), "c.at", (F.col("rank") + 1).cast("bigint").alias("rank"))
+    return one.unionByName(top(words(rows.join(several, same, "left_semi"), "entity", "_text"), n, "at"))
+
+
 def merge_sources(weighted: DataFrame, boosts: dict[str, float] | None = None) -> DataFrame:
     """weighted(entity, kw, source, weight) -> the greatest weight of each keyword and the sources it came from."""
     weight = F.col("weight")

@@ -23,7 +23,7 @@ with k as (select doc_id as entity, unnest(%s) as kw, generate_subscripts(%s, 1)
 c as (select entity, kw, count(*) as times, min(spot)::bigint as spot from k group by all)
 select entity, kw, times, rank from (select *, row_number() over (partition by entity order by times desc, spot) as rank from c) where rank <= 15""" % ((A.sql_keywords("text"),) * 2))
 def kw_extract_topn(t):
-    return K.top(K.words(t.documents, "doc_id", "text"), 15, "at").select("entity", "kw", "times", "rank")
+    return K.top_words(t.documents, "doc_id", "text", 15).select("entity", "kw", "times", "rank")
 
 
 _IDENT = r"""list_filter(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]+[A-Z][a-zA-Z]*|[A-Z]{{2,}}[a-z]+[a-zA-Z]*|[A-Z][a-z]+[A-Z][a-zA-Z]*|[a-z]+_[a-z_]+|[A-Z]{{2,}}'))"""

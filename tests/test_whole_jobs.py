@@ -7,6 +7,7 @@ import collections
 import pytest
 
 from kestrelgrid.functions import scores as S
+from kestrelgrid.operators import keywords as K
 from kestrelgrid.operators import pairs as P
 from kestrelgrid.operators.inverted import KeywordIndex
 from kestrelgrid.plans import load, registry
@@ -42,6 +43,15 @@ def test_keywords_of_whole_documents_need_no_shuffle(spark, tmp_path):
     assert "Exchange" not in plan_of(words) and plan_of(words).count("regexp_extract_all") == 1
 
 
+def test_top_words_of_entities_of_one_row_need_no_shuffle(spark):
+    docs = spark.createDataFrame([(1, "beta alpha beta gamma"), (1, "gamma delta gamma"), (2, "zeta beta zeta alpha"), (3, ""), (4, None), (None, "alpha"), (None, "beta alpha")], "doc_id long, text string")
+    got = K.top_words(docs, "doc_id", "text", 2)
+    assert {tuple(r) for r in got.select("entity", "kw", "times", "rank").collect()} == {(1, "gamma", 3, 1), (1, "beta", 2, 2), (2, "zeta", 2, 1), (2, "beta", 1, 2), (None, "alpha", 2, 1), (None, "beta", 1, 2)}
+    # words of the first branch go from the scan to their ranks
+    whole = plan_of(K.top_words(docs.where("doc_id = 2"), "doc_id", "text", 2)).split("Union")[-1].split("Window")[0]
+    assert "posexplode" in whole and "hashpartitioning(entity" not in whole
+
+
 def test_an_entity_with_two_rows_in_a_file_is_added_up(spark, tmp_path):
     table = str(tmp_path / "t")
     spark.createDataFrame([(1, "alpha beta"), (1, "beta gamma"), (2, "beta")], "doc_id long, text string").coalesce(1).write.parquet(table)
