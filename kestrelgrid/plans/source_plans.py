@@ -14,7 +14,7 @@ from ..sources import elixir
 from . import adapters as A
 from .registry import query
 
-#: Documents of a task: their programs are four times the text, and every token is a row.
+#: Documents of a task: their programs are four times the text.
 DOCUMENTS = 500
 
 #: What a line gives: its words, and a text that closes no string.
@@ -56,7 +56,7 @@ c as (select file, line, n, unnest(words) as word, generate_subscripts(words, 1)
 select file::varchar as file, case when n % 2 = 1 then 'L' || line else 'D' || file end as caller, word || '_' as function, case when k = n then 0 else 1 end::bigint as arity, count(*) as calls from c group by all""", "source_lines")
 def elixir_calls(t):
     """Calls inside calls, to any depth."""
-    return elixir.calls(elixir_files(t)).groupBy("file", "caller", "function", "arity").agg(F.count("*").alias("calls"))
+    return elixir.call_counts(elixir_files(t))
 
 
 @query("E1", f"""with {_SQL_LINES}

@@ -2,7 +2,8 @@
 
 ``tokens`` cuts every source into tokens with one expression (strings, heredocs,
 sigils and comments are one token each, so nothing inside them counts). All else
-is windows over the tokens of a file:
+is windows over the tokens of a file, as rows or, for functions and calls, as
+arrays inside the file's row (``token_arrays``):
 
 * the block level is the running number of ``do`` and ``fn`` less that of ``end``,
   the bracket depth that of opening less closing brackets;
@@ -14,11 +15,18 @@ is windows over the tokens of a file:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from .shared import written
-from .structure import arguments, cut, in_file
+from .structure import cut, in_file
+from .token_arrays import Tokens, in_parts
 
 # The special forms, which look like calls and are none.
 SPECIAL_FORMS = ("alias", "import", "require", "use", "def", "defp", "defmodule", "if", "unless", "case", "cond", "with", "for", "try", "receive")
@@ -148,52 +156,74 @@ def in_scope(rows: DataFrame, modules: DataFrame) -> DataFrame:
     return around.withColumns({"module": F.col("_m.module"), "module_at": F.col("_m.module_at")}).drop("_m", "_nth", "_delta", "_row")
 
 
-def functions(files: DataFrame, t: DataFrame | None = None) -> DataFrame:
+def _found(files: DataFrame, of: Callable[[Tokens], tuple[np.ndarray, list]], shape: str, then: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+    """(file, ...) of what ``of`` finds in the tokens of each file: their places and the fields of ``shape``. ``then`` sees the source beside it.
+
+    Tokens stay in the row of their file, which keeps its partition.
+    """
+    kind = to_arrow_type(DataType.fromDDL(shape))
+
+    def rows(lists: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+        t = Tokens(lists, OPERATORS)
+        places, fields = of(t)
+        return t.file[places], pa.StructArray.from_arrays([pa.array(x).cast(f.type) for x, f in zip(fields, kind, strict=True)], fields=list(kind))
+
+    @F.arrow_udf(f"array<{shape}>")
+    def scan(lists: pa.Array) -> pa.Array:
+        return in_parts(lists, rows, kind)
+
+    found = files.select("file", "source", scan(F.regexp_extract_all("source", F.lit(TOKEN), F.lit(0))).alias("_found"))
+    # a plain explode would add a filter that scans anew
+    return found.select("file", F.explode_outer(then(F.col("_found"))).alias("_f")).where("_f is not null").select("file", "_f.*")
+
+
+def _functions_of(t: Tokens) -> tuple[np.ndarray, list]:
+    starts = t.starts(DEFINITIONS)
+    head, body, end = t.heads(starts)
+    name = t.after[head]
+    wanted = (t.text(*DEFINITIONS, at=head) & t.kind("name", "reserved", at=name) & ~t.text("unquote", at=name)) | t.text("test", at=head)
+    places, body, end, name = head[wanted], body[wanted], end[wanted], name[wanted]
+    bracket = t.kind("name", "reserved", at=name) & t.text("(", at=t.after[name]) & t.touches[name]
+    arity = np.where(bracket, np.append(t.arity(), -1)[np.where(bracket, t.after[name], -1)], -1)
+    # the first guard behind the head on its level and depth
+    both = np.union1d(places, np.flatnonzero(t.text("when") & t.kind("reserved")))
+    guard = t.following(both, t.level[both], t.depth[both])[np.searchsorted(both, places)]
+    guard = np.where((guard >= 0) & (guard < body) & ~np.append(starts, False)[guard], guard, -1)
+    # attributes between a definition and the one before it
+    earlier = lambda mark: np.append(-1, np.maximum.accumulate(np.where(mark, t.places, -1)))[places]
+    since = np.maximum(earlier(starts), t.begin[places] - 1)
+    own = {a: np.where((x := earlier(t.text(a) & t.kind("attribute"))) > since, x, -1) for a in ("@impl", "@spec", "@doc")}
+    value = {a: np.append(t.after, -1)[x] for a, x in own.items()}
+    module = t.around(places, *t.heads(starts))
+    at = lambda x: t.values(t.at, x)
+    return places, [
+        at(places), t.line[places], t.strings(t.code[places]), t.strings(t.codes(name)), pa.array(arity, mask=arity < 0), at(end),
+        t.values(t.pos, guard), t.values(t.pos, body), (own["@impl"] >= 0) & ~t.text("false", at=value["@impl"]), t.values(t.pos, value["@spec"]),
+        t.strings(np.where(t.kind("string", at=value["@doc"]), t.codes(value["@doc"]), -1)), t.strings(t.codes(np.append(t.after, -1)[module])), at(module),
+    ]
+
+
+def functions(files: DataFrame) -> DataFrame:
     """(file, module, module_at, name, arity, line, ftype, guards, impl, spec, doc, at, end_at) of definitions and tests (``test: ...``, private)."""
-    t = written(tokens(files)) if t is None else t
-    defined = definitions(files, t)
-    heads = defined.where((F.col("what").isin(*DEFINITIONS) & F.col("name_kind").isin("name", "reserved") & (F.col("name") != "unquote")) | (F.col("what") == "test"))
-    brackets = arguments(t).select("file", F.col("at").alias("open_at"), "arity", "close_at")
-    opens = t.withColumn("open_at", F.lead("at").over(in_file())).where("kind in ('name', 'reserved') and after = '(' and touches").select("file", F.col("at").alias("name_at"), "open_at")
-    sized = heads.join(opens, ["file", "name_at"], "left").join(brackets, ["file", "open_at"], "left")
-    guards = t.where("text = 'when' and kind = 'reserved'").select("file", "level", "depth", F.col("pos").alias("when_pos"), F.col("at").alias("when_at"))
-    sized = sized.join(guards, ["file", "level", "depth"], "left").withColumn("_own", (F.col("when_at") > F.col("at")) & (F.col("when_at") < F.col("body_at")))
-    keep = [c for c in sized.columns if c not in ("when_pos", "when_at", "_own")]
-    sized = sized.groupBy(*keep).agg(F.min(F.when(F.col("_own"), F.col("when_pos"))).alias("when_pos"))
-    sized = sized.join(_attributes(t, files), ["file", "at"], "left")
-    # only heads with a guard meet their source
-    text = F.regexp_replace(F.trim(F.substring(F.col("source"), F.col("when_pos") + 5, F.col("body_pos") - F.col("when_pos") - 4)), r"\s*,\s*$", "")
-    guards = sized.where("when_pos is not null").join(files.select("file", "source"), "file").select("file", "at", text.alias("guards"))
-    sized = sized.join(guards, ["file", "at"], "left")
+    shape = "struct<at:int,line:bigint,what:string,name:string,arity:bigint,end_at:int,when_pos:bigint,body_pos:bigint,impl:boolean,spec_pos:bigint,doc:string,module:string,module_at:int>"
+
+    def texts(x: Column) -> Column:
+        guard = F.regexp_replace(F.trim(F.substring("source", (x["when_pos"] + 5).cast("int"), (x["body_pos"] - x["when_pos"] - 4).cast("int"))), r"\s*,\s*$", "")
+        # a type may go on in the next line, after or before a sign
+        rest = F.substring("source", (x["spec_pos"] + 1).cast("int"), F.length("source"))
+        spec = F.regexp_replace(F.regexp_extract(rest, r"^[^\n]*+(?:(?<=[,|(:>\[{])[ \t]*+\n[^\n]*+|\n[ \t]*+(?:::|\||->|when\b|[)\]}])[^\n]*+)*+", 0), r"\s+", " ")
+        return F.struct(x.alias("f"), F.when(x["when_pos"].isNotNull(), guard).alias("guards"), F.when(x["spec_pos"].isNotNull(), F.trim(spec)).alias("spec"))
+
+    rows = _found(files, _functions_of, shape, lambda found: F.transform(found, texts)).select("file", "f.*", "guards", "spec")
     is_test = F.col("what") == "test"
     name = F.when(is_test, F.concat(F.lit("test: "), F.regexp_replace("name", '^"|"$', ""))).otherwise(F.col("name"))
-    out = in_scope(sized, scopes(defined))
-    return out.select(
+    return rows.select(
         "file", "module", "module_at", name.alias("name"), F.when(is_test, 0).otherwise(F.coalesce("arity", F.lit(0))).cast("long").alias("arity"), "line",
         F.when(is_test | F.col("what").isin("defp", "defmacrop"), "defp").otherwise("def").alias("ftype"),
-        "guards", F.coalesce("impl", F.lit(False)).alias("impl"), "spec", "doc", "at", "end_at",
+        "guards", "impl", "spec", _text_of(F.col("doc")).alias("doc"), "at", "end_at",
     )
 
 
-def _attributes(t: DataFrame, files: DataFrame) -> DataFrame:
-    """(file, at, impl, spec, doc) of the attributes between a definition and the one before it."""
-    s = _starts(t).withColumns({"value": F.col("after"), "value_kind": F.col("after_kind"), "value_pos": F.lead("pos").over(in_file())})
-    marks = s.where(F.col("starts") | (F.col("text").isin("@impl", "@spec", "@doc") & (F.col("kind") == "attribute")))
-    earlier = in_file().rowsBetween(Window.unboundedPreceding, -1)
-    last_def = F.coalesce(F.last(F.when(F.col("starts"), F.col("at")), ignorenulls=True).over(earlier), F.lit(-1))
-    said = lambda what: F.last(F.when(F.col("text") == what, F.struct("at", "value", "value_kind", "value_pos")), ignorenulls=True).over(earlier)
-    marks = marks.withColumns({"_last": last_def, "_impl": said("@impl"), "_spec": said("@spec"), "_doc": said("@doc")}).where("starts")
-    own = lambda c: F.col(c)["at"] > F.col("_last")
-    # a type may go on in the next line, after or before a sign
-    rest = F.substring(F.col("source"), F.col("_spec.value_pos") + 1, F.length("source"))
-    spec = F.regexp_replace(F.regexp_extract(rest, r"^[^\n]*+(?:(?<=[,|(:>\[{])[ \t]*+\n[^\n]*+|\n[ \t]*+(?:::|\||->|when\b|[)\]}])[^\n]*+)*+", 0), r"\s+", " ")
-    quoted = F.col("_doc.value_kind") == "string"
-    doc = _text_of(F.col("_doc.value"))
-    specs = marks.where(own("_spec")).join(files.select("file", "source"), "file").select("file", "at", F.trim(spec).alias("spec"))
-    marks = marks.select("file", "at", (own("_impl") & (F.col("_impl.value") != "false")).alias("impl"), F.when(own("_doc") & quoted, doc).alias("doc"))
-    return marks.join(specs, ["file", "at"], "left")
-
-
 def _text_of(literal: Column) -> Column:
     """What stands between the quotes of a documentation string, its lines trimmed."""
     text = F.regexp_replace(F.regexp_replace(literal, r"^(?:~[sS])?(?:\"\"\"\s?|\")", ""), r"(?:\"\"\"|\")$", "")
@@ -212,50 +242,52 @@ def modules(files: DataFrame, t: DataFrame | None = None) -> DataFrame:
     return placed.join(docs, ["file", "at"], "left").select("file", F.col("name").alias("module"), F.col("module").alias("outer"), "line", "end_line", "moduledoc", "at")
 
 
-def _bare_arguments(t: DataFrame, bare: DataFrame) -> DataFrame:
-    """(file, at, arity) of calls without brackets: bare(file, at, level, depth, keyed), keyed if the first argument is a keyword.
-
-    The arguments end at the line's end (unless a comma stands there), a block, a
-    closing bracket or a branch.
-    """
-    significant = t.where("kind <> 'line'").withColumn("before", F.lag("text").over(in_file()))
-    more = significant.where("before = ','").select("file", "at", "level", "depth", (F.col("kind") == "key").alias("keyed"), F.lit("argument").alias("role"))
-    line_end = (F.col("kind") == "line") & ~F.coalesce((F.col("before") == ",") | (F.col("before_kind") == "sign"), F.lit(False))
-    stop = line_end | (F.col("kind") == "close") | F.col("text").isin(";", "->") | ((F.col("kind") == "reserved") & F.col("text").isin("do", "end", "else", "after", "rescue", "catch")) | (F.col("text") == "do:")
-    stops = t.where(stop).select("file", "at", "level", "depth", F.lit(False).alias("keyed"), F.lit("stop").alias("role"))
-    both = more.unionByName(stops).unionByName(bare.withColumn("role", F.lit("call")))
-    w = Window.partitionBy("file", "level", "depth").orderBy("at")
-    running = lambda c: F.sum((c & (F.col("role") == "argument")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    both = both.withColumns({"plain": running(~F.col("keyed")), "keys": running(F.col("keyed"))})
-    backwards = Window.partitionBy("file", "level", "depth").orderBy(F.col("at").desc())
-    both = both.withColumn("end", F.last(F.when(F.col("role") == "stop", F.struct("plain", "keys")), ignorenulls=True).over(backwards))
-    keyed = F.col("keyed") | (F.coalesce(F.col("end.keys"), F.col("keys")) > F.col("keys"))
-    arity = F.coalesce(F.col("end.plain") - F.col("plain"), F.lit(0)) + F.when(F.col("keyed"), 0).otherwise(1) + F.when(keyed, 1).otherwise(0)
-    return both.where("role = 'call'").select("file", "at", arity.cast("long").alias("arity"))
-
-
-def calls(files: DataFrame, t: DataFrame | None = None) -> DataFrame:
+def _calls_of(t: Tokens) -> tuple[np.ndarray, list]:
+    starts, last, owner = t.starts(DEFINITIONS), t.before, t.near(-2)
+    dot = t.text(".", at=last)
+    remote = dot & t.kind("alias", at=owner)
+    bracket = t.text("(", at=t.after) & t.touches
+    begins = t.kind("name", "alias", "string", "number", "atom", "key", "attribute", at=t.after) | t.text("%", "fn", "not", at=t.after) | (remote & t.text("[", "{", at=t.after))
+    bare = ~bracket & ~t.touches & begins
+    defining = np.append(starts, False)[last]
+    named = t.kind("name") & ~defining & ~starts & ~t.kind("attribute", at=last) & ~t.text(*SPECIAL_FORMS, *DEFINITIONS)
+    places = np.flatnonzero(named & (bracket | remote | (bare & ~dot)))
+    count = np.maximum(np.where(bracket, np.append(t.arity(), -1)[t.after], 0), 0)
+    bare = np.flatnonzero(bare & np.isin(t.places, places))
+    count[bare] = t.bare_arity(bare, t.kind("key", at=t.after[bare]))
+    module = t.around(places, *t.heads(starts))
+    return places, [
+        t.line[places], t.strings(t.codes(np.append(t.after, -1)[module])), t.values(t.at, module),
+        t.strings(np.where(remote, t.codes(owner), -1)[places]), t.strings(t.code[places]), count[places],
+    ]
+
+
+def calls(files: DataFrame) -> DataFrame:
     """(file, line, caller, caller_at, module, function, arity) of calls, over any number of lines and inside one another, with or without brackets.
 
     ``module`` is the one named in the call, null for a local one. Definitions,
     attributes and special forms are none; of a piped value the call counts what is
-    written; a name alone is a variable unless a module stands before it.
+    written; a name alone is a variable unless a module stands before it. Arguments
+    without brackets end at the line's end (unless a comma stands there), a block, a
+    closing bracket or a branch.
     """
-    t = written(tokens(files)) if t is None else t
-    w = in_file()
-    rows = _starts(t).withColumns({"dot": F.coalesce(F.lag("text").over(w) == ".", F.lit(False)), "owner": F.lag("text", 2).over(w), "owner_kind": F.lag("kind", 2).over(w), "open_at": F.lead("at").over(w), "defining": F.coalesce(F.lag("starts").over(w), F.lit(False))})
-    remote = F.col("dot") & F.coalesce(F.col("owner_kind") == "alias", F.lit(False))
-    bracket = F.coalesce((F.col("after") == "(") & F.col("touches"), F.lit(False))
-    begins = F.col("after_kind").isin("name", "alias", "string", "number", "atom", "key", "attribute") | F.col("after").isin("%", "fn", "not") | (remote & F.col("after").isin("[", "{"))
-    bare = ~bracket & ~F.col("touches") & F.coalesce(begins, F.lit(False))
-    named = (F.col("kind") == "name") & ~F.col("defining") & ~F.col("starts") & ~F.coalesce(F.col("before_kind") == "attribute", F.lit(False)) & ~F.col("text").isin(*SPECIAL_FORMS, *DEFINITIONS)
-    found = rows.where(named & (bracket | remote | (bare & ~F.col("dot"))))
-    found = found.select("file", "at", "line", "level", "depth", F.when(remote, F.col("owner")).alias("owner"), F.col("text").alias("function"), F.when(bracket, F.col("open_at")).alias("open_at"), bare.alias("bare"), F.coalesce(F.col("after_kind") == "key", F.lit(False)).alias("keyed"))
-    sizes = arguments(t).select("file", F.col("at").alias("open_at"), "arity")
-    bare_sizes = _bare_arguments(t, found.where("bare").select("file", "at", "level", "depth", "keyed")).select("file", "at", F.col("arity").alias("bare_arity"))
-    sized = found.join(sizes, ["file", "open_at"], "left").join(bare_sizes, ["file", "at"], "left")
-    sized = in_scope(sized, scopes(definitions(files, t)))
-    return sized.select("file", "line", F.col("module").alias("caller"), F.col("module_at").alias("caller_at"), F.col("owner").alias("module"), "function", F.coalesce("arity", "bare_arity", F.lit(0)).cast("long").alias("arity"))
+    return _found(files, _calls_of, "struct<line:bigint,caller:string,caller_at:int,module:string,function:string,arity:bigint>")
+
+
+def call_counts(files: DataFrame) -> DataFrame:
+    """(file, caller, function, arity, calls): how many of ``calls`` there are, whatever module they name, counted inside the row of their file."""
+
+    def counted(t: Tokens) -> tuple[np.ndarray, list]:
+        places, (_, caller, _, _, function, arity) = _calls_of(t)
+        if not len(places):
+            return places, [caller, function, arity, arity]
+        codes = [x.dictionary_encode().indices.fill_null(-1).to_numpy() for x in (caller, function)]
+        _, first, calls = np.unique(np.stack([t.file[places], *codes, arity], 1), axis=0, return_index=True, return_counts=True)
+        order = np.argsort(first)
+        first, calls = first[order], calls[order]
+        return places[first], [caller.take(pa.array(first)), function.take(pa.array(first)), arity[first], calls]
+
+    return _found(files, counted, "struct<caller:string,function:string,arity:bigint,calls:bigint>")
 
 
 def literals(files: DataFrame, t: DataFrame | None = None, least: int = 3) -> DataFrame:
@@ -263,7 +295,7 @@ def literals(files: DataFrame, t: DataFrame | None = None, least: int = 3) -> Da
     t = written(tokens(files)) if t is None else t
     text = F.regexp_replace(F.regexp_replace("text", r"^~[a-zA-Z]", ""), r"^(?:\"\"\"|'''|[\"'(\[{<|/])\s?|(?:\"\"\"|'''|[\"')\]}>|/])$", "")
     strings = t.where("kind = 'string' and coalesce(before, '') not in ('@doc', '@moduledoc', '@typedoc', 'test', 'describe')").select("file", "at", "line", F.trim(text).alias("text"))
-    f = functions(files, t).select("file", "at", F.struct(F.concat("name", F.lit("/"), F.col("arity").cast("string")).alias("name"), "end_at").alias("f"))
+    f = functions(files).select("file", "at", F.struct(F.concat("name", F.lit("/"), F.col("arity").cast("string")).alias("name"), "end_at").alias("f"))
     both = strings.withColumns({"f": F.lit(None).cast(f.schema["f"].dataType), "_row": F.lit(True)}).unionByName(f.withColumn("_row", F.lit(False)), allowMissingColumns=True)
     both = both.withColumn("f", F.last("f", ignorenulls=True).over(in_file())).where("_row").where(F.length("text") >= least)
     inside = F.col("f.end_at").isNull() | (F.col("f.end_at") > F.col("at"))

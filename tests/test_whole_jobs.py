@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 
 from kestrelgrid.functions import scores as S
 from kestrelgrid.operators import keywords as K
@@ -12,7 +13,7 @@ from kestrelgrid.operators import pairs as P
 from kestrelgrid.operators.inverted import KeywordIndex
 from kestrelgrid.plans import load, registry
 from kestrelgrid.plans.adapters import document_words
-from kestrelgrid.sources import elixir
+from kestrelgrid.sources import elixir, token_arrays
 
 from .conftest import SF
 
@@ -100,3 +101,26 @@ def test_tokens_of_modules_stay_in_their_tasks(spark, monkeypatch):
     # definitions become a table, tokens don't, and sources are dealt before they are cut
     assert tables and all("touches" not in df.columns for df in tables)
     assert "REPARTITION_BY_NUM" in plan_of(tables[0])
+
+
+@pytest.mark.parametrize("name", ["elixir_calls", "elixir_functions"])
+def test_tokens_of_calls_and_functions_stay_in_the_row_of_their_file(name, spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(elixir, "written", lambda df: tables.append(df) or df)
+    plan = plan_of(load()[name](spark, SF))
+    # only the documents are dealt, once
+    assert not tables and plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and "Window" not in plan
+
+
+def test_kinds_of_tokens_are_the_same_in_rows_and_arrays(spark):
+    texts = ["\n", " \t", "# x", "Ab.C", "a:", "Ä:", "_a:", '"q":', ":a", ":", "::", ':"a b"', "'c'", "~s(a)", "~", "@doc", "@", "12", "?a", "?", "do", "end", "foo?", "_", "é", "éé", "É", "ab!", "(", "<<", ")", ">>", "->", "."]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", elixir._kind(F.col("text")).alias("kind")).collect()
+    assert {r["text"]: r["kind"] for r in rows} == {x: token_arrays.kind(x, elixir.OPERATORS) for x in texts}
+
+
+def test_counts_of_calls_are_those_of_the_calls(spark):
+    source = "defmodule A do\n def f(x) do\n  g(x) + g(1) + h(g(2, 3))\n  B.g(x)\n end\nend\ng(0)\n"
+    files = spark.createDataFrame([(str(k), source * (k % 3)) for k in range(9)] + [("n", None)], "file string, source string").coalesce(1)
+    counts = collections.Counter((r["file"], r["caller"], r["function"], r["arity"]) for r in elixir.calls(files).collect())
+    assert counts["2", "A", "g", 1] == 6 and counts["2", None, "g", 1] == 2
+    assert {(r["file"], r["caller"], r["function"], r["arity"]): r["calls"] for r in elixir.call_counts(files).collect()} == counts
