@@ -26,7 +26,7 @@ from pyspark.sql.types import DataType
 
 from .shared import written
 from .structure import cut, in_file
-from .token_arrays import Tokens, in_parts
+from .token_arrays import Tokens, in_parts, key_of
 
 # The special forms, which look like calls and are none.
 SPECIAL_FORMS = ("alias", "import", "require", "use", "def", "defp", "defmodule", "if", "unless", "case", "cond", "with", "for", "try", "receive")
@@ -282,7 +282,7 @@ def call_counts(files: DataFrame) -> DataFrame:
         if not len(places):
             return places, [caller, function, arity, arity]
         codes = [x.dictionary_encode().indices.fill_null(-1).to_numpy() for x in (caller, function)]
-        _, first, calls = np.unique(np.stack([t.file[places], *codes, arity], 1), axis=0, return_index=True, return_counts=True)
+        _, first, calls = np.unique(key_of(t.file[places], *codes, arity), return_index=True, return_counts=True)
         order = np.argsort(first)
         first, calls = first[order], calls[order]
         return places[first], [caller.take(pa.array(first)), function.take(pa.array(first)), arity[first], calls]
