@@ -9,6 +9,10 @@ from ..sources.shared import written
 
 # Names that are never reported as unused.
 STOP_FUNCTIONS = ("__init__", "main")
+#: Steps from the hub of a graph within which its largest cycles are looked for.
+KNOT_STEPS = 8
+#: Parts of a component's nodes, so that those of a large one are dealt out.
+MEMBER_PARTS = 16
 
 
 def resolve(calls: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -97,17 +101,43 @@ def closure(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return seen.where("depth > 0")
 
 
+def _knot(edges: DataFrame) -> DataFrame:
+    """(node): nodes around the hub of edges(src, dst) that reach it and are reached from it, within KNOT_STEPS: all of one cycle or another.
+
+    The hub is the node with most edges on the side where it has fewer. Both searches
+    are breadth first and meet each node once, so they cost no more than the edges.
+    """
+    ends = edges.where("src <> dst")
+    ways = ends.select(F.lit(True).alias("ahead"), F.col("src").alias("node"), F.col("dst").alias("to")).union(ends.select(F.lit(False), "dst", "src"))
+    hub = ways.groupBy("node").agg(F.least(F.count_if("ahead"), F.count_if(~F.col("ahead"))).alias("n")).agg(F.max_by("node", F.struct("n", "node"))).first()[0]
+    found = step = edges.sparkSession.range(2).select((F.col("id") == 0).alias("ahead"), F.lit(hub).cast(edges.schema["src"].dataType).alias("node"))
+    for _ in range(KNOT_STEPS):
+        step = written(step.join(ways, ["ahead", "node"]).select("ahead", F.col("to").alias("node")).distinct().join(found, ["ahead", "node"], "left_anti"))
+        if step.isEmpty():
+            break
+        found = found.union(step)
+    return found.groupBy("node").count().where("count = 2").select("node")
+
+
 def condense(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(src, dst), all pairs of components of which one reaches the other, and (node, component) of all nodes.
 
     Walks of doubled length, so a graph of n levels takes about log2(n) joins: with R
     the pairs within 2^k steps and S those of exactly 2^k, R grows by S followed by R,
     and S by S followed by itself. Nodes that reach each other become one at once,
-    under the smaller name, so a cycle's pairs are not made for long.
+    under the smaller name, so a cycle's pairs are not made for long. The cycles around
+    the hub become one node before, as the walks through them are by far the most.
     """
     edges = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
     members = written(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("component", F.col("node")))
-    reach, exact = written(edges.where("src <> dst")), written(edges)
+    edges = written(edges)
+    knot = written(_knot(edges))
+    least = knot.agg(F.min("node")).first()[0]
+    if least is not None:
+        same = knot.where(F.col("node") != least).select(F.col("node").alias("src"), F.lit(least).cast(edges.schema["src"].dataType).alias("to"))
+        members = written(_in_one(members, same))
+        edges = written(_renamed(edges, same))
+    reach, exact = edges.where("src <> dst"), edges
     pairs = reach.count()
     while True:
         behind = lambda x: x.select(F.col("src").alias("via"), F.col("dst").alias("to"))
@@ -120,7 +150,7 @@ def condense(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         if merged:
             more, exact = (written(_renamed(x, same)) for x in (more, exact))
             more = more.where("src <> dst")
-            members = written(members.join(same, members["component"] == same["src"], "left").select("node", F.coalesce("to", "component").alias("component")))
+            members = written(_in_one(members, same))
         now = more.count()
         reach = more
         if now == pairs and not merged:
@@ -128,6 +158,10 @@ def condense(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = now
 
 
+def _in_one(members: DataFrame, same: DataFrame) -> DataFrame:
+    return members.join(same, members["component"] == same["src"], "left").select("node", F.coalesce("to", "component").alias("component"))
+
+
 def _renamed(pairs: DataFrame, names: DataFrame) -> DataFrame:
     for end in ("src", "dst"):
         to = names.select(F.col("src").alias(end), "to")
@@ -138,9 +172,12 @@ def _renamed(pairs: DataFrame, names: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node) of all nodes that roots(root) reach at any depth, but not themselves."""
     reach, members = condense(edges)
-    own = roots.join(members, roots["root"] == members["node"]).select("root", "component")
+    own = roots.select("root").distinct().join(members, F.col("root") == F.col("node")).select("root", "component")
     far = own.join(reach, own["component"] == reach["src"]).select("root", F.col("dst").alias("component"))
-    return far.union(own).join(members, "component").select("root", "node").where("root <> node").distinct()
+    # a root meets a component once, and a component a node; the parts keep a large component out of one task
+    parts = F.explode(F.sequence(F.lit(0), F.lit(MEMBER_PARTS - 1))).alias("part")
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(MEMBER_PARTS)).cast("int"))
+    return far.union(own).select("root", "component", parts).repartition(MEMBER_PARTS, "root", "part").join(dealt, ["component", "part"]).select("root", "node").where("root <> node")
 
 
 def granular(calls: DataFrame) -> DataFrame:

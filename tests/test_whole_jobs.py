@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kestrelgrid.functions import scores as S
+from kestrelgrid.operators import graph
 from kestrelgrid.operators import keywords as K
 from kestrelgrid.operators import pairs as P
 from kestrelgrid.operators.inverted import KeywordIndex
@@ -124,3 +125,13 @@ def test_counts_of_calls_are_those_of_the_calls(spark):
     counts = collections.Counter((r["file"], r["caller"], r["function"], r["arity"]) for r in elixir.calls(files).collect())
     assert counts["2", "A", "g", 1] == 6 and counts["2", None, "g", 1] == 2
     assert {(r["file"], r["caller"], r["function"], r["arity"]): r["calls"] for r in elixir.call_counts(files).collect()} == counts
+
+
+def test_cycles_around_a_hub_make_no_pairs(spark, monkeypatch):
+    sizes = []
+    write = graph.written
+    monkeypatch.setattr(graph, "written", lambda df: sizes.append((out := write(df)).count()) or out)
+    edges = [(k, 7) for k in range(300)] + [(7, k) for k in range(100)]
+    got = graph.reachable(spark.createDataFrame(edges, "src long, dst long"), spark.range(300).withColumnRenamed("id", "root")).collect()
+    assert {tuple(r) for r in got} == {(a, b) for a in range(300) for b in range(100) if a != b} and len(got) == 300 * 100 - 100
+    assert max(sizes) <= 2 * len(edges)
