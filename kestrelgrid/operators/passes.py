@@ -7,6 +7,7 @@ memory is the state of one key, not its rows, and a task that is lost is run aga
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,10 @@ from pyspark.sql.types import StructField, StructType
 from ..sources.shared import written
 
 
+#: Ranges of a file up to which they are carried one by one: calls of numpy take longer than a few ranges.
+FEW = 32
+
+
 def line_history(hunks: DataFrame, ranges: DataFrame, most: int | None = None) -> DataFrame:
     """(id, file, sha, nth, start, stop): the commits that touched ranges of lines, newest first, each with the range as it was after the commit.
 
@@ -58,7 +63,7 @@ def line_history(hunks: DataFrame, ranges: DataFrame, most: int | None = None) -
 
 
 class _Walk:
-    """The ranges of the file at hand, as half-open arrays, and the hunks of the commit at hand."""
+    """The ranges of the file at hand, half-open, as arrays or, if few, as lists, and the hunks of the commit at hand."""
 
     def __init__(self, most: int | None):
         self.most, self.file, self.commit = most, None, None
@@ -91,6 +96,10 @@ class _Walk:
 
     def _begin(self) -> None:
         self.ids = [r[0] for r in self.rows]
+        self.few = len(self.rows) <= FEW
+        if self.few:
+            self.live = [[k, r[1] - 1, r[2], 0] for k, r in enumerate(self.rows) if self.most is None or self.most > 0]
+            return
         self.low = np.array([r[1] - 1 for r in self.rows], np.int64)
         self.high = np.array([r[2] for r in self.rows], np.int64)
         self.seen = np.zeros(len(self.rows), np.int64)
@@ -100,8 +109,13 @@ class _Walk:
             return
         if self.ids is None:
             self._begin()
-        s, e, p, q = (np.array(x, np.int64) for x in zip(*sorted(self.hunks), strict=True))
+        self.hunks.sort()
+        s, e, p, q = zip(*self.hunks, strict=True)
         self.hunks = []
+        if self.few:
+            self._carry(s, e, p, q)
+            return
+        s, e, p, q = (np.array(x, np.int64) for x in (s, e, p, q))
         live = np.flatnonzero((self.low < self.high) & (self.seen < (self.most or np.iinfo(np.int64).max)))
         a, b = self.low[live], self.high[live]
         # hunks of a commit are in order and apart: those that meet a range are neighbours
@@ -122,6 +136,27 @@ class _Walk:
             self.size += 1
         self.low[live], self.high[live] = low, high
 
+    def _carry(self, s: tuple, e: tuple, p: tuple, q: tuple) -> None:
+        """What `_apply` does, range by range."""
+        moved = [0]
+        for k in range(len(s)):
+            moved.append(moved[-1] + q[k] - p[k] - e[k] + s[k])
+        for row in self.live:
+            at, a, b, seen = row
+            first, last = bisect_right(e, a), bisect_left(s, b)
+            row[1], row[2] = a + moved[first], b + moved[last]
+            if first < last:
+                if s[first] <= a:
+                    row[1] = p[first]
+                if e[last - 1] >= b and e[last - 1] > s[last - 1]:
+                    row[2] = q[last - 1]
+                row[3] = seen + 1
+                self.out.append((self.ids[at], self.file, self.commit[1], seen + 1, a + 1, b))
+                self.size += 1
+        self.live = [r for r in self.live if r[1] < r[2] and (self.most is None or r[3] < self.most)]
+        if not self.live:
+            self.rows = []  # the file's other hunks meet nothing
+
     def result(self) -> pa.RecordBatch:
         columns = list(zip(*self.out, strict=True)) or [()] * 6
         self.out, self.size = [], 0

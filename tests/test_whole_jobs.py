@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from kestrelgrid.functions import scores as S
 from kestrelgrid.operators import graph
 from kestrelgrid.operators import keywords as K
 from kestrelgrid.operators import pairs as P
+from kestrelgrid.operators import passes
 from kestrelgrid.operators.inverted import KeywordIndex
 from kestrelgrid.plans import load, registry
 from kestrelgrid.plans.adapters import document_words
@@ -135,3 +137,34 @@ def test_cycles_around_a_hub_make_no_pairs(spark, monkeypatch):
     got = graph.reachable(spark.createDataFrame(edges, "src long, dst long"), spark.range(300).withColumnRenamed("id", "root")).collect()
     assert {tuple(r) for r in got} == {(a, b) for a in range(300) for b in range(100) if a != b} and len(got) == 300 * 100 - 100
     assert max(sizes) <= 2 * len(edges)
+
+
+def test_few_ranges_of_a_file_are_carried_without_arrays(monkeypatch):
+    import random
+
+    rng, rows = random.Random(3), []
+    for file in range(300):
+        rows += [(file, 0, None, None, None, None, None, None, k, a := rng.randrange(1, 40), a + rng.randrange(9)) for k in range(rng.randrange(1, 4))]
+        for seq in reversed(range(rng.randrange(12))):
+            at = shift = 0
+            for _ in range(rng.randrange(4)):
+                at, old, new = at + rng.randrange(1, 12), rng.randrange(3), rng.randrange(3)
+                if old + new:
+                    rows.append((file, 1, seq, at if old == 0 else at + 1, old, at + shift if new == 0 else at + shift + 1, new, seq, None, None, None))
+                    at, shift = at + old + 1, shift + new - old
+    names = ("file", "kind", "seq", "old_start", "old_lines", "new_start", "new_lines", "sha", "id", "start", "stop")
+    batch = pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)))
+
+    def history(most):
+        walk = passes._Walk(most)
+        walk.take(batch)
+        walk.close()
+        return sorted(walk.out)
+
+    for most in (None, 2):
+        monkeypatch.setattr(passes, "FEW", 0)
+        by_arrays = history(most)
+        monkeypatch.setattr(passes, "FEW", 32)
+        with monkeypatch.context() as m:
+            m.setattr(passes, "np", None)
+            assert history(most) == by_arrays and len(by_arrays) > 200
