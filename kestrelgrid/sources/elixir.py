@@ -2,8 +2,8 @@
 
 ``tokens`` cuts every source into tokens with one expression (strings, heredocs,
 sigils and comments are one token each, so nothing inside them counts). All else
-is windows over the tokens of a file, as rows or, for functions and calls, as
-arrays inside the file's row (``token_arrays``):
+is windows over the tokens of a file, as rows or, for modules, functions and calls,
+as arrays inside the file's row (``token_arrays``):
 
 * the block level is the running number of ``do`` and ``fn`` less that of ``end``,
   the bracket depth that of opening less closing brackets;
@@ -230,16 +230,28 @@ def _text_of(literal: Column) -> Column:
     return F.array_join(F.transform(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), "\n"), lambda x: F.trim(x)), "\n")
 
 
-def modules(files: DataFrame, t: DataFrame | None = None) -> DataFrame:
+def _modules_of(t: Tokens) -> tuple[np.ndarray, list]:
+    heads = t.heads(t.starts(DEFINITIONS))
+    head, body, end = heads
+    is_module = t.modules(head, body)
+    places, end = head[is_module], end[is_module]
+    outer = t.around(places, *heads)
+    # of several texts the first
+    docs = np.flatnonzero(t.text("@moduledoc") & t.kind("string", at=t.after))
+    owner, first = np.unique(t.around(docs, *heads), return_index=True)
+    doc = np.full(t.n + 1, -1)
+    doc[owner] = t.after[docs[first]]
+    doc[-1] = -1
+    named = np.append(t.after, -1)
+    return places, [
+        t.values(t.at, places), t.strings(t.codes(t.after[places])), t.strings(t.codes(named[outer])), t.line[places], t.values(t.line, end), t.strings(t.codes(doc[places])),
+    ]
+
+
+def modules(files: DataFrame) -> DataFrame:
     """(file, module, outer, line, end_line, moduledoc, at): ``outer`` is the module around it."""
-    # cut anew for each of the few kinds of tokens that are looked for: rows of tokens are far larger than sources
-    t = tokens(files) if t is None else t
-    defined = written(definitions(files, t))
-    found = scopes(defined)
-    docs = in_scope(t.where("text = '@moduledoc' and after_kind = 'string'").select("file", "at", F.col("after").alias("doc")), found)
-    docs = docs.groupBy("file", F.col("module_at").alias("at")).agg(_text_of(F.min_by("doc", "at")).alias("moduledoc"))
-    placed = in_scope(defined.join(found.select("file", "at"), ["file", "at"], "left_semi").select("file", "at", "name", "line", "end_line"), found)
-    return placed.join(docs, ["file", "at"], "left").select("file", F.col("name").alias("module"), F.col("module").alias("outer"), "line", "end_line", "moduledoc", "at")
+    found = written(_found(files, _modules_of, "struct<at:int,module:string,outer:string,line:bigint,end_line:bigint,doc:string>"))
+    return found.select("file", "module", "outer", "line", "end_line", _text_of(F.col("doc")).alias("moduledoc"), "at")
 
 
 def _calls_of(t: Tokens) -> tuple[np.ndarray, list]:

@@ -20,7 +20,7 @@ def _entity(rows: DataFrame) -> DataFrame:
 def elixir(files: DataFrame) -> dict[str, DataFrame]:
     """Of files(file, source): functions with their docs, strings inside them, and comments inside or right above them."""
     t = written(X.tokens(files))
-    functions = written(_entity(X.functions(files, t)))
+    functions = written(_entity(X.functions(files)))
     entities = functions.groupBy("entity").agg(F.first("name").alias("name"), F.max("doc").alias("doc"))
     owners = functions.select("file", "line", "entity")
     strings = asof.asof(X.literals(files, t).where("function is not null").select("file", "line", "text"), owners, ["file"], "line", ["entity"])

@@ -106,6 +106,22 @@ def test_tokens_of_modules_stay_in_their_tasks(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in plan_of(tables[0])
 
 
+def test_tokens_of_modules_stay_in_the_row_of_their_file(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(elixir, "written", lambda df: tables.append(df) or df)
+    load()["elixir_modules"](spark, SF)
+    plan = plan_of(tables[0])
+    # only the documents are dealt, once, and only modules become a table
+    assert len(tables) == 1 and plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and "Window" not in plan
+
+
+def test_modules_in_rows_of_files(spark):
+    sources = ["", None, "defmodule A do\n", 'defmodule A do\n@moduledoc "a"\n@moduledoc "b"\ndefmodule B.C do\nend\nend\n@moduledoc "c"\n', "defmodule A, do: nil\ndefimpl P do\ndef f, do: 1\nend\n"]
+    files = spark.createDataFrame([(str(k), x) for k, x in enumerate(sources)], "file string, source string").coalesce(1)
+    got = {(r["file"], r["module"], r["outer"], r["line"], r["end_line"], r["moduledoc"]) for r in elixir.modules(files).collect()}
+    assert got == {("2", "A", None, 1, None, None), ("3", "A", None, 1, 6, "a"), ("3", "B.C", "A", 4, 5, None), ("4", "P", None, 2, 4, None)}
+
+
 @pytest.mark.parametrize("name", ["elixir_calls", "elixir_functions"])
 def test_tokens_of_calls_and_functions_stay_in_the_row_of_their_file(name, spark, monkeypatch):
     tables = []
