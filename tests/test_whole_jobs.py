@@ -90,6 +90,39 @@ def test_pairs_of_large_sets_are_counted_where_their_sets_are(spark, monkeypatch
     assert sorted(r["degree"] for r in P.degrees(items, "g", "w").collect()) == sorted(degree.values())
 
 
+def test_sets_are_read_by_each_block_of_pairs_and_blocks_grow_in_number_only(spark, monkeypatch):
+    monkeypatch.setattr(P, "HELD", 1000)
+    items = spark.range(100).selectExpr("id as g", "explode(sequence(0, 19)) as w").selectExpr("g", "concat('w', (w * (g % 3 + 1)) % 40) as w")
+    sizes = [r["n"] for r in items.distinct().groupBy("g").agg(F.count("*").alias("n")).collect()]
+    n = -(-sum(k * (k - 1) // 2 for k in sizes) // 1000)
+    assert n > P.BLOCKS and P._dealt(P._numbered_sets(items, "g", "w")[0])[0].rdd.getNumPartitions() == n
+    plan = plan_of(P.degrees(items, "g", "w"))
+    # one exchange for the sums, none for the sets
+    assert plan.count("Exchange") == 1 and "CartesianProduct" in plan
+    plan = plan_of(P.together(items, "g", "w", most=None, least=5))
+    assert plan.count("Exchange") == plan.count("BroadcastExchange") and "CartesianProduct" in plan
+
+
+@pytest.mark.parametrize("held", [10, 10_000])
+@pytest.mark.parametrize("width", [80, 1 << 20])
+def test_pairs_of_a_block_stay_few_in_memory(monkeypatch, held, width):
+    import itertools
+    import random
+
+    monkeypatch.setattr(P, "HELD", held)
+    monkeypatch.setattr(P, "CHUNK", 7)
+    rng = random.Random(2)
+    sets = [sorted(rng.sample(range(80), rng.randrange(2, 30))) for _ in range(60)]
+    lists = pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int32()))], ["ids"])
+    packed = next(P._packed(iter([lists.slice(0, 0), lists])))
+    assert packed.column("n").to_pylist() == [len(x) for x in sets] and packed.column("top").to_pylist() == [x[-1] for x in sets]
+    batches = lambda block: (pa.RecordBatch.from_arrays([packed.column("ids").slice(k, 25), pa.array([block] * len(sets)).slice(k, 25)], ["ids", "block"]) for k in (0, 25, 50))
+    rows = [(a, b, n) for block in range(3) for x in P._pairs_of_block(batches(block), 3, width) for a, b, n in zip(*(y.tolist() for y in x), strict=True)]
+    counts = collections.Counter(p for x in sets for p in itertools.combinations(x, 2))
+    assert len(rows) == len(counts) and {(b, a): n for a, b, n in rows} == counts
+    assert list(P._pairs_of_block(iter([]), 3, width)) == []
+
+
 @pytest.mark.parametrize("name", ["heuristic_history", "file_pr_history", "batch_evolution", "cochange_pairs", "cochange_sampled", "pr_recent", "line_history"])
 def test_tasks_of_histories_grow_in_number_only(name, spark, monkeypatch):
     monkeypatch.setattr(registry, "ROWS", 100)
